@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORD, fold, small, table, text_or_empty, written
 
 #: Latent states, hash classes, rounds of Baum-Welch, texts in a vectorised batch.
-STATES, CLASSES, ROUNDS, TOGETHER = 4, 2048, 2, 1000
+STATES, CLASSES, ROUNDS, TOGETHER = 4, 2048, 3, 1000
 #: Words up to which their counts may be broadcast (about 50 MB); beyond that a shuffled join.
 VOCABULARY = 500_000
 END = "\n"
@@ -44,8 +44,8 @@ def classes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
 
 def start() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(6)
-    a = rng.dirichlet(np.full(STATES, 5.0), STATES)
-    e = rng.dirichlet(np.full(CLASSES + 1, 5.0), STATES)
+    a = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))  # states that last: texts keep their language
+    e = rng.dirichlet(np.full(CLASSES + 1, 1.0), STATES)
     return np.full(STATES, 1 / STATES), a, e
 
 
