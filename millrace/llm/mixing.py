@@ -23,7 +23,7 @@ MOST = 3
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken.
+    """doc_id, size, source, source_size, target, taken, copies (times the document is taken).
 
     Size is the number of words (null text: 0). A null source is a source of its own, the last. Rows
     with equal ids share a hash, so they are taken or left together; a null id counts as empty text. A
@@ -56,7 +56,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     edges = state.select("s", (F.col("prefix") + F.when(2 * (F.col("spare") - F.col("spent")) >= F.col("in_bucket"), 1).otherwise(0)).alias("below"))
     plan = written(budgets.join(edges, budgets["source"].eqNullSafe(edges["s"]), "left").select(F.col("source").alias("s"), "source_size", "target", "times", "below"), "mix_plan")
     once = F.when(F.col("hash") < F.coalesce(F.col("below"), F.lit(0)), 1).otherwise(0)
-    return rows.join(small(plan), rows["source"].eqNullSafe(plan["s"])).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("times") + once)).alias("taken"))
+    return rows.join(small(plan), rows["source"].eqNullSafe(plan["s"])).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("times") + once)).alias("taken"), (F.col("times") + once).alias("copies"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -79,7 +79,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).drop("copies")
 
 
 QUERIES = {"op10_mixing": op10_mixing}
