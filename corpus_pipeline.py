@@ -1,7 +1,51 @@
-"""Placeholder replaced below."""
-STAGES: list = []
+"""A corpus from raw documents: toxicity, near-dedup, decontamination, mixing and sharding, in this order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from millrace.llm.common import table, written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below a half."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, index).filter("toxic_score < 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id, once. Rows without id stay."""
+    dropped = near_dedup.near_groups(docs).filter("not kept").select("doc_id")
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("leak.n_items = 0").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "copies").distinct()
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["d"]) & docs["source"].eqNullSafe(copies["s"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place in it of every row."""
+    return sharding.shard_by_bytes(docs)
+
+
+STAGES = [("toxicity", toxic), ("near_dedup", near_duplicates), ("decontamination", leaks), ("mixing", mix), ("sharding", shard)]
+#: Nearest neighbours, minwise paths and the latent space have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
