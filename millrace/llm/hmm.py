@@ -18,28 +18,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, fold, small, table, text_or_empty, written
-
-#: Latent states, hash classes, rounds of Baum-Welch, texts in a vectorised batch.
-STATES, CLASSES, ROUNDS, TOGETHER = 4, 2048, 3, 1000
-#: Words up to which their counts may be broadcast (about 50 MB); beyond that a shuffled join.
-VOCABULARY = 500_000
-END = "\n"
+from .common import fold, table, text_or_empty, written
+
+#: Latent states, hash classes (a power of two), rounds of Baum-Welch, texts in a vectorised batch.
+STATES, CLASSES, ROUNDS, TOGETHER = 4, 2048, 2, 2500
+#: The most frequent words, whose counts every task gets; the others are joined by their hash.
+FREQUENT = 65_536
+#: Words are known by 64-bit hashes; this one stands for the end of a text.
+END = 0
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def classes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+def hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     out = []
     for w in _WORD.findall((text or "").encode().lower()):
-        c = known.get(w)
-        if c is None:
-            c = known[w] = xxhash.xxh64_intdigest(w, 42) % CLASSES
-        out.append(c)
-    out.append(CLASSES)
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w, 42) | 1 << 11  # never END; the bit is no part of the class
+        out.append(h)
+    out.append(END)
     if len(known) > 200_000:
         known.clear()
-    return np.array(out, np.int32)
+    return np.array(out, np.uint64)
+
+
+def _class(h: np.ndarray) -> np.ndarray:
+    return np.where(h == END, CLASSES, h & np.uint64(CLASSES - 1)).astype(np.int32)
 
 
 def start() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +103,12 @@ def expected(seqs: list[np.ndarray], p: np.ndarray, a: np.ndarray, e: np.ndarray
     return (alphas[0] * beta).sum(0), trans * a, emit
 
 
-def _packs(texts: Iterator[pd.DataFrame]):
+def _packs(batches: Iterator[pd.DataFrame]):
     known: dict[bytes, int] = {}
-    for batch in texts:
+    for batch in batches:
         for i in range(0, len(batch), TOGETHER):
             part = batch.iloc[i : i + TOGETHER]
-            yield part, [classes(t, known) for t in part["text"]]
+            yield part, [hashes(t, known) for t in part["text"]]
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def count(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
             for _, seqs in _packs(batches):
-                total += np.concatenate([x.ravel() for x in expected(seqs, *model)])
+                total += np.concatenate([x.ravel() for x in expected([_class(h) for h in seqs], *model)])
             at = np.flatnonzero(total)
             yield pd.DataFrame({"cell": at, "n": total[at]})
 
@@ -129,50 +133,61 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return model
 
 
-def _words(text_col: str) -> Column:
-    return F.concat(F.regexp_extract_all(F.translate(text_or_empty(text_col), _UPPER, _UPPER.lower()), F.lit(SPACE_WORD), F.lit(0)), F.array(F.lit(END)))
-
-
 def lm_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, learns, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     A null or empty text is its end token alone. Repeated rows get equal scores. Without training rows every token
     is unknown. An empty table gives an empty result; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), learns.alias("learns"))
-    cls = F.when(F.col("word") == END, CLASSES).otherwise(F.pmod(F.xxhash64("word"), F.lit(CLASSES)))
-    counts = written(own.filter("learns").select(F.explode(_words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("c")).withColumn("cls", _unsigned_mod(cls)), "lm_counts")
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, seqs in _packs(batches):
+            w, n = np.unique(np.concatenate(seqs), return_counts=True)
+            yield pd.DataFrame({"w": w.view(np.int64), "n": n})
+
+    counted = own.filter("learns").select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
+    counts = written(counted.withColumn("cls", F.when(F.col("w") == END, CLASSES).otherwise(F.pmod("w", F.lit(CLASSES))).cast("int")), "lm_counts")
     n_all, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     by_class = counts.groupBy("cls").agg(F.sum("c").alias("cc"), F.count("*").alias("cv"))  # CLASSES + 1 rows at most
-    model = train(own.filter("learns"))
-
-    def hmm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mass = np.full(CLASSES + 1, 0.5)
+    for r in by_class.collect():
+        mass[r.cls] = r.cc + 0.5 * (r.cv + 1)
+    top = counts.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "c").toPandas().sort_values("w")
+    top_w, top_c = top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    whole = n_all + 0.5 * (vocabulary + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((train(own.filter("learns")), mass, top_w, top_c))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, mass, top_w, top_c = shared.value
         for part, seqs in _packs(batches):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "learns": part["learns"], "key": part["key"], "chain": forward(seqs, *model)})
+            rows = []
+            for h in seqs:
+                w, n = np.unique(h, return_counts=True)
+                cls, w = _class(w), w.view(np.int64)
+                at = np.minimum(np.searchsorted(top_w, w), max(len(top_w) - 1, 0))
+                hit = top_w[at] == w if len(top_w) else np.zeros(len(w), bool)
+                c = top_c[at[hit]] + 0.5
+                rows.append((len(h), n[hit].sum(), (n[hit] * np.log10(c / whole)).sum(), (n[hit] * np.log10(c / mass[cls[hit]])).sum(), w[~hit], n[~hit].astype(np.int32)))
+            out = pd.DataFrame(rows, columns=["n_tokens", "known", "base", "inside", "rare", "times"])
+            for c in ("uid", "doc_id", "learns"):
+                out[c] = part[c].to_numpy()
+            out["chain"] = forward([_class(h) for h in seqs], *model)
+            yield out
 
-    keyed = own.withColumn("key", F.md5("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    chain = keyed.mapInPandas(hmm, f"doc_id {id_type}, learns boolean, key string, chain double")
-    tokens = keyed.select("doc_id", "key", F.explode(_words("text")).alias("word"))
-    if vocabulary > VOCABULARY:
-        tokens = tokens.groupBy("doc_id", "key", "word").agg(F.count("*").alias("times"))
-    else:
-        tokens = tokens.withColumn("times", F.lit(1))
-    joined = tokens.join(small(counts.select("word", "c"), VOCABULARY), "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("cls", _unsigned_mod(cls)).join(F.broadcast(by_class), "cls", "left")
-    base = F.log10((F.col("c") + 0.5) / (n_all + 0.5 * (vocabulary + 1)))
+    if id_type in ("bigint", "int"):
+        own = own.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no integer with nulls
+    rows = written(own.mapInPandas(scored, "uid long, doc_id string, learns boolean, n_tokens long, known long, base double, inside double, chain double, rare array<long>, times array<int>"), "lm_rows")
+    pairs = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("w"), "x.times")
+    joined = pairs.join(counts.select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    cls = F.pmod("w", F.lit(CLASSES)).cast("int")
+    joined = joined.withColumn("cls", F.when(F.col("w") == END, CLASSES).otherwise(cls)).join(F.broadcast(by_class), "cls", "left")
+    base = F.log10((F.col("c") + 0.5) / whole)
     inside = F.log10((F.col("c") + 0.5) / (F.coalesce("cc", F.lit(0)) + 0.5 * (F.coalesce("cv", F.lit(0)) + 1)))
-    sums = joined.groupBy("doc_id", "key").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(base * F.col("times")).alias("base"), F.sum(inside * F.col("times")).alias("inside"))
-    # Repeated rows (equal id and text) were summed together: shared out evenly.
-    rows = written(chain, "lm_chain")
-    many = rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
-    each = sums.join(many, sums["doc_id"].eqNullSafe(many["doc_id"]) & (sums["key"] == many["key"])).select(sums["doc_id"].alias("d"), sums["key"].alias("k"), *[(F.col(c) / F.col("rows")).alias(c) for c in ("all", "known", "base", "inside")])
-    found = rows.join(each, rows["doc_id"].eqNullSafe(each["d"]) & (rows["key"] == each["k"]))
-    return found.select("doc_id", "learns", F.round("all").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("chain") + F.col("inside")).alias("score"))
-
-
-def _unsigned_mod(c: Column) -> Column:
-    """pmod of the signed hash is that of the unsigned one, since the number of classes divides 2^64."""
-    return c.cast("int")
+    sums = joined.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_r"), F.sum(base * F.col("times")).alias("base_r"), F.sum(inside * F.col("times")).alias("inside_r"))
+    found = rows.drop("rare", "times").join(sums, "uid", "left").na.fill(0, ["known_r", "base_r", "inside_r"])
+    return found.select(F.col("doc_id").cast(id_type).alias("doc_id"), "learns", "n_tokens", (F.col("known") + F.col("known_r")).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.col("base_r")).alias("base_score"), (F.col("chain") + F.col("inside") + F.col("inside_r")).alias("score"))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
