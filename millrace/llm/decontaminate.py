@@ -23,6 +23,8 @@ from .common import table, written
 FEATURES, RANK, BLOCK = 8192, 32, 24
 #: Latent cosine of a candidate; share of an item's words in the common subsequence; runs of items on the driver at most.
 COSINE, COMMON, MOST_ITEMS = 0.5, 0.6, 100_000
+#: Words whose latent vectors are held at once.
+PACK = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -39,16 +41,21 @@ def _ids(text: str | None, known: dict[str, int]) -> tuple[list[str], np.ndarray
     return words, out
 
 
-def _flat(batch, known):
-    """All words' features of a batch, and the passage block of each word."""
-    ids, blocks, at = [], [], 0
-    for t in batch:
-        _, f = _ids(t, known)
-        if len(f):
-            ids.append(f)
-            blocks.append(at + np.arange(len(f)) // BLOCK)
-            at = blocks[-1][-1] + 1
-    return (np.concatenate(ids), np.concatenate(blocks)) if ids else (np.empty(0, np.int64), np.empty(0, np.int64))
+def _flat(batches: Iterator[pd.DataFrame], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of all words and the block of each, in packs of about PACK words."""
+    ids, blocks, at, held = [], [], 0, 0
+    for b in batches:
+        for t in b["text"]:
+            _, f = _ids(t, known)
+            if len(f):
+                ids.append(f)
+                blocks.append(at + np.arange(len(f)) // BLOCK)
+                at, held = blocks[-1][-1] + 1, held + len(f)
+            if held >= PACK:
+                yield np.concatenate(ids), np.concatenate(blocks)
+                ids, blocks, at, held = [], [], 0, 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(blocks)
 
 
 class Space:
@@ -57,12 +64,10 @@ class Space:
     def __init__(self, docs: DataFrame):
         def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, total, known = np.zeros(FEATURES + 1), 0, {}
-            for b in batches:
-                ids, blocks = _flat(b["text"], known)
-                if len(ids):
-                    pairs = np.unique(blocks * FEATURES + ids)
-                    n[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
-                    total += blocks[-1] + 1
+            for ids, blocks in _flat(batches, known):
+                pairs = np.unique(blocks * FEATURES + ids)
+                n[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
+                total += blocks[-1] + 1
             n[-1] = total
             yield pd.DataFrame({"cell": np.arange(FEATURES + 1), "x": n})
 
@@ -75,10 +80,7 @@ class Space:
             """A'A omega of a partition: rows of A are its passages' unit TF-IDF vectors."""
             out, known = np.zeros((FEATURES, RANK)), {}
             weighted = idf[:, None] * omega
-            for b in batches:
-                ids, blocks = _flat(b["text"], known)
-                if not len(ids):
-                    continue
+            for ids, blocks in _flat(batches, known):
                 starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
                 norm = np.add.reduceat(idf[ids] ** 2, starts)
                 y = np.add.reduceat(weighted[ids], starts) / norm[:, None]
