@@ -24,6 +24,9 @@ from .common import fold, table, text_or_empty, written
 EXAMPLES, TERMS, LEAST_Z = 20_000, 2_000, 5.0
 #: Neighbours, examples in a block, and the weight of the base rate in a vote.
 K, BLOCK, PRIOR = 25, 64, 1.0
+#: Blocks that are read before the others are held against the k-th similarity.
+FIRST = 8
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SPARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,15 +49,15 @@ class BlockMaxIndex:
         self.ids = [merged[k][2] for k in keys]
         self.blocks = max(1, -(-len(keys) // BLOCK))
         self.top: dict[int, np.ndarray] = {}
-        self.postings: dict[tuple[int, int], tuple[list, list]] = {}
+        self.postings: dict[int, tuple] = {}
         for e, key in enumerate(keys):
             for t, w in key:
                 self.top.setdefault(t, np.zeros(self.blocks))
                 self.top[t][e // BLOCK] = max(self.top[t][e // BLOCK], w)
-                p = self.postings.setdefault((t, e // BLOCK), ([], []))
-                p[0].append(e % BLOCK)
+                p = self.postings.setdefault(t, ([], []))
+                p[0].append(e)
                 p[1].append(w)
-        self.postings = {k: (np.array(a), np.array(b)) for k, (a, b) in self.postings.items()}
+        self.postings = {t: (np.array(a), np.array(b)) for t, (a, b) in self.postings.items()}
         self.cache: dict = {}
 
     @staticmethod
@@ -63,28 +66,37 @@ class BlockMaxIndex:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()} if norm else {}
 
+    def _read(self, query: dict[int, float], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact similarities of the entries of these blocks that share a term with the query."""
+        own, wanted = np.zeros(self.blocks * BLOCK), np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        for t, w in query.items() if len(blocks) else ():
+            at, weight = self.postings[t]
+            keep = wanted[at // BLOCK]
+            own[at[keep]] += w * weight[keep]
+        at = np.flatnonzero(own > 0)
+        return own[at], at
+
+    def _kth(self, sims: np.ndarray, entries: np.ndarray, k: int) -> float:
+        order = np.argsort(-sims, kind="stable")
+        enough = np.searchsorted(np.cumsum(self.n[entries[order]]), k)
+        return sims[order[enough]] if enough < len(order) else 0.0
+
     def search(self, counts: dict[int, float], k: int = K) -> tuple[float, list]:
         """The score and the ids of the nearest examples."""
         query = {t: w for t, w in self._unit(counts, self.idf).items() if t in self.top}
         if not query:
             return self.base, []
         bounds = sum(w * self.top[t] for t, w in query.items())
-        sims, entries, kth = np.empty(0), np.empty(0, int), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, w in query.items():
-                if p := self.postings.get((t, b)):
-                    own[p[0]] += w * p[1]
-            at = np.flatnonzero(own > 0)
-            sims, entries = np.append(sims, own[at]), np.append(entries, b * BLOCK + at)
-            order = np.argsort(-sims, kind="stable")
-            enough = np.searchsorted(np.cumsum(self.n[entries[order]]), k)
-            if enough < len(order):  # ties with the k-th stay, so the order of examples decides nothing
-                kth = sims[order[enough]]
-                keep = sims >= kth - 1e-12
-                sims, entries = sims[keep], entries[keep]
+        # The blocks with the highest bounds give a k-th similarity; of the others only those that can reach it are read.
+        order = np.argsort(-bounds, kind="stable")
+        sims, entries = self._read(query, order[:FIRST][bounds[order[:FIRST]] > 0])
+        kth = self._kth(sims, entries, k)
+        rest = order[FIRST:]
+        more, others = self._read(query, rest[(bounds[rest] > 0) & (bounds[rest] >= kth - 1e-12)])
+        sims, entries = np.append(sims, more), np.append(entries, others)
+        keep = sims >= self._kth(sims, entries, k) - 1e-12  # ties with the k-th stay, so the order of examples decides nothing
+        sims, entries = sims[keep], entries[keep]
         vote, weight = (sims * self.toxic[entries]).sum(), (sims * self.n[entries]).sum()
         order = np.argsort(-sims, kind="stable")[:3]
         return float((vote + PRIOR * self.base) / (weight + PRIOR)), [self.ids[entries[i]] for i in order]
@@ -109,8 +121,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> BlockMaxIndex:
     own = F.filter("words", lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
     rows = examples.select("doc_id", "toxic", own.alias("words")).collect()
     # Document frequencies over all documents, of the chosen terms only.
-    found = docs.select(F.explode(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]).cast("array<string>"))).alias("term")).groupBy("term").count().collect() if terms else []
-    total, df = max(docs.count(), 1), dict(map(tuple, found))
+    known = {t.encode() for t in terms}
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, total = Counter(), 0
+        for b in batches:
+            for text in b["text"]:
+                df.update(known.intersection(_WORD.findall((text or "").encode().lower())))
+                total += 1
+        yield pd.DataFrame([(t.decode(), n) for t, n in df.items()] + [(None, total)], columns=["term", "n"])
+
+    df = dict(map(tuple, docs.select("text").mapInPandas(seen, "term string, n long").groupBy("term").agg(F.sum("n")).collect()))
+    total = df.get(None, 0)
     idf = np.array([math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in terms])
     index = BlockMaxIndex([Counter(number[w] for w in r.words) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], idf)
     index.number = number
@@ -131,12 +153,11 @@ def scored(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     def run(batches):
         index = shared.value
         number = getattr(index, "number", {})
-        cut = re.compile(rb"[0-9a-z\x80-\xff]+")
         number = {t.encode(): i for t, i in number.items()}
         for texts in batches:
             out = []
             for text in texts:
-                counts = Counter(number[w] for w in cut.findall((text or "").encode().lower()) if w in number) if number else {}
+                counts = Counter(number[w] for w in _WORD.findall((text or "").encode().lower()) if w in number) if number else {}
                 key = tuple(sorted(counts.items()))
                 if key not in index.cache:
                     if len(index.cache) > 50_000:
