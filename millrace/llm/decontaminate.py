@@ -24,7 +24,9 @@ FEATURES, RANK, BLOCK = 8192, 32, 24
 #: Latent cosine of a candidate; share of an item's words in the common subsequence; runs of items on the driver at most.
 COSINE, COMMON, MOST_ITEMS = 0.5, 0.6, 100_000
 #: Words whose latent vectors are held at once.
-PACK = 100_000
+PACK = 4096 * BLOCK
+#: Rows of a matrix that are summed as one.
+PART = 256
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,6 +60,11 @@ def _flat(batches: Iterator[pd.DataFrame], known: dict[str, int]) -> Iterator[tu
         yield np.concatenate(ids), np.concatenate(blocks)
 
 
+def _parts(x: np.ndarray) -> pd.DataFrame:
+    """The matrix as rows of PART of its rows each."""
+    return pd.DataFrame([(i // PART, x[i : i + PART].tobytes()) for i in range(0, len(x), PART)], columns=["part", "x"])
+
+
 class Space:
     """Inverse document frequencies of features and the projection to latent dimensions."""
 
@@ -69,9 +76,9 @@ class Space:
                 n[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
                 total += blocks[-1] + 1
             n[-1] = total
-            yield pd.DataFrame({"cell": np.arange(FEATURES + 1), "x": n})
+            yield _parts(n[:, None])
 
-        n = self._summed(docs.mapInPandas(seen, "cell long, x double"), FEATURES + 1)
+        n = self._summed(docs.mapInPandas(seen, "part int, x binary"), FEATURES + 1, 1)[:, 0]
         self.idf = np.log((n[-1] + 1) / (n[:-1] + 1)) + 1
         omega = np.random.default_rng(3).standard_normal((FEATURES, RANK))
         idf = self.idf
@@ -87,18 +94,28 @@ class Space:
                 row = np.cumsum(np.r_[0, blocks[1:] != blocks[:-1]])
                 for k in range(RANK):
                     out[:, k] += np.bincount(ids, y[row, k], FEATURES)
-            yield pd.DataFrame({"cell": np.arange(out.size), "x": (out * idf[:, None]).ravel()})
+            yield _parts(out * idf[:, None])
 
         # The first direction is what all passages share; the others tell them apart.
-        y = self._summed(docs.mapInPandas(product, "cell long, x double"), FEATURES * RANK).reshape(FEATURES, RANK)
+        y = self._summed(docs.mapInPandas(product, "part int, x binary"), FEATURES, RANK)
         q, _ = np.linalg.qr(y)
         self.basis = self.idf[:, None] * q
 
     @staticmethod
-    def _summed(df: DataFrame, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for r in df.groupBy("cell").agg(F.sum("x").alias("x")).filter("x <> 0").collect():
-            out[r.cell] = r.x
+    def _summed(df: DataFrame, rows: int, columns: int) -> np.ndarray:
+        """The sum of all partitions' matrices, part by part; one row of each part reaches the driver."""
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for part, x in zip(b["part"], b["x"], strict=True):
+                    own = np.frombuffer(x)
+                    sums[part] = sums[part] + own if part in sums else own
+            yield pd.DataFrame({"part": list(sums), "x": [v.tobytes() for v in sums.values()]})
+
+        out = np.zeros((rows, columns))
+        for r in df.repartition("part").mapInPandas(add, df.schema).collect():
+            out[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.x).reshape(-1, columns)
         return out
 
 
@@ -133,6 +150,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     space = Space(docs.select("text"))
     latent = _unit(np.array([space.basis[f].sum(0) for _, _, f in items])) if items else np.zeros((0, RANK))
     basis = space.basis
+    # The features of every item's distinct words, and how many of the words a window must hold.
+    distinct = [np.array([xxhash.xxh32_intdigest(w) % FEATURES for w in set(own)]) for _, own, _ in items]
+    offsets = np.cumsum([0, *map(len, distinct)])[:-1]
+    needed = np.array([common * len(d) * 0.8 for d in distinct])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -142,23 +163,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 words, f = _ids(text, known)
                 found: dict = {}
                 if len(words) and items:
+                    # No window holds more of an item's words than the text does: those items cannot be candidates.
+                    there = np.zeros(FEATURES, bool)
+                    there[f] = True
+                    possible = np.flatnonzero(np.add.reduceat(there[np.concatenate(distinct)], offsets, dtype=int) >= needed)
                     starts = np.arange(0, len(words), BLOCK // 2)
-                    part = np.add.reduceat(basis[f], starts)
-                    total = np.concatenate([np.zeros((1, RANK)), np.cumsum(part, 0)])
+                    part = [np.add.reduceat(basis[f[i : i + PACK]], np.arange(0, len(f[i : i + PACK]), BLOCK // 2)) for i in range(0, len(f) if len(possible) else 0, PACK)]
+                    total = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.concatenate(part), 0)]) if part else None
                     last = np.minimum(np.arange(len(starts)) + 4, len(starts))
-                    sim = _unit(total[last] - total[:-1]) @ latent.T
-                    for p, k in zip(*np.nonzero(sim >= cosine), strict=True):
+                    passages = _unit(total[last] - total[:-1]) if part else None
+                    for k in possible:
                         i, own, _ = items[k]
-                        if found.get(i, 0) >= 1:
-                            continue
-                        lo = max(0, starts[p] - len(own))
-                        window = words[lo : starts[p] + 2 * BLOCK + len(own)]
-                        if len(set(own).intersection(window)) >= common * len(set(own)) * 0.8:
-                            # Windows as long as the item, so that words strewn over a long text do not add up.
-                            for at in range(0, max(1, len(window) - len(own)) + 1, max(1, len(own) // 8)):
-                                share = common_subsequence(own, window[at : at + len(own) + len(own) // 8 + 1]) / len(own)
-                                if share >= common:
-                                    found[i] = max(found.get(i, 0), share)
+                        at = np.flatnonzero(passages @ latent[k] >= cosine)
+                        los, his = np.maximum(0, starts[at] - len(own)), np.minimum(starts[at] + 2 * BLOCK + len(own), len(words))
+                        there = np.zeros(FEATURES, bool)
+                        there[distinct[k]] = True
+                        hits = np.r_[0, np.cumsum(there[f])]
+                        full = hits[his] - hits[los] >= needed[k]
+                        for lo, hi in zip(los[full], his[full], strict=True):
+                            if found.get(i, 0) >= 1:
+                                break
+                            window = words[lo:hi]
+                            if len(set(own).intersection(window)) >= needed[k]:
+                                # Windows as long as the item, so that words strewn over a long text do not add up.
+                                for at in range(0, max(1, len(window) - len(own)) + 1, max(1, len(own) // 8)):
+                                    share = common_subsequence(own, window[at : at + len(own) + len(own) // 8 + 1]) / len(own)
+                                    if share >= common:
+                                        found[i] = max(found.get(i, 0), share)
                 out.append((len(found), sorted(found), max([0.0, *found.values()])))
             yield pd.DataFrame(out, columns=["n_items", "items", "share"])
 
