@@ -51,11 +51,11 @@ def company_of(value: str | None) -> str | None:
 
 
 def _batched(f):
-    @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: f(None if pd.isna(v) else v)).astype(object).where(lambda s: s.notna(), None)
+        return pd.Series([f(None if pd.isna(v) else v) for v in values], dtype=object)
 
-    return run
+    # Made when called: a function of Spark needs a session, an import does not.
+    return lambda column: F.pandas_udf(run, "string")(column)
 
 
 normal_email, normal_phone, normal_kana, normal_company = map(_batched, (email_of, phone_of, kana_of, company_of))

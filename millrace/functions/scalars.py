@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tokyo keeps this distance to UTC all year.
-TOKYO = F.expr
-
 
 def utc_from_tokyo(ts: str) -> Column:
     """The instant of a naive Tokyo time; a date means Tokyo midnight. Needs no zone table: Tokyo has no summer time."""

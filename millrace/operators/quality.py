@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -50,7 +51,7 @@ def personal_columns(df: DataFrame) -> DataFrame:
     seen, rows = df.agg(*aggs), []
     for name in df.columns:
         i = texts.index(name) if name in texts else None
-        named = max((LEVELS.index(k) for k, p in NAMES.items() if _found(p, name)), default=0)
+        named = max((LEVELS.index(k) for k, p in NAMES.items() if re.search(p, name)), default=0)
         valued = [F.when(F.col(f"{k}{i}") >= SHARE, LEVELS.index(k)).otherwise(0) for k in VALUES] if i is not None else []
         level = F.greatest(F.lit(named), F.lit(0), *valued)
         free = F.coalesce((F.col(f"length{i}") >= FREE_LENGTH) & (F.col(f"words{i}") >= FREE_WORDS), F.lit(False)) if i is not None else F.lit(False)
@@ -58,12 +59,6 @@ def personal_columns(df: DataFrame) -> DataFrame:
     return seen.select(F.inline(F.array(*rows)))
 
 
-def _found(pattern: str, name: str) -> bool:
-    import re
-
-    return bool(re.search(pattern, name))
-
-
 def scan_verdicts(found: Mapping[str, str], declared: Mapping[str, str | None]) -> dict[str, str]:
     """Columns whose declared class is missing, none, weaker than found, or no class at all."""
     out = {}
