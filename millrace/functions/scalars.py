@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def utc_from_tokyo(ts: str) -> Column:
     """The instant of a naive Tokyo time; a date means Tokyo midnight. Needs no zone table: Tokyo has no summer time."""
     return F.expr(f"cast({ts} as timestamp) - interval 9 hour")
@@ -62,9 +66,9 @@ def account_key(company: str | Column) -> Column:
     return F.substring(F.sha2(company, 256), 1, 16)
 
 
-def with_tax(amount: str, rate: float) -> Column:
-    return F.round(F.col(amount) * (1 + rate)).cast("long")
+def with_tax(amount: str | Column, rate: float) -> Column:
+    return F.round(_col(amount) * (1 + rate)).cast("long")
 
 
-def without_tax(amount: str, rate: float) -> Column:
-    return F.round(F.col(amount) / (1 + rate)).cast("long")
+def without_tax(amount: str | Column, rate: float) -> Column:
+    return F.round(_col(amount) / (1 + rate)).cast("long")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, metrics
+from ..functions import scalars
+from ..operators import contracts, history, metrics, quality
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -165,3 +166,41 @@ def account_latest_window(spark, d):
 @query("select event_id, try_cast(regexp_replace(props, '[^0-9]', '', 'g') as bigint) as k from events")
 def digits_safe_cast(spark, d):
     return table(spark, d, "events").select("event_id", F.expr("try_cast(regexp_replace(props, '[^0-9]', '') as bigint)").alias("k"))
+
+
+@query("""select * from (
+  select 'o_orderpriority' as "column", 'str_matches' as "check", count(*) filter (where not regexp_matches(o_orderpriority, '^[1-4]-')) as n_rows from orders
+  union all select 'o_orderstatus', 'isin', count(*) filter (where o_orderstatus not in ('F', 'O')) from orders
+  union all select 'o_totalprice', 'ge(5000)', count(*) filter (where o_totalprice < 5000) from orders
+  union all select 'o_custkey', 'unique', coalesce(sum(n), 0)::bigint from (select count(*) as n from orders group by o_custkey having count(*) > 1)) where n_rows > 0""")
+def contract_violations(spark, d):
+    orders = table(spark, d, "orders")
+    checks = [contracts.matches("o_orderpriority", "^[1-4]-"), contracts.one_of("o_orderstatus", ["F", "O"]), contracts.at_least("o_totalprice", 5000)]
+    return contracts.violations(orders, contracts.Contract(orders.columns, nullable=orders.columns, checks=checks, unique=[["o_custkey"]]))
+
+
+@query("""with files as (select cast(date_trunc('day', ts) as date) as day, count(*) as n_rows, count(*) filter (where event_type = 'error' and value > 400) as bad from events group by 1)
+select day, n_rows from files where bad = 0""")
+def quarantine_whole_files(spark, d):
+    """One file a day: a single bad event quarantines its day."""
+    events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    good = contracts.Check("event_type", "no_large_error", (F.col("event_type") != "error") | F.coalesce(F.col("value") <= 400, F.lit(True)))
+    kept, _ = contracts.split_files(events, contracts.Contract(events.columns, nullable=events.columns, checks=[good]), "day")
+    return kept.groupBy("day").agg(F.count("*").alias("n_rows"))
+
+
+@query("select o_custkey, count(*) as n_rows from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer where c_acctbal >= 0) group by o_custkey")
+def quality_relationships(spark, d):
+    return quality.without_parent(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer").filter("c_acctbal >= 0"), "c_custkey")
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n_rows from lineitem where l_orderkey is not null and l_linenumber is not null group by all having count(*) > 1")
+def quality_not_unique(spark, d):
+    return quality.not_unique(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select event_id, ts - interval 9 hour as utc_ts, cast(ts + interval 9 hour as date) as tokyo_day, split_part(event_type, 'i', 2) as part, sha256('E:' || cast(user_id as varchar)) as pseudonym, cast(round(cast(user_id as double) * 1.5) as bigint) as taxed from events")
+def scalar_functions(spark, d):
+    return table(spark, d, "events").select(
+        "event_id", scalars.utc_from_tokyo("ts").alias("utc_ts"), scalars.tokyo_date("ts").alias("tokyo_day"), F.split_part("event_type", F.lit("i"), F.lit(2)).alias("part"), scalars.pseudonym("user_id", "E").alias("pseudonym"), scalars.with_tax(F.col("user_id").cast("double"), 0.5).alias("taxed")
+    )
