@@ -25,6 +25,8 @@ FEATURES, RANK, BLOCK = 8192, 32, 24
 COSINE, COMMON, MOST_ITEMS = 0.5, 0.6, 100_000
 #: Words whose latent vectors are held at once.
 PACK = 4096 * BLOCK
+#: Cells of words by items that are held at once.
+CELLS = 20_000_000
 #: Rows of a matrix that are summed as one.
 PART = 256
 _WORD = re.compile(r"[^\W_]+")
@@ -154,6 +156,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     distinct = [np.array([xxhash.xxh32_intdigest(w) % FEATURES for w in set(own)]) for _, own, _ in items]
     offsets = np.cumsum([0, *map(len, distinct)])[:-1]
     needed = np.array([common * len(d) * 0.8 for d in distinct])
+    features, sets = np.concatenate(distinct) if items else None, [set(own) for _, own, _ in items]
+    # A bit for each feature and item, 1 KB an item; and how many steps of half a block an item is long.
+    bits = np.zeros((FEATURES, len(items)), bool)
+    for k, d in enumerate(distinct):
+        bits[d, k] = True
+    bits = np.packbits(bits, axis=1)
+    steps = np.array([-(-len(own) // (BLOCK // 2)) for _, own, _ in items])
+    pack = max(1, CELLS // max(1, len(items)) // (BLOCK // 2)) * (BLOCK // 2)
+
+    def _candidates(f: np.ndarray, possible: np.ndarray) -> zip:
+        """Passages and items whose cosine is high and whose window holds enough of the item's features."""
+        half, sums, hits = BLOCK // 2, [], []
+        for i in range(0, len(f), pack):
+            part = f[i : i + pack]
+            at = np.arange(0, len(part), half)
+            sums.append(np.add.reduceat(basis[part], at))
+            hits.append(np.add.reduceat(np.unpackbits(bits[part], axis=1, count=len(items))[:, possible], at, dtype=np.int32))
+        total = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.concatenate(sums), 0)])
+        held = np.concatenate([np.zeros((1, len(possible)), np.int64), np.cumsum(np.concatenate(hits), 0)])
+        n = len(total) - 1
+        place = np.arange(n)[:, None]
+        columns = np.arange(len(possible))
+        enough = held[np.minimum(place + 4 + steps[possible], n), columns] - held[np.maximum(place - steps[possible], 0), columns] >= needed[possible]
+        close = _unit(total[np.minimum(place[:, 0] + 4, n)] - total[:-1]) @ latent[possible].T >= cosine
+        p, k = np.nonzero(enough & close)
+        return zip(p, possible[k], strict=True)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -166,25 +194,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                     # No window holds more of an item's words than the text does: those items cannot be candidates.
                     there = np.zeros(FEATURES, bool)
                     there[f] = True
-                    possible = np.flatnonzero(np.add.reduceat(there[np.concatenate(distinct)], offsets, dtype=int) >= needed)
-                    starts = np.arange(0, len(words), BLOCK // 2)
-                    part = [np.add.reduceat(basis[f[i : i + PACK]], np.arange(0, len(f[i : i + PACK]), BLOCK // 2)) for i in range(0, len(f) if len(possible) else 0, PACK)]
-                    total = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.concatenate(part), 0)]) if part else None
-                    last = np.minimum(np.arange(len(starts)) + 4, len(starts))
-                    passages = _unit(total[last] - total[:-1]) if part else None
-                    for k in possible:
+                    possible = np.flatnonzero(np.add.reduceat(there[features], offsets, dtype=int) >= needed)
+                    for p, k in _candidates(f, possible) if len(possible) else ():
                         i, own, _ = items[k]
-                        at = np.flatnonzero(passages @ latent[k] >= cosine)
-                        los, his = np.maximum(0, starts[at] - len(own)), np.minimum(starts[at] + 2 * BLOCK + len(own), len(words))
-                        there = np.zeros(FEATURES, bool)
-                        there[distinct[k]] = True
-                        hits = np.r_[0, np.cumsum(there[f])]
-                        full = hits[his] - hits[los] >= needed[k]
-                        for lo, hi in zip(los[full], his[full], strict=True):
-                            if found.get(i, 0) >= 1:
-                                break
-                            window = words[lo:hi]
-                            if len(set(own).intersection(window)) >= needed[k]:
+                        if found.get(i, 0) < 1:
+                            start = p * (BLOCK // 2)
+                            window = words[max(0, start - len(own)) : start + 2 * BLOCK + len(own)]
+                            if len(sets[k].intersection(window)) >= needed[k]:
                                 # Windows as long as the item, so that words strewn over a long text do not add up.
                                 for at in range(0, max(1, len(window) - len(own)) + 1, max(1, len(own) // 8)):
                                     share = common_subsequence(own, window[at : at + len(own) + len(own) // 8 + 1]) / len(own)
