@@ -2,9 +2,10 @@
 
 Texts with equal words are one set. In each of TREES independent trees a set goes down a path of minwise
 tokens: nodes are the sets that agree on the coordinates chosen so far. Small nodes are compared exhaustively
-by signature; larger ones branch on two further coordinates. What is still large at the last level is one mass
-of similar sets, whose members are compared in a random ring and with a random head, other ones on every path.
-Every candidate is confirmed on the full shingle sets; components come from min-label propagation with
+by signature; larger ones branch on two further coordinates. What is still large at the last level is a mass of
+similar sets. Masses with a common member are joined, cut into parts, and every two parts are searched together for
+all their links on the full shingle sets; of the links a spanning forest is kept, which has the same components.
+The other candidates are confirmed on the full shingle sets, too; components come from min-label propagation with
 pointer jumping over written edges.
 """
 
@@ -23,6 +24,8 @@ from .common import small, table, written
 
 #: Words of a shingle; coordinates of a signature; trees; coordinates of the first level; levels; rows of a small node.
 SHINGLE, COORDS, TREES, FIRST, LEVELS, SMALL = 5, 96, 14, 3, 3, 24
+#: Parts of a mass, and shingles of a part from which there are more parts.
+PARTS, PART_SHINGLES = 8, 500_000
 #: Share of equal coordinates, below the threshold, that a candidate needs to be confirmed.
 SLACK = 0.2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -106,8 +109,8 @@ def _keys(level: int):
     return F.pandas_udf(run, "array<long>")
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """a < b: pairs of representatives whose signatures agree on enough coordinates."""
+def candidates(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """a < b: pairs of representatives whose signatures agree on enough coordinates; rep, mass: what is in a large last node."""
     least = int((threshold - SLACK) * COORDS)
 
     def agree(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -123,30 +126,63 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         hung = slim.select("rep", F.posexplode(_keys(level)("sig")).alias("path", "key"))
         tally = hung.groupBy("path", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
         small = written(tally, f"near_nodes_{level}")
-        last = level == LEVELS - 1
         members = written(hung.join(small, ["path", "key"]).join(slim, "rep"), f"near_members_{level}")
         near = members.filter(f"rows <= {SMALL}")
         node = Window.partitionBy("path", "key").orderBy("sig", "rep")
         ahead = near.withColumn("later", F.collect_list(F.struct("rep", "sig")).over(node.rowsBetween(1, SMALL)))
         pairs = ahead.select(F.col("rep").alias("x"), F.col("sig").alias("xs"), F.explode("later").alias("o"))
-        if last:
-            # Every path orders the members anew and has a head of its own, so the paths' rings and stars differ. The
-            # ring is dealt over parts of the node, so that one mass of copies is no single task.
-            mass = members.filter(f"rows > {SMALL}").withColumn("h", F.xxhash64("path", "sig"))
-            mass = mass.withColumn("part", F.pmod("h", F.ceil(F.col("rows") / 256)))
-            ring = Window.partitionBy("path", "key", "part").orderBy("h", "rep")
-            following = mass.select("rep", "sig", F.lead(F.struct("rep", "sig")).over(ring).alias("o")).filter("o is not null")
-            heads = mass.groupBy("path", "key").agg(F.min_by(F.struct("rep", "sig"), "h").alias("o"))
-            pairs = pairs.union(following).union(mass.join(heads, ["path", "key"]).select("rep", "sig", "o"))
         good = pairs.filter("x <> o.rep").filter(agreed("xs", "o.sig") >= least)
         found.append(written(good.select(F.least("x", "o.rep").alias("a"), F.greatest("x", "o.rep").alias("b")).distinct(), f"near_pairs_{level}"))
-        if not last:
-            # Sets of large nodes go on; those of small nodes are done in that tree.
-            slim = members.filter(f"rows > {SMALL}").select("rep", "sig").distinct()
+        # Sets of large nodes go on; those of small nodes are done in that tree.
+        large = members.filter(f"rows > {SMALL}")
+        slim = large.select("rep", "sig").distinct()
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return written(out.distinct(), "near_candidates")
+    heads = large.groupBy("path", "key").agg(F.min("rep").alias("a"))
+    tied = large.join(heads, ["path", "key"]).select("a", F.col("rep").alias("b")).distinct()
+    masses = components(slim.select("rep").distinct(), tied.filter("a <> b"))
+    return written(out.distinct(), "near_candidates"), written(masses.withColumnRenamed("component", "mass"), "near_masses")
+
+
+def forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of all links between the sets: each set that is reached is held against all that are not yet."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(codes, kind="stable")]
+    first = np.cumsum(np.r_[0, np.bincount(codes)])
+    out, free, percent = [], np.ones(len(sets), bool), round(threshold * 100)
+    for seed in range(len(sets)):
+        todo = [seed] if free[seed] else []
+        free[seed] = False
+        while todo and free.any():
+            x = todo.pop()
+            own = codes[ends[x] - sizes[x] : ends[x]]
+            n = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holders[at], minlength=len(sets))
+            hit = np.flatnonzero(free & (100 * both >= percent * (sizes[x] + sizes - both)))
+            free[hit] = False
+            out += [(x, y) for y in hit.tolist()]
+            todo += hit.tolist()
+    return out
+
+
+def mass_links(sets: DataFrame, masses: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that hold together whatever is linked inside a mass. Every two parts of a mass meet in one group."""
+    held = sets.join(masses, "rep")
+    parts = held.groupBy("mass").agg(F.greatest(F.lit(PARTS), F.ceil(F.sum(F.size("s")) / PART_SHINGLES)).alias("parts"))
+    own = held.join(small(parts), "mass").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> other")
+    met = other.select("rep", "s", "mass", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        reps = group["rep"].to_numpy()
+        return pd.DataFrame([(reps[x], reps[y]) for x, y in forest(list(group["s"]), threshold) if reps[x] != reps[y]], columns=["a", "b"])
+
+    rep = sets.schema["rep"].dataType.simpleString()
+    return met.groupBy("mass", "lo", "hi").applyInPandas(links, f"a {rep}, b {rep}").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -177,9 +213,9 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     rows = written(source.select("doc_id", f("text").alias("f")).select("doc_id", "f.*"), "near_rows")
     worded = rows.filter("n > 0 and doc_id is not null")
     classes = written(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near_classes")
-    pairs = candidates(classes.select("rep", "sig"), threshold)
-    # Full sets, of the texts that are in a candidate pair only.
-    asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", F.col("h1").alias("c1"), F.col("h2").alias("c2")), "rep")
+    pairs, masses = candidates(classes.select("rep", "sig"), threshold)
+    # Full sets, of the texts that are in a candidate pair or a mass only.
+    asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(masses.select("rep")).distinct().join(classes.select("rep", F.col("h1").alias("c1"), F.col("h2").alias("c2")), "rep")
     texts = source.join(small(asked), F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", F.pandas_udf(_sets, "h1 long, h2 long, s array<long>")("text").alias("f"))
     sets = written(texts.filter("f.h1 = c1 and f.h2 = c2").dropDuplicates(["rep", "c1", "c2"]).select("rep", "f.s"), "near_sets")
 
@@ -194,7 +230,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     lhs = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
     rhs = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     size = F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * round(threshold * 100)
-    edges = written(pairs.join(lhs, "a").join(rhs, "b").filter(size).filter(confirm("sa", "sb")).select("a", "b"), "near_links")
+    edges = written(pairs.join(lhs, "a").join(rhs, "b").filter(size).filter(confirm("sa", "sb")).select("a", "b").union(mass_links(sets, masses, threshold)), "near_links")
     # Equal representatives of two classes (a repeated id with different texts) are linked by the id itself.
     named = components(classes.select("rep").distinct(), edges)
     final = classes.join(named, "rep").select("h1", "h2", "component")

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -63,6 +64,19 @@ def test_near_dedup_finds_a_mass_of_variants(spark):
     assert {r.component_id for r in got if r.doc_id == 900} == {900}
 
 
+def test_near_dedup_finds_variants_that_are_near_one_original_only(spark):
+    r, rows = random.Random(4), []
+    for i in range(800):
+        words = [f"a{k}" for k in range(300)]
+        for k in r.sample(range(300), 4 if i != 400 else 0):
+            words[k] = f"v{i}.{k}"
+        rows.append((i, " ".join(words)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    near = {i for i, s in enumerate(sets) if 100 * len(both := set(s) & set(sets[400])) >= 85 * (len(s) + len(sets[400]) - len(both))}
+    assert len(near) > 700 and {r.component_id for r in got if r.doc_id in near} == {min(near)}
+
+
 def test_language_model_keeps_every_row(docs):
     rows = hmm.lm_scores(docs, docs["doc_id"] != 3).collect()
     assert len(rows) == len(ROWS)
