@@ -1,8 +1,8 @@
 """Language-model scores from a hidden Markov model.
 
 Words fall into classes by hash (a bounded number, the end of a text is its own class). Baum-Welch trains
-latent states over class sequences: every partition sums its expected counts, Spark adds them up by cell, and
-the scaled forward recursion gives the exact likelihood of a text's classes. The word within its class has its
+latent states over class sequences until the likelihood stops rising: every partition sums its expected counts,
+Spark adds them up by cell, and the scaled forward recursion gives the exact likelihood of a text's classes. The word within its class has its
 smoothed relative frequency from counts over the whole training corpus, so the sum of both is the log10
 probability of the text.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import fold, table, text_or_empty, written
 
-#: Latent states, hash classes (a power of two), rounds of Baum-Welch, texts in a vectorised batch.
-STATES, CLASSES, ROUNDS, TOGETHER = 4, 2048, 2, 2500
+#: Latent states, hash classes (a power of two, below 2 ** 15), texts in a vectorised batch.
+STATES, CLASSES, TOGETHER = 4, 2048, 10_000
+#: Training ends with the round whose model is better than the one before by less than this, in log10 a token. Rounds are not bounded.
+TOLERANCE = 0.0005
 #: The most frequent words, whose counts every task gets; the others are joined by their hash.
 FREQUENT = 65_536
 #: Words are known by 64-bit hashes; this one stands for the end of a text.
@@ -78,29 +80,31 @@ def forward(seqs: list[np.ndarray], p: np.ndarray, a: np.ndarray, e: np.ndarray)
 
 
 def expected(seqs: list[np.ndarray], p: np.ndarray, a: np.ndarray, e: np.ndarray):
-    """Expected counts of starts, transitions and emissions."""
+    """Expected counts of starts, transitions and emissions, and the log10 likelihood of all texts."""
     _, live, flat, at = _aligned(seqs)
-    et, alphas, scales, alpha = np.ascontiguousarray(e.T), [], [], None
+    et, one = np.ascontiguousarray(e.T), np.ones(STATES)
+    ends = np.cumsum(live)
+    gamma, obs, scales = np.empty((len(flat), STATES)), np.empty(len(flat), np.int32), np.empty(len(flat))
+    alpha = np.broadcast_to(p, (live[0], STATES))
     for t, n in enumerate(live):
-        alpha = (np.broadcast_to(p, (n, STATES)) if t == 0 else alpha[:n] @ a) * et[flat[at[:n] + t]]
-        s = alpha.sum(1)
-        alpha = alpha / s[:, None]
-        alphas.append(alpha)
-        scales.append(s)
-    gamma_all, obs_all = [], []
-    trans, beta = np.zeros((STATES, STATES)), np.zeros((0, STATES))
+        own = slice(ends[t] - n, ends[t])
+        obs[own] = o = flat[at[:n] + t]
+        alpha = (alpha if t == 0 else alpha[:n] @ a) * et[o]
+        scales[own] = s = alpha @ one
+        alpha /= s[:, None]
+        gamma[own] = alpha
+    trans, beta = np.zeros((STATES, STATES)), np.ones((live[0], STATES))
     for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        beta = np.concatenate([beta, np.ones((n - len(beta), STATES))])
-        gamma_all.append(alphas[t] * beta)
-        obs_all.append(flat[at[:n] + t])
+        n, own = live[t], slice(ends[t] - live[t], ends[t])
+        b = beta[:n]
+        gamma[own] *= b
         if t:
-            eb = et[obs_all[-1]] * beta / scales[t][:, None]
-            trans += alphas[t - 1][:n].T @ eb
-            beta = eb @ a.T
-    gamma, obs = np.concatenate(gamma_all), np.concatenate(obs_all)
+            eb = et[obs[own]] * b / scales[own, None]
+            before = ends[t - 1] - live[t - 1]
+            trans += gamma[before : before + n].T @ eb
+            beta[:n] = eb @ a.T
     emit = np.stack([np.bincount(obs, gamma[:, k], CLASSES + 1) for k in range(STATES)])
-    return (alphas[0] * beta).sum(0), trans * a, emit
+    return gamma[: live[0]].sum(0), trans * a, emit, np.log10(scales).sum()
 
 
 def _packs(batches: Iterator[pd.DataFrame]):
@@ -111,26 +115,31 @@ def _packs(batches: Iterator[pd.DataFrame]):
             yield part, [hashes(t, known) for t in part["text"]]
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over the texts of docs; what comes to the driver is one number a cell of the model."""
-    model = start()
-    for _ in range(ROUNDS):
+def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch over seq, the classes of texts as int16; what comes to the driver is one number a cell of the model."""
+    model, last = start(), -np.inf
+    while True:
 
         def count(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
-            for _, seqs in _packs(batches):
-                total += np.concatenate([x.ravel() for x in expected([_class(h) for h in seqs], *model)])
+            total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1) + 1)
+            for batch in batches:
+                for i in range(0, len(batch), TOGETHER):
+                    seqs = [np.frombuffer(x, np.int16) for x in batch["seq"].iloc[i : i + TOGETHER]]
+                    total += np.concatenate([np.ravel(x) for x in expected(seqs, *model)])
             at = np.flatnonzero(total)
             yield pd.DataFrame({"cell": at, "n": total[at]})
 
-        sums = docs.select("text").mapInPandas(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-        flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
+        sums = texts.select("seq").mapInPandas(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1) + 1)
         for r in sums:
             flat[r.cell] = r.n
-        p, a, e = np.split(flat, [STATES, STATES + STATES * STATES])
+        p, a, e, likelihood = np.split(flat, [STATES, STATES + STATES * STATES, len(flat) - 1])
         smooth = lambda x, k: (x + k) / (x + k).sum(-1, keepdims=True)
         model = smooth(p, 1.0), smooth(a.reshape(STATES, STATES), 1.0), smooth(e.reshape(STATES, -1), 0.1)
-    return model
+        mean = likelihood[0] / max(e.sum(), 1)
+        if mean - last < TOLERANCE:
+            return model
+        last = mean
 
 
 def lm_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,12 +150,15 @@ def lm_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     """
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The classes of every text, and with the first of a pack the counts of the pack's words."""
         for _, seqs in _packs(batches):
             w, n = np.unique(np.concatenate(seqs), return_counts=True)
-            yield pd.DataFrame({"w": w.view(np.int64), "n": n})
+            none = [None] * (len(seqs) - 1)
+            yield pd.DataFrame({"w": [w.view(np.int64), *none], "n": [n, *none], "seq": [_class(h).astype(np.int16).tobytes() for h in seqs]})
 
-    counted = own.filter("learns").select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
+    learned = written(own.filter("learns").select("text").mapInPandas(read, "w array<long>, n array<long>, seq binary"), "lm_classes")
+    counted = learned.filter("w is not null").select(F.explode(F.arrays_zip("w", "n")).alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("c"))
     counts = written(counted.withColumn("cls", F.when(F.col("w") == END, CLASSES).otherwise(F.pmod("w", F.lit(CLASSES))).cast("int")), "lm_counts")
     n_all, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     by_class = counts.groupBy("cls").agg(F.sum("c").alias("cc"), F.count("*").alias("cv"))  # CLASSES + 1 rows at most
@@ -156,7 +168,7 @@ def lm_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     top = counts.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "c").toPandas().sort_values("w")
     top_w, top_c = top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     whole = n_all + 0.5 * (vocabulary + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((train(own.filter("learns")), mass, top_w, top_c))
+    shared = docs.sparkSession.sparkContext.broadcast((train(learned), mass, top_w, top_c))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, mass, top_w, top_c = shared.value
