@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Patterns find the protected entities. The words that stand around them are counted over the corpus: a term
-whose documents mostly hold one and the same entity discloses that entity. The disclosure of term t is the
-largest P(entity | t), estimated from distinct contexts; terms beyond the threshold become spans too and are
-generalised, like the entities, in the sanitised text.
+Patterns find the protected entities. A term whose texts mostly hold one and the same entity discloses that entity.
+Both are counted in distinct texts, over the whole text: P(entity | term) is smoothed towards the entity's own share
+of all texts, so that a term seen once counts with less than certainty. Terms that close enough of the gap between
+that share and certainty become spans too and are generalised, like the entities, in the sanitised text.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Characters of context on either side, distinct contexts of an entity that a term needs, and the disclosure that makes it a span.
-CONTEXT, LEAST, DISCLOSURE = 60, 3, 0.5
-TERM = r"[A-Za-z\x{C0}-\x{24F}]{4,}"
+#: Texts that the entity's own share counts for, and the part of the gap to certainty that makes a term a span.
+SMOOTH, DISCLOSURE = 0.5, 0.5
+TERM = r"\p{L}[\p{L}\p{M}]+"
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -63,17 +63,28 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans_of(text, k, p) for k, p in kinds])
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
 def disclosing(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """key, terms: the texts that hold a disclosing term, by md5 of the text."""
-    around = rows.select("text_key", F.explode("contexts").alias("c")).select(F.sha2(F.col("c.value"), 256).alias("entity"), F.md5("c.around").alias("place"), F.explode(F.array_distinct(F.regexp_extract_all("c.around", F.lit(TERM), F.lit(0)))).alias("term"))
-    together = around.groupBy("entity", "term").agg(F.countDistinct("place").alias("n")).filter(F.col("n") >= LEAST)
-    likely = written(together.groupBy("term").agg(F.max("n").alias("n")), "pii_terms")
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(text_or_empty(text_col), F.lit(TERM), F.lit(0)))).alias("term")
-    held = docs.select(F.md5(text_or_empty(text_col)).alias("text_key"), terms)
-    hits = written(held.join(small(likely.select("term")), "term").distinct(), "pii_hits")
-    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    strong = written(spread.join(likely, "term").filter(F.col("n") >= DISCLOSURE * F.col("df")).select("term"), "pii_strong")
-    return hits.join(small(strong), "term")
+    """text_key, term: the texts that hold a disclosing term, by md5 of the text."""
+    keys = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
+    everything = keys.count()
+    held = rows.filter("size(base) > 0").dropDuplicates(["text_key"])
+    entities = held.select("own", F.explode(F.array_distinct(F.transform("base", lambda s: F.sha2(s["value"], 256)))).alias("entity"))
+    common = entities.groupBy("entity").agg(F.count("*").alias("texts"))
+    together = entities.select("entity", F.explode("own").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n"))
+    # A text that stands on several rows counts once: each of its rows has its part of 1.
+    text = text_or_empty(text_col)
+    repeated = written(keys.filter("copies > 1"), "pii_copies")
+    part = docs.select(F.md5(text).alias("text_key"), text.alias("text")).join(small(repeated), "text_key", "left")
+    spread = part.select(F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("part"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("part")).alias("df"))
+    share = F.col("texts") / everything
+    given = (F.col("n") + SMOOTH * share) / (F.col("df") + SMOOTH)
+    known = written(together.join(spread, "term").join(common, "entity").filter((given > share) & (given - share >= DISCLOSURE * (1 - share))).select("term").distinct(), "pii_strong")
+    terms = docs.select(F.md5(text).alias("text_key"), F.explode(_terms(text)).alias("term"))
+    return written(terms.join(small(known), "term").select("text_key", "term").distinct(), "pii_hits")
 
 
 def protected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,14 +95,9 @@ def protected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     text = text_or_empty(text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"), base_spans(text).alias("base"))
-
-    def context(s):
-        before = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        left = F.substring(F.col("text"), before.cast("int") + 1, (s["start"] - before).cast("int"))
-        return F.struct(s["value"].alias("value"), F.concat(left, F.lit(" "), F.substring(F.col("text"), s["end"].cast("int") + 1, F.lit(CONTEXT))).alias("around"))
-
-    rows = written(found.select("doc_id", "text_key", "base", F.transform("base", context).alias("contexts")), "pii_base")
-    hits = disclosing(rows.filter("size(contexts) > 0"), docs, text_col)
+    own = F.when(F.size("base") > 0, _terms(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    rows = written(found.select("doc_id", "text_key", "base", own.alias("own")), "pii_base")
+    hits = disclosing(rows, docs, text_col)
     marked = hits.groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     texts = docs.select(F.md5(text).alias("text_key"), text.alias("text")).join(small(marked), "text_key").groupBy("text_key", "terms").agg(F.first("text").alias("text"))
     pieces = texts.select("text_key", "terms", F.posexplode(F.arrays_zip(F.split("text", TERM).alias("p"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"))).alias("i", "x"))
@@ -100,7 +106,7 @@ def protected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     term = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("x.m")).alias("start"), "end", F.col("x.m").alias("value"))
     spans = ended.filter(F.array_contains("terms", F.col("x.m"))).groupBy("text_key").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     spans = written(spans, "pii_term_spans")
-    return rows.drop("contexts").join(small(spans), "text_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    return rows.drop("own").join(small(spans), "text_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -117,6 +117,17 @@ def test_licenses_and_personal_data(docs):
     assert [(s.kind, s.start, s.end) for s in own[7].base] == [("email", 5, 13), ("phone", 14, 29)]
 
 
+def test_terms_that_disclose_an_entity_become_spans(spark):
+    plain = [f"some plain words about rivers and hills in place number {i}" for i in range(60)]
+    far = "rivers and hills " * 20
+    texts = [*plain, f"Jo Nováková {far} write to jo.n@b.org", "some words and hills by jo.n@b.org"]
+    texts += [f"{' '.join(plain[i : i + 3])} regards 李 Łukasz Wu sales office +1 202 555 0100 rivers" for i in range(40)]
+    got = {r.doc_id: {s.value for s in r.terms} for r in pii.protected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[60] >= {"Jo", "Nováková"} and not got[60] & {"rivers", "and", "hills"} and "hills" not in got[61]
+    assert all(got[i] >= {"regards", "Łukasz", "Wu", "sales", "office"} and not got[i] & {"plain", "hills", "rivers"} for i in range(62, 102))
+    assert not any(got[i] for i in range(60))
+
+
 def test_text_mit_license_gets_the_method_label():
     _, base, spans = licenses.Scanner().scan("x " + licenses.TEMPLATES["mit-text"].title() + " y")
     assert not base and [s[0] for s in spans] == ["mit-text"]
