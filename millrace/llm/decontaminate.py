@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into overlapping passages of two word blocks. Words are hashed to a bounded number of features;
+Words are hashed to a bounded number of features;
 TF-IDF passages are projected to a few latent dimensions by a randomised SVD whose products are summed over
-partitions. A benchmark item is compared with every passage by cosine in the latent space; candidates are
-confirmed by the longest common subsequence of words, which paraphrases with changed words keep long.
+partitions. A passage of a text is as long as the benchmark item it is held against. Passages that hold too few of
+the item's words for a long common subsequence are out by exact counts; all others are compared, those of the highest
+cosine in the latent space first, by the longest common subsequence of words, which paraphrases keep long.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Hashed features, latent dimensions, words of a block (a passage is two blocks).
+#: Hashed features, latent dimensions, words of a passage that the space is made of.
 FEATURES, RANK, BLOCK = 8192, 32, 24
-#: Latent cosine of a candidate; share of an item's words in the common subsequence; runs of items on the driver at most.
-COSINE, COMMON, MOST_ITEMS = 0.5, 0.6, 100_000
+#: Share of an item's words in the common subsequence; runs of items on the driver at most.
+COMMON, MOST_ITEMS = 0.6, 100_000
 #: Words whose latent vectors are held at once.
 PACK = 4096 * BLOCK
 #: Cells of words by items that are held at once.
@@ -138,12 +139,12 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common: float = COMMON) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON) -> DataFrame:
     """All columns of docs with leak: n_items, items (ids, sorted), share (the largest part of an item found).
 
     Null and empty texts hold nothing; items without words are found nowhere; repeated rows get equal results; an
     empty table gives an empty result. Whole texts are read. More than MOST_ITEMS items are an error: the item set
-    is broadcast. An item longer than a passage is compared with as many passages as it is long.
+    is broadcast. Share is the largest over all runs of words an eighth longer than the item.
     """
     items = [(r.item_id, _ids(r.text, {})) for r in benchmark.select("item_id", "text").limit(MOST_ITEMS + 1).collect()]
     if len(items) > MOST_ITEMS:
@@ -152,36 +153,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     space = Space(docs.select("text"))
     latent = _unit(np.array([space.basis[f].sum(0) for _, _, f in items])) if items else np.zeros((0, RANK))
     basis = space.basis
-    # The features of every item's distinct words, and how many of the words a window must hold.
+    # Of the words in common, all are in the run: so many places hold words of the item, and so many of its distinct words are there.
     distinct = [np.array([xxhash.xxh32_intdigest(w) % FEATURES for w in set(own)]) for _, own, _ in items]
     offsets = np.cumsum([0, *map(len, distinct)])[:-1]
-    needed = np.array([common * len(d) * 0.8 for d in distinct])
+    sizes = np.array([len(own) for _, own, _ in items], int)
+    least = np.ceil(common * sizes - 1e-9).astype(int)
+    needed = np.array([len(d) for d in distinct], int) - sizes + least
     features, sets = np.concatenate(distinct) if items else None, [set(own) for _, own, _ in items]
-    # A bit for each feature and item, 1 KB an item; and how many steps of half a block an item is long.
+    # A bit for each feature and item, 1 KB an item.
     bits = np.zeros((FEATURES, len(items)), bool)
     for k, d in enumerate(distinct):
         bits[d, k] = True
     bits = np.packbits(bits, axis=1)
-    steps = np.array([-(-len(own) // (BLOCK // 2)) for _, own, _ in items])
-    pack = max(1, CELLS // max(1, len(items)) // (BLOCK // 2)) * (BLOCK // 2)
-
-    def _candidates(f: np.ndarray, possible: np.ndarray) -> zip:
-        """Passages and items whose cosine is high and whose window holds enough of the item's features."""
-        half, sums, hits = BLOCK // 2, [], []
-        for i in range(0, len(f), pack):
-            part = f[i : i + pack]
-            at = np.arange(0, len(part), half)
-            sums.append(np.add.reduceat(basis[part], at))
-            hits.append(np.add.reduceat(np.unpackbits(bits[part], axis=1, count=len(items))[:, possible], at, dtype=np.int32))
-        total = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.concatenate(sums), 0)])
-        held = np.concatenate([np.zeros((1, len(possible)), np.int64), np.cumsum(np.concatenate(hits), 0)])
-        n = len(total) - 1
-        place = np.arange(n)[:, None]
-        columns = np.arange(len(possible))
-        enough = held[np.minimum(place + 4 + steps[possible], n), columns] - held[np.maximum(place - steps[possible], 0), columns] >= needed[possible]
-        close = _unit(total[np.minimum(place[:, 0] + 4, n)] - total[:-1]) @ latent[possible].T >= cosine
-        p, k = np.nonzero(enough & close)
-        return zip(p, possible[k], strict=True)
+
+    def _share(own: list[str], words: list[str], run: int, enough: int) -> float:
+        """The largest share in a run of the words; first all of them at once."""
+        if common_subsequence(own, words) < enough:
+            return 0.0
+        return max(common_subsequence(own, words[i : i + run]) for i in range(max(1, len(words) - run + 1))) / len(own)
+
+    def _found(words: list[str], f: np.ndarray, possible: np.ndarray) -> dict:
+        found: dict = {}
+        total = None
+        for c in range(0, len(possible), max(1, CELLS // len(f))):
+            columns = possible[c : c + max(1, CELLS // len(f))]
+            inside = np.stack([bits[f, k >> 3] >> (7 - (k & 7)) & 1 for k in columns.tolist()])
+            held = np.zeros((len(columns), len(f) + 1), np.int32)
+            np.cumsum(inside, 1, out=held[:, 1:])
+            for row, k in zip(held, columns.tolist(), strict=True):
+                # Passages of a run and a step, a step apart: every run is whole in one of them.
+                i, own, _ = items[k]
+                step = max(1, len(own) // 8)
+                run = len(own) + len(own) // 8 + 1
+                at = np.arange(0, max(1, len(f) - run + step), step)
+                end = np.minimum(at + run + step, len(f))
+                hit = np.flatnonzero(row[end] - row[at] >= least[k])
+                hit = [h for h in hit if len(sets[k].intersection(words[at[h] : end[h]])) >= needed[k]]
+                if not hit:
+                    continue
+                if total is None:
+                    total = np.concatenate([np.zeros((1, RANK)), np.cumsum(basis[f], 0)])
+                best = 0.0
+                for h in np.array(hit)[np.argsort(-(_unit(total[end[hit]] - total[at[hit]]) @ latent[k]), kind="stable")]:
+                    if best == 1:
+                        break
+                    best = max(best, _share(own, words[at[h] : end[h]], run, least[k]))
+                if best >= common - 1e-9:
+                    found[i] = max(found.get(i, 0), best)
+        return found
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -191,21 +210,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 words, f = _ids(text, known)
                 found: dict = {}
                 if len(words) and items:
-                    # No window holds more of an item's words than the text does: those items cannot be candidates.
+                    # No passage holds more of an item's words than the text does: those items cannot be found.
                     there = np.zeros(FEATURES, bool)
                     there[f] = True
                     possible = np.flatnonzero(np.add.reduceat(there[features], offsets, dtype=int) >= needed)
-                    for p, k in _candidates(f, possible) if len(possible) else ():
-                        i, own, _ = items[k]
-                        if found.get(i, 0) < 1:
-                            start = p * (BLOCK // 2)
-                            window = words[max(0, start - len(own)) : start + 2 * BLOCK + len(own)]
-                            if len(sets[k].intersection(window)) >= needed[k]:
-                                # Windows as long as the item, so that words strewn over a long text do not add up.
-                                for at in range(0, max(1, len(window) - len(own)) + 1, max(1, len(own) // 8)):
-                                    share = common_subsequence(own, window[at : at + len(own) + len(own) // 8 + 1]) / len(own)
-                                    if share >= common:
-                                        found[i] = max(found.get(i, 0), share)
+                    found = _found(words, f, possible)
                 out.append((len(found), sorted(found), max([0.0, *found.values()])))
             yield pd.DataFrame(out, columns=["n_items", "items", "share"])
 

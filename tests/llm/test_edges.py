@@ -163,6 +163,22 @@ def test_paraphrased_benchmark_item_is_found(spark):
     assert got == {1: [5], 2: [], 3: []}
 
 
+def test_short_benchmark_items_are_found_in_any_text(spark):
+    r = random.Random(7)
+    host = [f"{c}{i}" for c in "gh" for i in range(500)]
+    bench = [(k, " ".join(r.choice(host) for _ in range(r.randint(15, 29)))) for k in range(100)]
+    rows = []
+    for k, text in bench:
+        own = [w if r.random() > 0.2 else "changed" for w in text.split()] if k % 2 else text.split()
+        if sum(w != "changed" for w in own) < 0.6 * len(own):
+            own = text.split()
+        words = [r.choice(host) for _ in range(300)]
+        at = r.randrange(300)
+        rows.append((k, " ".join([*words[:at], *own, *words[at:]])))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert [x.doc_id for x in got.collect() if x.doc_id not in x.leak["items"]] == []
+
+
 def test_toxicity_learns_and_handles_empty_texts(spark):
     rows = [(i, f"plain words here number {'scum ' if i % 2 else ''} {i}") for i in range(200)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
