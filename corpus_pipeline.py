@@ -16,10 +16,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, once. Rows without id stay."""
-    dropped = near_dedup.near_groups(docs).filter("not kept").select("doc_id")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """One document of each group: the one with the smallest id, once. Rows without id or words stay."""
+    return near_dedup.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
