@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: Words are runs of anything but space and the ASCII controls from tab to carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
 
-    The shuffle files that made it are deleted, since nothing reads them again.
+    The shuffle files that made it are deleted, since nothing reads them again; Python gets few rows at once, since
+    texts may be long. Both settings hold for this write only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
     return out

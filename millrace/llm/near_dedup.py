@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +33,25 @@ ASKED = 400_000
 _A = np.random.default_rng(9).integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sets(texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
-    """Class (a hash of the word sequence, null without words) and sorted distinct shingle hashes of each text."""
+def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Class (a hash of the word sequence, 0 without words) and sorted distinct shingle hashes of each text."""
     for _, words, ends in tokens(texts, SPACED):
         h = np.zeros(max(len(words) - SHINGLE + 1, 0), np.uint64)
         for i in range(SHINGLE):
             h = mixed((h ^ words[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15))
         # The class takes every word with its place.
-        place = np.arange(len(words), dtype=np.uint64) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])).astype(np.uint64)
+        begins = np.r_[0, ends[:-1]]
+        place = np.arange(len(words), dtype=np.uint64) - np.repeat(begins, ends - begins).astype(np.uint64)
         each = mixed((words ^ (place * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15))
         sums = np.r_[np.uint64(0), np.cumsum(each)]
-        begins = np.r_[0, ends[:-1]]
         classes = (sums[ends] - sums[begins]).view(np.int64)
         for k, (a, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
-            s = np.unique(h[a : e - SHINGLE + 1].view(np.int64)) if e - a >= SHINGLE else classes[k : k + int(e > a)]
-            yield (int(classes[k]) if e > a else None), s
+            yield int(classes[k]), np.unique(h[a : e - SHINGLE + 1].view(np.int64)) if e - a >= SHINGLE else classes[k : k + int(e > a)]
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
-    return next(_sets(pd.Series([text], dtype=object)))[1]
+    return next(_sets(pa.array([text], pa.string())))[1]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -64,16 +63,38 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def _features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        out = [(len(s), c, signature(s).tobytes() if len(s) else None) for c, s in _sets(batch)]
-        frame = pd.DataFrame(out, columns=["n", "class", "sig"])
-        yield frame.astype({"class": "Int64"})
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
+
+
+def _with(batch: pa.RecordBatch, without: str, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch without one column and with others."""
+    own = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != without} | columns
+    return pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(c, len(s), signature(s).tobytes() if len(s) else None) for c, s in _sets(batch.column("text"))]
+        c, n, sig = zip(*found, strict=True) if found else ((), (), ())
+        yield _with(batch, "text", {"class": pa.array(c, pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
+
 
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows whose class is asked for."""
+    for batch in batches:
+        found = list(_sets(batch.column("text")))
+        own = np.array([c for c, _ in found], np.int64) == batch.column("rep").to_numpy()
+        kept = _with(batch, "text", {}).filter(pa.array(own))
+        yield _with(kept, "", {"s": _lists([s for (_, s), x in zip(found, own.tolist(), strict=True) if x])})
 
-def _full(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        yield pd.DataFrame(list(_sets(batch)), columns=["class", "s"]).astype({"class": "Int64"})
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    """Rows of a matrix; signatures are never null and all of one size."""
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * COORDS * 4].view(np.uint32).reshape(-1, COORDS) if len(column) else np.empty((0, COORDS), np.uint32)
 
 
 def _key(tree: int, picks: list[int], sig: np.ndarray) -> np.ndarray:
@@ -96,40 +117,46 @@ def _paths(level: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def _keys(level: int):
+def _hung(level: int):
+    """rep, path, key: the nodes of a level that each class hangs on."""
     paths = _paths(level)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            sig = np.stack([np.frombuffer(x, np.uint32) for x in b]) if len(b) else np.empty((0, COORDS), np.uint32)
-            yield pd.Series(list(np.stack([_key(t, p, sig) for t, p in paths], 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _signatures(batch.column("sig"))
+            keys = np.concatenate([_key(t, p, sig) for t, p in paths])
+            path = np.repeat(np.arange(len(paths), dtype=np.int32), len(sig))
+            rep = np.tile(batch.column("rep").to_numpy(), len(paths))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(path), pa.array(keys)], names=["rep", "path", "key"])
 
-    return F.pandas_udf(run, "array<long>")
+    return run
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: classes whose signatures agree on enough coordinates, and what a large node of the last level ties together."""
-    least = int((threshold - SLACK) * COORDS)
+def _agreeing(least: int):
+    """a, b of the pairs whose signatures agree on enough coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            keep = (_signatures(batch.column("xs")) == _signatures(batch.column("ys"))).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"])
 
-    def agree(left: pd.Series, right: pd.Series) -> pd.Series:
-        if not len(left):
-            return pd.Series([], dtype="int32")
-        x = np.stack([np.frombuffer(v, np.uint32) for v in left])
-        y = np.stack([np.frombuffer(v, np.uint32) for v in right])
-        return pd.Series((x == y).sum(1).astype("int32"))
+    return run
 
-    agreed = F.pandas_udf(agree, "int")
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: classes whose signatures agree on enough coordinates, and what a large node of the last level ties together."""
     slim, found, used = sets.select("rep", "sig"), [], []
     for level in range(LEVELS):
-        hung = slim.select("rep", F.posexplode(_keys(level)("sig")).alias("path", "key"))
+        hung = slim.select("rep", "sig").mapInArrow(_hung(level), "rep long, path int, key long")
         tally = written(hung.groupBy("path", "key").agg(F.count("*").alias("rows")).filter("rows > 1"), f"near_nodes_{level}")
         members = written(hung.join(small(tally), ["path", "key"]).join(slim, "rep"), f"near_members_{level}")
         node = Window.partitionBy("path", "key").orderBy("sig", "rep")
         near = members.filter(f"rows <= {SMALL}")
         ahead = near.withColumn("later", F.collect_list(F.struct("rep", "sig")).over(node.rowsBetween(1, SMALL)))
-        pairs = ahead.select(F.col("rep").alias("x"), F.col("sig").alias("xs"), F.explode("later").alias("o"))
-        good = pairs.filter(agreed("xs", "o.sig") >= least)
-        found.append(written(good.select(F.least("x", "o.rep").alias("a"), F.greatest("x", "o.rep").alias("b")).distinct(), f"near_pairs_{level}"))
+        pairs = ahead.select(F.col("rep").alias("x"), F.col("sig").alias("xs"), F.explode("later").alias("o")).select("x", "xs", F.col("o.rep").alias("y"), F.col("o.sig").alias("ys"))
+        good = pairs.mapInArrow(_agreeing(int((threshold - SLACK) * COORDS)), "a long, b long")
+        found.append(written(good.distinct(), f"near_pairs_{level}"))
         # Classes of large nodes go on; those of small nodes are done in that tree.
         large = members.filter(f"rows > {SMALL}")
         used += [tally, members]
@@ -181,12 +208,14 @@ def clusters(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _searched(groups: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """hub, rep for every class of each group of sets."""
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("rep")
-        reps = group["rep"].to_numpy()
-        return pd.DataFrame({"hub": reps[clusters(list(group["s"]), threshold)], "rep": reps})
+    def links(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        reps, first = np.unique(group.column("rep").to_numpy(), return_index=True)
+        own = group.column("s").combine_chunks()
+        values, at = own.values.to_numpy(), own.offsets.to_numpy()
+        return pa.table({"hub": reps[clusters([values[at[i] : at[i + 1]] for i in first.tolist()], threshold)], "rep": reps})
 
-    return groups.groupBy(*keys).applyInPandas(links, "hub long, rep long")
+    return groups.groupBy(*keys).applyInArrow(links, "hub long, rep long")
 
 
 def mass_links(sets: DataFrame, threshold: float) -> DataFrame:
@@ -248,9 +277,10 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", t
     common mass is missed with a chance of about (1 - t^3)^TREES: 4e-5 at 0.8, 2e-6 at 0.85. An empty table gives an
     empty result; other columns are ignored.
     """
-    f = F.pandas_udf(_features, "n long, class long, sig binary")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(source.select("doc_id", F.xxhash64("text").alias("text_key"), f("text").alias("f")).select("doc_id", "text_key", "f.*"), "near_rows")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = written(keyed.mapInArrow(_features, f"doc_id {kind}, text_key long, class long, n long, sig binary"), "near_rows")
     worded = rows.filter("n > 0 and doc_id is not null")
     classes = written(worded.groupBy(F.col("class").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "near_classes")
     pairs = candidates(classes.select("rep", "sig"), threshold)
@@ -259,7 +289,7 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", t
     asked = written(masses.join(small(written(parts, "near_parts")), "mass", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "near_asked")
     # Full sets, of one text of each class in a mass only.
     texts = source.filter("doc_id is not null").join(small(asked.withColumnRenamed("first_id", "doc_id"), ASKED), "doc_id")
-    full = texts.select("rep", "mass", "n", "parts", F.pandas_udf(_full, "class long, s array<long>")("text").alias("f")).filter("f.class = rep").select("rep", "mass", "n", "parts", "f.s")
+    full = texts.select("rep", "mass", "n", "parts", "text").mapInArrow(_full, "rep long, mass long, n long, parts long, s array<long>")
     if not worded.groupBy("doc_id", "class").count().filter("count > 1").isEmpty():
         full = full.dropDuplicates(["rep"])
     sets = written(full, "near_sets")

@@ -1,8 +1,8 @@
 """Words of whole texts as 64-bit hashes, found for many texts at once.
 
 Bytes are classed by a table, words are the runs between separators, and a word's hash is the mixed sum of its bytes'
-random numbers times powers of an odd number, taken from sums over the whole slice. Texts are joined by a separator,
-so no word crosses them. Two different words share a hash with a chance of about 2^-60; memory follows SLICE, not the
+random numbers times powers of an odd number, taken from sums over the whole slice. Arrow's
+own buffers are read, without a Python object for a text. Two different words share a hash with a chance of about 2^-60; memory follows SLICE, not the
 length of a batch or text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that are held as arrays at once.
 SLICE = 1 << 18
@@ -31,7 +32,6 @@ class Table:
         self.parts = np.zeros(256, bool)
         self.parts[list(separators)] = True
         self.random = _RANDOM[lower]
-        self.separator = bytes([int(np.flatnonzero(self.parts)[-1])])
 
 
 #: Words of anything but the space and the controls from tab to carriage return.
@@ -47,58 +47,69 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashed(data: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word."""
-    edge = np.flatnonzero(np.diff(~table.parts[data], prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
+def _hashed(data: np.ndarray, table: Table, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word; no word goes over a cut."""
+    inside = ~table.parts[data]
+    begin, stop = inside.copy(), np.zeros(len(data) + 1, bool)
+    begin[1:] &= ~inside[:-1]
+    stop[1:] = inside
+    stop[1:-1] &= ~inside[1:]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    begin[cuts] = inside[cuts]
+    stop[cuts] = inside[cuts - 1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop)
     up, down = (_UP, _DOWN) if len(data) < len(_UP) else (_powers(_ODD, len(data)), _powers(pow(_ODD, -1, 1 << 64), len(data)))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table.random[data] * up[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[start]) * down[start]), start
 
 
-def _pieces(data: bytes, parts: np.ndarray) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int]]:
     """Slices that end behind a separator, so that words stay whole; a word longer than a slice makes a longer one."""
     at = 0
     while at < len(data):
         end = min(at + SLICE, len(data))
         while end < len(data):
-            back = np.flatnonzero(parts[np.frombuffer(data, np.uint8, end - at, at)[-4096:]])
+            back = np.flatnonzero(parts[data[max(at, end - 4096) : end]])
             if len(back):
-                end -= min(4096, end - at) - 1 - int(back[-1])
+                end = max(at, end - 4096) + int(back[-1]) + 1
                 break
             end = min(end + 4096, len(data))
         yield at, end
         at = end
 
 
-def tokens(texts: Iterable[str | None], table: Table = SPACED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts_of(texts: Iterable[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts and where each begins (and the last ends); nulls are empty."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string(), from_pandas=True)
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    own = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), own
+
+
+def tokens(texts: Iterable[str | None] | pa.Array, table: Table = SPACED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, hashes, ends): words of neighbouring texts, where text i ends with word ends[i - first].
 
     Whole texts come together, about SLICE bytes at once; a longer text comes alone.
     """
-    own, size, first, i = [], 0, 0, -1
-    for i, t in enumerate(texts):
-        b = (t or "").encode()
-        if own and size + len(b) > SLICE:
-            yield first, *_together(own, table)
-            own, size, first = [], 0, i
-        own.append(b)
-        size += len(b) + 1
-    if own:
-        yield first, *_together(own, table)
-
-
-def _together(own: list[bytes], table: Table) -> tuple[np.ndarray, np.ndarray]:
-    if len(own) == 1 and len(own[0]) > SLICE:
-        h = np.concatenate([_hashed(np.frombuffer(own[0], np.uint8, e - a, a), table)[0] for a, e in _pieces(own[0], table.parts)])
-        return h, np.array([len(h)])
-    # A separator behind every text keeps its last word from the next text's first.
-    h, start = _hashed(np.frombuffer(table.separator.join([*own, b""]), np.uint8), table)
-    return h, np.searchsorted(start, np.cumsum([len(b) + 1 for b in own]))
-
-
-def sequences(texts: Iterable[str | None], table: Table = SPACED) -> Iterator[np.ndarray]:
+    data, offsets = texts_of(texts)
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        own, cuts = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        if len(own) > SLICE:
+            h = np.concatenate([_hashed(own[a:e], table, cuts[:0])[0] for a, e in _pieces(own, table.parts)])
+            yield first, h, np.array([len(h)])
+        else:
+            h, start = _hashed(own, table, cuts)
+            yield first, h, np.searchsorted(start, cuts[1:])
+        first = last
+
+
+def sequences(texts: Iterable[str | None] | pa.Array, table: Table = SPACED) -> Iterator[np.ndarray]:
     """The word hashes of one text after the other."""
     for _, h, ends in tokens(texts, table):
         yield from np.split(h, ends[:-1])
