@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import dropped, small, table, text_or_empty, written
 
 LENGTH = 200
+#: Keys of repeated texts up to which they may be broadcast.
+COPIES = 400_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(2).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -112,13 +114,15 @@ def _strings(length: int):
 
 
 def _left(length: int):
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, covers in pairs:
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, covers, copied in pairs:
             out = []
-            for text, cover in zip(texts, covers, strict=True):
+            for text, cover, whole in zip(texts, covers, copied, strict=True):
                 data = _bytes(text)
                 edge = np.zeros(len(data) + 1, np.int64)
-                if cover is not None:
+                if whole:
+                    edge[:1] = len(data) > 0
+                elif cover is not None:
                     for x in cover:
                         if x["places"] is None:
                             edge[x["start"]] += 1
@@ -139,26 +143,35 @@ def _left(length: int):
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes that remain) for every row of docs.
 
-    Null texts are empty; texts shorter than length lose nothing; equal rows are repeats of each other. An empty
-    table gives an empty result; other columns are ignored. Rows are told apart by their place in docs, which has
-    to be a stored table (or any other plan that gives rows in the same partitions and order again).
+    Null texts are empty; texts shorter than length lose nothing; equal texts are repeats of each other, whatever
+    their ids: they lose everything, and one of them stands for all against other texts. An empty table gives an empty
+    result; other columns are ignored. Equal texts are known by a 64-bit hash.
     """
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    runs = written(own.select("rid", "text").mapInPandas(_runs(length), "rid long, start int, n int, anchor long, whole long"), "rep_runs")
+    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("rid", F.xxhash64("text"))
+    long_ = own.filter(F.octet_length("text") >= length)
+    copies = written(long_.groupBy("rid").agg(F.count("*").alias("copies")).filter("copies > 1"), "rep_copies")
+    single = long_.join(small(copies, COPIES), "rid", "left_anti").select("rid", "text")
+    many = long_.join(small(copies, COPIES), "rid").groupBy("rid").agg(F.first("text").alias("text"))
+    texts = single.union(many)
+    runs = written(texts.mapInPandas(_runs(length), "rid long, start int, n int, anchor long, whole long"), "rep_runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-    again = anchors.filter("rows > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("settled"))
+    again = written(anchors.filter("rows > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("settled")), "rep_anchors")
     shared = written(runs.join(again, "anchor").select("rid", "start", "n", "whole", "settled"), "rep_shared")
-    open_ = shared.filter("not settled").groupBy("whole").agg(F.count("*").alias("times"), F.min(F.struct("rid", "start", "n")).alias("one"))
-    open_ = written(open_, "rep_open")
-    asked = open_.groupBy("one.rid").agg(F.collect_list(F.struct("whole", "times", "one.start", "one.n")).alias("asked"))
-    strings = written(own.select("rid", "text").join(asked, "rid").select("text", "asked").mapInPandas(_strings(length), "whole long, place int, times long, string long"), "rep_strings")
+    dropped(runs, again)
+    open_ = written(shared.filter("not settled").groupBy("whole").agg(F.count("*").alias("times"), F.min(F.struct("rid", "start", "n")).alias("one")), "rep_open")
+    asked = written(open_.groupBy("one.rid").agg(F.collect_list(F.struct("whole", "times", "one.start", "one.n")).alias("asked")), "rep_asked")
+    strings = written(texts.join(asked, "rid").select("text", "asked").mapInPandas(_strings(length), "whole long, place int, times long, string long"), "rep_strings")
+    dropped(asked)
     twice = strings.groupBy("string").agg(F.sum("times").alias("n")).filter("n > 1").select("string")
-    places = strings.filter("times = 1").join(twice, "string").groupBy("whole").agg(F.collect_set("place").alias("places"))
+    places = written(strings.filter("times = 1").join(twice, "string").groupBy("whole").agg(F.collect_set("place").alias("places")), "rep_places")
+    dropped(strings)
     ranges = shared.filter("settled").select("rid", "start", "n", F.lit(None).cast("array<int>").alias("places"))
     whole = shared.filter("not settled").join(open_.filter("times > 1").select("whole"), "whole", "left_semi").select("rid", "start", "n", F.lit(None).cast("array<int>").alias("places"))
     part = shared.filter("not settled").join(places, "whole").select("rid", "start", "n", "places")
-    cover = ranges.union(whole).union(part).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "places")).alias("cover"))
-    return own.join(written(cover, "rep_cover"), "rid", "left").select("doc_id", _left(length)("text", "cover").alias("r")).select("doc_id", "r.*")
+    cover = written(ranges.union(whole).union(part).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "places")).alias("cover")), "rep_cover")
+    dropped(shared, open_, places)
+    marked = own.join(small(copies.select("rid", F.lit(True).alias("copied")), COPIES), "rid", "left")
+    return marked.join(cover, "rid", "left").select("doc_id", _left(length)("text", "cover", F.coalesce("copied", F.lit(False))).alias("r")).select("doc_id", "r.*")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
