@@ -1,222 +1,281 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to a bounded number of features;
-TF-IDF passages are projected to a few latent dimensions by a randomised SVD whose products are summed over
-partitions. A passage of a text is as long as the benchmark item it is held against. Passages that hold too few of
-the item's words for a long common subsequence are out by exact counts; all others are compared, those of the highest
-cosine in the latent space first, by the longest common subsequence of words, which paraphrases keep long.
+Passages of all texts are TF-IDF vectors over hashed words. A randomised SVD finds their latent space: a random range,
+one power pass, and the small eigenproblem of the projected products; every matrix is a sum over partitions. Passages
+of about an item's length are held against the items by their cosine in that space, which names the candidates. What
+the cosine passes over is still found by counts that cannot miss: a passage that has enough of an item's words in
+common has one of its rarest words. Candidates are checked by the longest common subsequence of words, which
+paraphrases keep long, and by the item's answer words.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-#: Hashed features, latent dimensions, words of a passage that the space is made of.
-FEATURES, RANK, BLOCK = 8192, 32, 24
-#: Share of an item's words in the common subsequence; runs of items on the driver at most.
-COMMON, MOST_ITEMS = 0.6, 100_000
-#: Words whose latent vectors are held at once.
-PACK = 4096 * BLOCK
-#: Cells of words by items that are held at once.
-CELLS = 20_000_000
-#: Rows of a matrix that are summed as one.
-PART = 256
-_WORD = re.compile(r"[^\W_]+")
-
-
-def _ids(text: str | None, known: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    words = _WORD.findall((text or "").lower())
-    out = np.empty(len(words), np.int64)
-    for i, w in enumerate(words):
-        f = known.get(w)
-        if f is None:
-            f = known[w] = xxhash.xxh32_intdigest(w) % FEATURES
-        out[i] = f
-    if len(known) > 300_000:
-        known.clear()
-    return words, out
-
-
-def _flat(batches: Iterator[pd.DataFrame], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The features of all words and the block of each, in packs of about PACK words."""
-    ids, blocks, at, held = [], [], 0, 0
+from .common import dropped, table, written
+from .words import ALNUM, tokens
+
+#: Hashed features (below 2 ** 16), latent dimensions, further random directions, words of a passage of the space.
+FEATURES, RANK, OVER, BLOCK = 16_384, 32, 8, 32
+#: Share of an item's words in the common subsequence, and the cosine that makes a candidate.
+COMMON, COSINE = 0.6, 0.7
+#: Part of an item's distinct words, the rarest, that are its answer (the benchmark has no answers of its own), and the part of them that has to be there.
+ANSWER, ANSWERED = 0.25, 0.25
+#: Words from one passage of the search to the next; items that are searched at once; cells of a product that are held at once.
+STRIDE, ITEMS, CELLS = 8, 1024, 4_000_000
+#: Rows of a matrix that are summed as one, and lanes in which they are summed first.
+PART, LANES = 256, 16
+
+
+def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The passages of all texts as sparse rows: features, their counts, and where each passage begins."""
+    for batch in batches:
+        for _, h, ends in tokens(batch["text"], ALNUM):
+            if not len(h):
+                continue
+            n = np.diff(np.r_[0, ends])
+            blocks = -(-n // BLOCK)
+            place = np.arange(len(h)) - np.repeat(ends - n, n)
+            own = np.repeat(np.cumsum(blocks) - blocks, n) + place // BLOCK
+            cell, tf = np.unique(own * FEATURES + (h % np.uint64(FEATURES)).astype(np.int64), return_counts=True)
+            at = np.flatnonzero(np.r_[True, np.diff(cell // FEATURES) > 0])
+            yield pd.DataFrame([((cell % FEATURES).astype(np.uint16).tobytes(), tf.astype(np.uint8).tobytes(), at.astype(np.uint32).tobytes())], columns=["f", "tf", "at"])
+
+
+def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
-        for t in b["text"]:
-            _, f = _ids(t, known)
-            if len(f):
-                ids.append(f)
-                blocks.append(at + np.arange(len(f)) // BLOCK)
-                at, held = blocks[-1][-1] + 1, held + len(f)
-            if held >= PACK:
-                yield np.concatenate(ids), np.concatenate(blocks)
-                ids, blocks, at, held = [], [], 0, 0
-    if ids:
-        yield np.concatenate(ids), np.concatenate(blocks)
+        for f, tf, at in zip(b["f"], b["tf"], b["at"], strict=True):
+            yield np.frombuffer(f, np.uint16), np.frombuffer(tf, np.uint8), np.frombuffer(at, np.uint32).astype(np.int64)
 
 
 def _parts(x: np.ndarray) -> pd.DataFrame:
     """The matrix as rows of PART of its rows each."""
-    return pd.DataFrame([(i // PART, x[i : i + PART].tobytes()) for i in range(0, len(x), PART)], columns=["part", "x"])
+    lane = int(np.random.default_rng().integers(LANES))
+    return pd.DataFrame([(i // PART, lane, x[i : i + PART].tobytes()) for i in range(0, len(x), PART)], columns=["part", "lane", "x"])
+
+
+def _summed(df: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The sum of all partitions' matrices, part by part, first in lanes; one row of each part reaches the driver."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, x in zip(b["part"], b["x"], strict=True):
+                own = np.frombuffer(x, np.float32)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.float64)
+        yield pd.DataFrame({"part": list(sums), "lane": 0, "x": [v.astype(np.float32).tobytes() for v in sums.values()]})
+
+    kind, out = "part int, lane int, x binary", np.zeros((rows, columns))
+    lanes = df.repartition("part", "lane").mapInPandas(add, kind)
+    for r in lanes.repartition("part").mapInPandas(add, kind).collect():
+        out[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.x, np.float32).reshape(-1, columns)
+    return out
 
 
 class Space:
-    """Inverse document frequencies of features and the projection to latent dimensions."""
+    """Inverse document frequencies of features, and the map of a passage to its whitened latent vector."""
 
     def __init__(self, docs: DataFrame):
+        kind = "part int, lane int, x binary"
+        rows = written(docs.select("text").mapInPandas(_passages, "f binary, tf binary, at binary"), "leak_passages")
+
         def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, total, known = np.zeros(FEATURES + 1), 0, {}
-            for ids, blocks in _flat(batches, known):
-                pairs = np.unique(blocks * FEATURES + ids)
-                n[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
-                total += blocks[-1] + 1
-            n[-1] = total
+            n = np.zeros(FEATURES + 1, np.float32)
+            for f, _, at in _arrays(batches):
+                n[:-1] += np.bincount(f, minlength=FEATURES)
+                n[-1] += len(at)
             yield _parts(n[:, None])
 
-        n = self._summed(docs.mapInPandas(seen, "part int, x binary"), FEATURES + 1, 1)[:, 0]
-        self.idf = np.log((n[-1] + 1) / (n[:-1] + 1)) + 1
-        omega = np.random.default_rng(3).standard_normal((FEATURES, RANK))
+        n = _summed(rows.mapInPandas(seen, kind), FEATURES + 1, 1)[:, 0]
+        self.idf = (np.log((n[-1] + 1) / (n[:-1] + 1)) + 1).astype(np.float32)
+        self.seen = n[:-1]
         idf = self.idf
 
-        def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """A'A omega of a partition: rows of A are its passages' unit TF-IDF vectors."""
-            out, known = np.zeros((FEATURES, RANK)), {}
-            weighted = idf[:, None] * omega
-            for ids, blocks in _flat(batches, known):
-                starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
-                norm = np.add.reduceat(idf[ids] ** 2, starts)
-                y = np.add.reduceat(weighted[ids], starts) / norm[:, None]
-                row = np.cumsum(np.r_[0, blocks[1:] != blocks[:-1]])
-                for k in range(RANK):
-                    out[:, k] += np.bincount(ids, y[row, k], FEATURES)
-            yield _parts(out * idf[:, None])
-
-        # The first direction is what all passages share; the others tell them apart.
-        y = self._summed(docs.mapInPandas(product, "part int, x binary"), FEATURES, RANK)
-        q, _ = np.linalg.qr(y)
-        self.basis = self.idf[:, None] * q
-
-    @staticmethod
-    def _summed(df: DataFrame, rows: int, columns: int) -> np.ndarray:
-        """The sum of all partitions' matrices, part by part; one row of each part reaches the driver."""
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                for part, x in zip(b["part"], b["x"], strict=True):
-                    own = np.frombuffer(x)
-                    sums[part] = sums[part] + own if part in sums else own
-            yield pd.DataFrame({"part": list(sums), "x": [v.tobytes() for v in sums.values()]})
-
-        out = np.zeros((rows, columns))
-        for r in df.repartition("part").mapInPandas(add, df.schema).collect():
-            out[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.x).reshape(-1, columns)
-        return out
+        def product(directions: np.ndarray) -> np.ndarray:
+            """A'A directions, where the rows of A are the unit TF-IDF vectors of all passages."""
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                out = np.zeros(directions.shape, np.float32)
+                for f, tf, at in _arrays(batches):
+                    w = tf * idf[f]
+                    each = np.diff(np.r_[at, len(f)])
+                    w /= np.repeat(np.sqrt(np.add.reduceat(w * w, at)), each)
+                    y = np.add.reduceat(w[:, None] * directions[f], at)
+                    order = np.argsort(f, kind="stable")
+                    own = f[order]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    out[own[first]] += np.add.reduceat((w[:, None] * np.repeat(y, each, 0))[order], first)
+                yield _parts(out)
+
+            return _summed(rows.mapInPandas(run, kind), FEATURES, RANK + OVER)
+
+        range_, _ = np.linalg.qr(product(np.random.default_rng(3).standard_normal((FEATURES, RANK + OVER)).astype(np.float32)))
+        range_ = range_.astype(np.float32)
+        small = range_.T @ product(range_)
+        value, vector = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-value)[:RANK]
+        basis = (range_ @ vector[:, best]) / np.sqrt(np.maximum(value[best], 1e-6))
+        #: A passage's latent vector is the sum of these rows over its words: its TF-IDF vector times V / S.
+        self.rows = (self.idf[:, None] * basis).astype(np.float32)
+        dropped(rows)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
+    return _common(places, len(a), b)
+
+
+def _common(places: dict, n: int, b: list) -> int:
+    full = row = (1 << n) - 1
     for w in b:
         hit = row & places.get(w, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+class Items:
+    """Up to ITEMS benchmark items, and the search for them in the words of many texts."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], space: Space, common: float):
+        self.ids, self.own = [i for i, _ in items], [h for _, h in items]
+        feature = [(h % np.uint64(FEATURES)).astype(np.int64) for h in self.own]
+        latent = _unit(np.stack([space.rows[f].sum(0) for f in feature]))
+        n = np.array([len(h) for h in self.own])
+        self.least = np.ceil(common * n - 1e-9).astype(int)
+        self.run = n + n // 8 + 1
+        self.rows, self.common = space.rows, common
+        # Passages of the search are as long as the items of their class, to a multiple of the stride.
+        width = -(-n // STRIDE)
+        self.classes = [(int(w), np.flatnonzero(width == w), np.ascontiguousarray(latent[width == w].T)) for w in np.unique(width)]
+        self.places, self.answer, rare = [], [], {}
+        for k, (h, f) in enumerate(zip(self.own, feature, strict=True)):
+            places: dict[int, int] = {}
+            for i, w in enumerate(h.tolist()):
+                places[w] = places.get(w, 0) | 1 << i
+            self.places.append(places)
+            order = np.argsort(space.seen[f], kind="stable")
+            # The rarest words that stand at more places than may be lacking: one of them is in every passage with enough in common.
+            for w in set(h[order[: len(h) - self.least[k] + 1]].tolist()):
+                rare.setdefault(w, []).append(k)
+            distinct = list(dict.fromkeys(h[order].tolist()))
+            self.answer.append(set(distinct[: max(1, round(ANSWER * len(distinct)))]))
+        self.rare = np.array(sorted(rare), np.uint64)
+        held = [rare[w] for w in self.rare.tolist()]
+        self.rare_items, self.rare_ends = np.concatenate(held), np.cumsum([len(x) for x in held])
+        self.maybe = np.zeros(FEATURES, bool)
+        self.maybe[(self.rare % np.uint64(FEATURES)).astype(np.int64)] = True
+        #: Whether an item has a word of this feature; the last row is for places outside a text.
+        self.has = np.zeros((FEATURES + 1, len(items)), bool)
+        for k, f in enumerate(feature):
+            self.has[f, k] = True
+
+    def candidates(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of words: by cosine of passages, and by rare words."""
+        steps = np.add.reduceat(self.rows[f], np.arange(0, len(f), STRIDE))
+        total = np.concatenate([np.zeros((1, RANK), np.float32), np.cumsum(steps, 0)])
+        items, places = [], []
+        for width, which, latent in self.classes:
+            ends = np.minimum(np.arange(len(steps)) + width, len(steps))
+            passage = total[ends] - total[:-1]
+            least = COSINE * np.sqrt(np.einsum("ij,ij->i", passage, passage))[:, None]
+            at_once = max(1, CELLS // len(which))
+            for a in range(0, len(passage), at_once):
+                row, item = np.nonzero(passage[a : a + at_once] @ latent > least[a : a + at_once])
+                items.append(which[item])
+                places.append((a + row) * STRIDE + width * STRIDE // 2)
+        place = np.flatnonzero(self.maybe[f])
+        at = np.minimum(np.searchsorted(self.rare, h[place]), len(self.rare) - 1)
+        hit = self.rare[at] == h[place]
+        at, place = at[hit], place[hit]
+        n = self.rare_ends[at] - np.r_[0, self.rare_ends[:-1]][at]
+        items.append(self.rare_items[np.repeat(self.rare_ends[at] - np.cumsum(n), n) + np.arange(n.sum())])
+        places.append(np.repeat(place, n))
+        return np.concatenate(items), np.minimum(np.concatenate(places), len(h) - 1)
+
+    def stretches(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of stretches, three runs long, in which a run holds enough words of the item."""
+        f = (h % np.uint64(FEATURES)).astype(np.int64)
+        text_of = np.repeat(np.arange(len(ends)), ends - begins)
+        k, p = self.candidates(h, f)
+        # Candidates of one item and text whose places lie in one cell, a run long, share a stretch.
+        cells = len(h) + 1
+        key = np.unique((k * len(ends) + text_of[p]) * cells + p // self.run[k])
+        key, cell = key // cells, key % cells
+        k, t = key // len(ends), key % len(ends)
+        order = np.argsort(self.run[k], kind="stable")
+        for a in range(0, len(order), 2048):
+            own = order[a : a + 2048]
+            kk, tt, run = k[own], t[own], self.run[k[own]]
+            start, stop = np.maximum((cell[own] - 1) * run, begins[tt]), np.minimum((cell[own] + 2) * run, ends[tt])
+            most = int(run[-1])
+            place = start[:, None] + np.arange(3 * most)
+            feature = np.where(place < stop[:, None], f[np.minimum(place, len(f) - 1)], FEATURES)
+            count = np.cumsum(self.has[feature, kk[:, None]], 1, dtype=np.int32)
+            best = np.maximum(count[:, most - 1], (count[:, most:] - count[:, :-most]).max(1))
+            for x in np.flatnonzero(best >= self.least[kk]).tolist():
+                yield int(tt[x]), int(kk[x]), int(start[x]), int(stop[x])
+
+    def found(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(text, item number, share) of every stretch that an item stands in; text i ends with word ends[i]."""
+        for t, k, start, end in self.stretches(h, np.r_[0, ends[:-1]], ends):
+            known = self.places[k]
+            inside = [(i, w) for i, w in enumerate(h[start:end].tolist()) if w in known]
+            share = self._share(k, inside) if len(inside) >= self.least[k] else 0.0
+            if share >= self.common - 1e-9:
+                yield t, k, share
+
+    def _share(self, k: int, inside: list[tuple[int, int]]) -> float:
+        """The largest common part in a run of the words, of runs that hold enough of the answer; first all of them at once."""
+        known, n, least, answer = self.places[k], len(self.own[k]), self.least[k], self.answer[k]
+        if _common(known, n, [w for _, w in inside]) < least:
+            return 0.0
+        best, needed = 0, max(1, round(ANSWERED * len(answer)))
+        for j, (i, _) in enumerate(inside):
+            if len(inside) - j <= best:
+                break
+            own = [w for at, w in inside[j : j + self.run[k]] if at < i + self.run[k]]
+            if len(own) >= max(least, best + 1) and len(answer.intersection(own)) >= needed:
+                best = max(best, _common(known, n, own))
+        return best / n if best >= least else 0.0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON) -> DataFrame:
     """All columns of docs with leak: n_items, items (ids, sorted), share (the largest part of an item found).
 
-    Null and empty texts hold nothing; items without words are found nowhere; repeated rows get equal results; an
-    empty table gives an empty result. Whole texts are read. More than MOST_ITEMS items are an error: the item set
-    is broadcast. Share is the largest over all runs of words an eighth longer than the item.
+    Null and empty texts hold nothing; items without words or id are found nowhere, items with one id are one; repeated
+    rows get equal results; an empty table gives an empty result; a column named leak is replaced. Whole texts are
+    read. Share is the largest over all runs of words an eighth longer than the item. Words are known by 64-bit hashes.
+    Items are searched ITEMS at a time; they are broadcast, so memory grows with the benchmark (about 2 KB an item),
+    never with docs.
     """
-    items = [(r.item_id, _ids(r.text, {})) for r in benchmark.select("item_id", "text").limit(MOST_ITEMS + 1).collect()]
-    if len(items) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} benchmark items")
-    items = sorted(((i, w, f) for i, (w, f) in items if len(w)), key=lambda x: x[0])
-    space = Space(docs.select("text"))
-    latent = _unit(np.array([space.basis[f].sum(0) for _, _, f in items])) if items else np.zeros((0, RANK))
-    basis = space.basis
-    # Of the words in common, all are in the run: so many places hold words of the item, and so many of its distinct words are there.
-    distinct = [np.array([xxhash.xxh32_intdigest(w) % FEATURES for w in set(own)]) for _, own, _ in items]
-    offsets = np.cumsum([0, *map(len, distinct)])[:-1]
-    sizes = np.array([len(own) for _, own, _ in items], int)
-    least = np.ceil(common * sizes - 1e-9).astype(int)
-    needed = np.array([len(d) for d in distinct], int) - sizes + least
-    features, sets = np.concatenate(distinct) if items else None, [set(own) for _, own, _ in items]
-    # A bit for each feature and item, 1 KB an item.
-    bits = np.zeros((FEATURES, len(items)), bool)
-    for k, d in enumerate(distinct):
-        bits[d, k] = True
-    bits = np.packbits(bits, axis=1)
-
-    def _share(own: list[str], words: list[str], run: int, enough: int) -> float:
-        """The largest share in a run of the words; first all of them at once."""
-        if common_subsequence(own, words) < enough:
-            return 0.0
-        return max(common_subsequence(own, words[i : i + run]) for i in range(max(1, len(words) - run + 1))) / len(own)
-
-    def _found(words: list[str], f: np.ndarray, possible: np.ndarray) -> dict:
-        found: dict = {}
-        total = None
-        for c in range(0, len(possible), max(1, CELLS // len(f))):
-            columns = possible[c : c + max(1, CELLS // len(f))]
-            inside = np.stack([bits[f, k >> 3] >> (7 - (k & 7)) & 1 for k in columns.tolist()])
-            held = np.zeros((len(columns), len(f) + 1), np.int32)
-            np.cumsum(inside, 1, out=held[:, 1:])
-            for row, k in zip(held, columns.tolist(), strict=True):
-                # Passages of a run and a step, a step apart: every run is whole in one of them.
-                i, own, _ = items[k]
-                step = max(1, len(own) // 8)
-                run = len(own) + len(own) // 8 + 1
-                at = np.arange(0, max(1, len(f) - run + step), step)
-                end = np.minimum(at + run + step, len(f))
-                hit = np.flatnonzero(row[end] - row[at] >= least[k])
-                hit = [h for h in hit if len(sets[k].intersection(words[at[h] : end[h]])) >= needed[k]]
-                if not hit:
-                    continue
-                if total is None:
-                    total = np.concatenate([np.zeros((1, RANK)), np.cumsum(basis[f], 0)])
-                best = 0.0
-                for h in np.array(hit)[np.argsort(-(_unit(total[end[hit]] - total[at[hit]]) @ latent[k]), kind="stable")]:
-                    if best == 1:
-                        break
-                    best = max(best, _share(own, words[at[h] : end[h]], run, least[k]))
-                if best >= common - 1e-9:
-                    found[i] = max(found.get(i, 0), best)
-        return found
+    rows = benchmark.filter("item_id is not null").select("item_id", "text").collect()
+    items = sorted(((r.item_id, next(tokens([r.text], ALNUM))[1]) for r in rows), key=lambda x: (x[0], x[1].tolist()))
+    items = [x for x in items if len(x[1])]
+    space = Space(docs) if items else None
+    slices = [Items(items[i : i + ITEMS], space, common) for i in range(0, len(items), ITEMS)]
+    shared = docs.sparkSession.sparkContext.broadcast(slices)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
         for texts in batches:
-            out = []
-            for text in texts:
-                words, f = _ids(text, known)
-                found: dict = {}
-                if len(words) and items:
-                    # No passage holds more of an item's words than the text does: those items cannot be found.
-                    there = np.zeros(FEATURES, bool)
-                    there[f] = True
-                    possible = np.flatnonzero(np.add.reduceat(there[features], offsets, dtype=int) >= needed)
-                    found = _found(words, f, possible)
-                out.append((len(found), sorted(found), max([0.0, *found.values()])))
-            yield pd.DataFrame(out, columns=["n_items", "items", "share"])
+            out: list[dict] = [{} for _ in range(len(texts))]
+            for first, h, ends in tokens(texts, ALNUM):
+                for own in shared.value if len(h) else ():
+                    for t, k, share in own.found(h, ends):
+                        held = out[first + t]
+                        held[own.ids[k]] = max(held.get(own.ids[k], 0.0), share)
+            yield pd.DataFrame([(len(x), sorted(x), max([0.0, *x.values()])) for x in out], columns=["n_items", "items", "share"])
 
     return docs.withColumn("leak", F.pandas_udf(run, "n_items long, items array<long>, share double")("text"))
 
