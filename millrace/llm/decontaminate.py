@@ -4,7 +4,7 @@ Passages of all texts are TF-IDF vectors over hashed words. A randomised SVD fin
 one power pass, and the small eigenproblem of the projected products; every matrix is a sum over partitions. Passages
 of about an item's length are held against the items by their cosine in that space, which names the candidates. What
 the cosine passes over is still found by counts that cannot miss: a passage that has enough of an item's words in
-common has one of its rarest words. Candidates are checked by the longest common subsequence of words, which
+common has some of its rarest words. Candidates are checked by the longest common subsequence of words, which
 paraphrases keep long, and by the item's answer words.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ from .common import dropped, table, written
 from .words import ALNUM, tokens
 
 #: Hashed features (below 2 ** 16), latent dimensions, further random directions, words of a passage of the space.
-FEATURES, RANK, OVER, BLOCK = 16_384, 32, 8, 32
-#: Share of an item's words in the common subsequence, and the cosine that makes a candidate.
-COMMON, COSINE = 0.6, 0.7
+FEATURES, RANK, OVER, BLOCK = 16_384, 24, 8, 32
+#: Share of an item's words in the common subsequence, the cosine that makes a candidate, and the places of rare words that do.
+COMMON, COSINE, RARE = 0.6, 0.75, 4
 #: Part of an item's distinct words, the rarest, that are its answer (the benchmark has no answers of its own), and the part of them that has to be there.
 ANSWER, ANSWERED = 0.25, 0.25
 #: Words from one passage of the search to the next; items that are searched at once; cells of a product that are held at once.
@@ -32,48 +32,54 @@ STRIDE, ITEMS, CELLS = 8, 1024, 4_000_000
 PART, LANES = 256, 16
 
 
-def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The passages of all texts as sparse rows: features, their counts, and where each passage begins."""
     for batch in batches:
-        for _, h, ends in tokens(batch["text"], ALNUM):
+        for _, h, ends in tokens(batch.column("text"), ALNUM):
             if not len(h):
                 continue
             n = np.diff(np.r_[0, ends])
             blocks = -(-n // BLOCK)
             place = np.arange(len(h)) - np.repeat(ends - n, n)
             own = np.repeat(np.cumsum(blocks) - blocks, n) + place // BLOCK
-            cell, tf = np.unique(own * FEATURES + (h % np.uint64(FEATURES)).astype(np.int64), return_counts=True)
+            cell, tf = np.unique(own * FEATURES + _feature(h), return_counts=True)
             at = np.flatnonzero(np.r_[True, np.diff(cell // FEATURES) > 0])
-            yield pd.DataFrame([((cell % FEATURES).astype(np.uint16).tobytes(), tf.astype(np.uint8).tobytes(), at.astype(np.uint32).tobytes())], columns=["f", "tf", "at"])
+            row = ((cell % FEATURES).astype(np.uint16), tf.astype(np.uint8), at.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["f", "tf", "at"])
 
 
-def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _feature(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
-        for f, tf, at in zip(b["f"], b["tf"], b["at"], strict=True):
-            yield np.frombuffer(f, np.uint16), np.frombuffer(tf, np.uint8), np.frombuffer(at, np.uint32).astype(np.int64)
+        for f, tf, at in zip(*(b.column(c).to_pylist() for c in ("f", "tf", "at")), strict=True):
+            yield np.frombuffer(f, np.uint16).astype(np.int64), np.frombuffer(tf, np.uint8), np.frombuffer(at, np.uint32).astype(np.int64)
 
 
-def _parts(x: np.ndarray) -> pd.DataFrame:
+def _parts(x: np.ndarray) -> pa.RecordBatch:
     """The matrix as rows of PART of its rows each."""
+    n = -(-len(x) // PART)
     lane = int(np.random.default_rng().integers(LANES))
-    return pd.DataFrame([(i // PART, lane, x[i : i + PART].tobytes()) for i in range(0, len(x), PART)], columns=["part", "lane", "x"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, lane, np.int32)), pa.array([x[i * PART : (i + 1) * PART].tobytes() for i in range(n)], pa.binary())], names=["part", "lane", "x"])
 
 
 def _summed(df: DataFrame, rows: int, columns: int) -> np.ndarray:
     """The sum of all partitions' matrices, part by part, first in lanes; one row of each part reaches the driver."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, x in zip(b["part"], b["x"], strict=True):
-                own = np.frombuffer(x, np.float32)
-                sums[part] = sums[part] + own if part in sums else own.astype(np.float64)
-        yield pd.DataFrame({"part": list(sums), "lane": 0, "x": [v.astype(np.float32).tobytes() for v in sums.values()]})
+            for part, x in zip(b.column("part").to_pylist(), b.column("x").to_pylist(), strict=True):
+                own = np.frombuffer(x, np.float64)
+                sums[part] = sums[part] + own if part in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "lane", "x"])
 
     kind, out = "part int, lane int, x binary", np.zeros((rows, columns))
-    lanes = df.repartition("part", "lane").mapInPandas(add, kind)
-    for r in lanes.repartition("part").mapInPandas(add, kind).collect():
-        out[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.x, np.float32).reshape(-1, columns)
+    lanes = df.repartition("part", "lane").mapInArrow(add, kind)
+    for r in lanes.repartition("part").mapInArrow(add, kind).collect():
+        out[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.x).reshape(-1, columns)
     return out
 
 
@@ -82,16 +88,16 @@ class Space:
 
     def __init__(self, docs: DataFrame):
         kind = "part int, lane int, x binary"
-        rows = written(docs.select("text").mapInPandas(_passages, "f binary, tf binary, at binary"), "leak_passages")
+        rows = written(docs.select("text").mapInArrow(_passages, "f binary, tf binary, at binary"), "leak_passages")
 
-        def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(FEATURES + 1, np.float32)
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(FEATURES + 1)
             for f, _, at in _arrays(batches):
                 n[:-1] += np.bincount(f, minlength=FEATURES)
                 n[-1] += len(at)
             yield _parts(n[:, None])
 
-        n = _summed(rows.mapInPandas(seen, kind), FEATURES + 1, 1)[:, 0]
+        n = _summed(rows.mapInArrow(seen, kind), FEATURES + 1, 1)[:, 0]
         self.idf = (np.log((n[-1] + 1) / (n[:-1] + 1)) + 1).astype(np.float32)
         self.seen = n[:-1]
         idf = self.idf
@@ -99,20 +105,22 @@ class Space:
         def product(directions: np.ndarray) -> np.ndarray:
             """A'A directions, where the rows of A are the unit TF-IDF vectors of all passages."""
 
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                out = np.zeros(directions.shape, np.float32)
+            columns = np.ascontiguousarray(directions.T)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros(columns.shape)
                 for f, tf, at in _arrays(batches):
                     w = tf * idf[f]
                     each = np.diff(np.r_[at, len(f)])
                     w /= np.repeat(np.sqrt(np.add.reduceat(w * w, at)), each)
-                    y = np.add.reduceat(w[:, None] * directions[f], at)
-                    order = np.argsort(f, kind="stable")
-                    own = f[order]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    out[own[first]] += np.add.reduceat((w[:, None] * np.repeat(y, each, 0))[order], first)
-                yield _parts(out)
+                    own = np.repeat(np.arange(len(at)), each)
+                    # One direction at a time: its column fits the cache.
+                    for k, column in enumerate(columns):
+                        y = np.add.reduceat(w * column[f], at)
+                        out[k] += np.bincount(f, w * y[own], FEATURES)
+                yield _parts(np.ascontiguousarray(out.T))
 
-            return _summed(rows.mapInPandas(run, kind), FEATURES, RANK + OVER)
+            return _summed(rows.mapInArrow(run, kind), FEATURES, RANK + OVER)
 
         range_, _ = np.linalg.qr(product(np.random.default_rng(3).standard_normal((FEATURES, RANK + OVER)).astype(np.float32)))
         range_ = range_.astype(np.float32)
@@ -150,12 +158,12 @@ class Items:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], space: Space, common: float):
         self.ids, self.own = [i for i, _ in items], [h for _, h in items]
-        feature = [(h % np.uint64(FEATURES)).astype(np.int64) for h in self.own]
+        feature = [_feature(h) for h in self.own]
         latent = _unit(np.stack([space.rows[f].sum(0) for f in feature]))
         n = np.array([len(h) for h in self.own])
         self.least = np.ceil(common * n - 1e-9).astype(int)
-        self.run = n + n // 8 + 1
-        self.rows, self.common = space.rows, common
+        self.run, self.hits = n + n // 8 + 1, np.minimum(RARE, self.least)
+        self.rows, self.common = np.concatenate([space.rows, np.zeros((1, RANK), np.float32)]), common
         # Passages of the search are as long as the items of their class, to a multiple of the stride.
         width = -(-n // STRIDE)
         self.classes = [(int(w), np.flatnonzero(width == w), np.ascontiguousarray(latent[width == w].T)) for w in np.unique(width)]
@@ -166,8 +174,8 @@ class Items:
                 places[w] = places.get(w, 0) | 1 << i
             self.places.append(places)
             order = np.argsort(space.seen[f], kind="stable")
-            # The rarest words that stand at more places than may be lacking: one of them is in every passage with enough in common.
-            for w in set(h[order[: len(h) - self.least[k] + 1]].tolist()):
+            # The rarest words, at `hits` places more than may be lacking: so many of them are in every passage with enough in common.
+            for w in set(h[order[: len(h) - self.least[k] + self.hits[k]]].tolist()):
                 rare.setdefault(w, []).append(k)
             distinct = list(dict.fromkeys(h[order].tolist()))
             self.answer.append(set(distinct[: max(1, round(ANSWER * len(distinct)))]))
@@ -175,15 +183,18 @@ class Items:
         held = [rare[w] for w in self.rare.tolist()]
         self.rare_items, self.rare_ends = np.concatenate(held), np.cumsum([len(x) for x in held])
         self.maybe = np.zeros(FEATURES, bool)
-        self.maybe[(self.rare % np.uint64(FEATURES)).astype(np.int64)] = True
+        self.maybe[_feature(self.rare)] = True
         #: Whether an item has a word of this feature; the last row is for places outside a text.
         self.has = np.zeros((FEATURES + 1, len(items)), bool)
         for k, f in enumerate(feature):
             self.has[f, k] = True
 
-    def candidates(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of words: by cosine of passages, and by rare words."""
-        steps = np.add.reduceat(self.rows[f], np.arange(0, len(f), STRIDE))
+    def by_cosine(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and first words of the passages that are near them in the latent space."""
+        padded = np.r_[f, np.full(-len(f) % STRIDE, FEATURES)]
+        steps = self.rows[padded[::STRIDE]]
+        for j in range(1, STRIDE):
+            steps += self.rows[padded[j::STRIDE]]
         total = np.concatenate([np.zeros((1, RANK), np.float32), np.cumsum(steps, 0)])
         items, places = [], []
         for width, which, latent in self.classes:
@@ -194,33 +205,46 @@ class Items:
             for a in range(0, len(passage), at_once):
                 row, item = np.nonzero(passage[a : a + at_once] @ latent > least[a : a + at_once])
                 items.append(which[item])
-                places.append((a + row) * STRIDE + width * STRIDE // 2)
+                places.append((a + row) * STRIDE)
+        return np.concatenate(items), np.concatenate(places)
+
+    def by_rare_words(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the places of their rare words."""
         place = np.flatnonzero(self.maybe[f])
         at = np.minimum(np.searchsorted(self.rare, h[place]), len(self.rare) - 1)
         hit = self.rare[at] == h[place]
         at, place = at[hit], place[hit]
         n = self.rare_ends[at] - np.r_[0, self.rare_ends[:-1]][at]
-        items.append(self.rare_items[np.repeat(self.rare_ends[at] - np.cumsum(n), n) + np.arange(n.sum())])
-        places.append(np.repeat(place, n))
-        return np.concatenate(items), np.minimum(np.concatenate(places), len(h) - 1)
+        return self.rare_items[np.repeat(self.rare_ends[at] - np.cumsum(n), n) + np.arange(n.sum())], np.repeat(place, n)
 
     def stretches(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, begin, end) of stretches, three runs long, in which a run holds enough words of the item."""
-        f = (h % np.uint64(FEATURES)).astype(np.int64)
+        """(text, item, begin, end) of stretches, two cells long, in which a run holds enough words of the item.
+
+        Cells are a run long, so every run lies in two neighbouring ones.
+        """
+        f = _feature(h)
         text_of = np.repeat(np.arange(len(ends)), ends - begins)
-        k, p = self.candidates(h, f)
-        # Candidates of one item and text whose places lie in one cell, a run long, share a stretch.
-        cells = len(h) + 1
-        key = np.unique((k * len(ends) + text_of[p]) * cells + p // self.run[k])
+        cells = len(h) + 2
+
+        def keys(k: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return (k * len(ends) + text_of[p]) * cells + p // self.run[k]
+
+        key, n = np.unique(keys(*self.by_rare_words(h, f)), return_counts=True)
+        after = np.searchsorted(key, key + 1)
+        beside = np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), n[np.minimum(after, len(key) - 1)], 0) if len(key) else n
+        k = key // cells // len(ends)
+        # A run may begin in the cell before its first rare word.
+        enough = n >= self.hits[k]
+        key = np.unique(np.concatenate([key[n + beside >= self.hits[k]], key[enough & (key % cells > 0)] - 1, key[enough], keys(*self.by_cosine(f))]))
         key, cell = key // cells, key % cells
         k, t = key // len(ends), key % len(ends)
         order = np.argsort(self.run[k], kind="stable")
         for a in range(0, len(order), 2048):
             own = order[a : a + 2048]
             kk, tt, run = k[own], t[own], self.run[k[own]]
-            start, stop = np.maximum((cell[own] - 1) * run, begins[tt]), np.minimum((cell[own] + 2) * run, ends[tt])
+            start, stop = np.maximum(cell[own] * run, begins[tt]), np.minimum((cell[own] + 2) * run, ends[tt])
             most = int(run[-1])
-            place = start[:, None] + np.arange(3 * most)
+            place = start[:, None] + np.arange(2 * most)
             feature = np.where(place < stop[:, None], f[np.minimum(place, len(f) - 1)], FEATURES)
             count = np.cumsum(self.has[feature, kk[:, None]], 1, dtype=np.int32)
             best = np.maximum(count[:, most - 1], (count[:, most:] - count[:, :-most]).max(1))
@@ -267,7 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON)
     slices = [Items(items[i : i + ITEMS], space, common) for i in range(0, len(items), ITEMS)]
     shared = docs.sparkSession.sparkContext.broadcast(slices)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out: list[dict] = [{} for _ in range(len(texts))]
             for first, h, ends in tokens(texts, ALNUM):
@@ -275,9 +299,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON)
                     for t, k, share in own.found(h, ends):
                         held = out[first + t]
                         held[own.ids[k]] = max(held.get(own.ids[k], 0.0), share)
-            yield pd.DataFrame([(len(x), sorted(x), max([0.0, *x.values()])) for x in out], columns=["n_items", "items", "share"])
+            found = [{"n_items": len(x), "items": sorted(x), "share": max([0.0, *x.values()])} for x in out]
+            yield pa.array(found, pa.struct([("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("share", pa.float64())]))
 
-    return docs.withColumn("leak", F.pandas_udf(run, "n_items long, items array<long>, share double")("text"))
+    return docs.withColumn("leak", F.arrow_udf(run, "n_items long, items array<long>, share double")("text"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
