@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TOKYO = "Asia/Tokyo"
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def utc_from_tokyo(ts: str) -> Column:
-    """The instant of a naive Tokyo time; a date means Tokyo midnight. Needs no zone table: Tokyo has no summer time."""
-    return F.expr(f"cast({ts} as timestamp) - interval 9 hour")
+def utc_from_tokyo(ts: str | Column) -> Column:
+    """The instant of a naive Tokyo time, in whatever zone the session is; a date means Tokyo midnight."""
+    naive = _col(ts).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(TOKYO), F.current_timezone(), naive).cast("timestamp")
+
+
+def tokyo_time(ts: str | Column) -> Column:
+    """The naive Tokyo time of an instant (a naive time is taken in the session's zone)."""
+    return F.convert_timezone(None, F.lit(TOKYO), _col(ts))
 
 
-def tokyo_date(ts: str) -> Column:
+def tokyo_date(ts: str | Column) -> Column:
     """The Tokyo calendar date of an instant."""
-    return F.to_date(F.expr(f"{ts} + interval 9 hour"))
+    return F.to_date(tokyo_time(ts))
+
+
+def instant(text: str | Column) -> Column:
+    """ISO text with its offset as an instant; null if it is none."""
+    return F.try_to_timestamp(_col(text))
 
 
-def date_from_slashes(text: str) -> Column:
+def date_from_slashes(text: str | Column) -> Column:
     """YYYY/MM/DD as a date; null if there is no such day."""
-    return F.expr(f"cast(try_to_timestamp({text}, 'yyyy/MM/dd') as date)")
+    return F.try_to_timestamp(_col(text), F.lit("yyyy/MM/dd")).cast("date")
 
 
 def plain_digits(text: str | Column) -> Column:
@@ -30,6 +43,20 @@ def plain_digits(text: str | Column) -> Column:
     return F.translate(text, "０１２３４５６７８９，,", "0123456789")
 
 
+def whole_number(text: str | Column) -> Column:
+    """Typed digits as a number; placeholders and other text are null, never 0."""
+    return plain_digits(_col(text)).try_cast("long")
+
+
+def percent(text: str | Column) -> Column:
+    """'10%' as 0.1; null if there is no number."""
+    return F.replace(plain_digits(_col(text)), F.lit("%"), F.lit("")).try_cast("decimal(28,6)").cast("double") / 100
+
+
+def month_start(at: str | Column) -> Column:
+    return F.to_date(F.trunc(at, "MM"))
+
+
 def month_end(at: str) -> Column:
     return F.last_day(at)
 
@@ -52,6 +79,10 @@ def phone_last4(phone: str) -> Column:
     return F.right(F.regexp_replace(plain_digits(phone), "[^0-9]", ""), F.lit(4))
 
 
+def birth_year(date: str) -> Column:
+    return F.year(date).cast("long")
+
+
 def initial(text: str) -> Column:
     """The first character and three stars; null stays null."""
     return F.concat(F.left(F.col(text), F.lit(1)), F.lit("***"))
@@ -62,13 +93,21 @@ def pseudonym(key: str, product: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{product}:"), F.col(key).cast("string")), 256)
 
 
-def account_key(company: str | Column) -> Column:
+def hashed_account(company: str | Column) -> Column:
+    """The key of a company name in its normal form."""
     return F.substring(F.sha2(company, 256), 1, 16)
 
 
-def with_tax(amount: str | Column, rate: float) -> Column:
+def account_key(company: str | Column) -> Column:
+    """The key of a company name as written; null if nothing is left of it."""
+    from .identity import normal_company
+
+    return hashed_account(normal_company(_col(company)))
+
+
+def with_tax(amount: str | Column, rate: float | Column) -> Column:
     return F.round(_col(amount) * (1 + rate)).cast("long")
 
 
-def without_tax(amount: str | Column, rate: float) -> Column:
+def without_tax(amount: str | Column, rate: float | Column) -> Column:
     return F.round(_col(amount) / (1 + rate)).cast("long")

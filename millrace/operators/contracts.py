@@ -36,7 +36,8 @@ def one_of(column: str, values: Sequence) -> Check:
 
 
 def matches(column: str, pattern: str) -> Check:
-    return Check(column, "str_matches", F.col(column).rlike(pattern))
+    """The pattern holds from the start of the value; it may end before the value does."""
+    return Check(column, "str_matches", F.col(column).rlike(rf"\A(?:{pattern})"))
 
 
 def contains(column: str, part: str) -> Check:
@@ -47,6 +48,10 @@ def of_type(column: str, kind: str) -> Check:
     return Check(column, f"type({kind})", F.expr(f"try_cast(`{column}` as {kind}) is not null"))
 
 
+#: Types that are coerced into one another.
+FAMILIES = {"tinyint": "number", "smallint": "number", "int": "number", "bigint": "number", "float": "real", "double": "real", "timestamp": "time", "timestamp_ntz": "local time"}
+
+
 @dataclass(frozen=True)
 class Contract:
     """Exact columns, the nullable ones among them, checks, and column sets that are unique together."""
@@ -55,6 +60,8 @@ class Contract:
     nullable: Sequence[str] = ()
     checks: Sequence[Check] = ()
     unique: Sequence[Sequence[str]] = field(default_factory=tuple)
+    types: Mapping[str, str] = field(default_factory=dict)
+    strict: bool = True
 
     def rules(self) -> list[tuple[str, str, Column]]:
         nulls = [(c, "not_nullable", F.col(c).isNull()) for c in self.columns if c not in self.nullable]
@@ -62,9 +69,23 @@ class Contract:
 
 
 def misfit_columns(df: DataFrame, contract: Contract) -> list[tuple[str, str]]:
-    """(column, check) of missing and undeclared columns; the contract's rules apply only if there are none."""
-    missing = [(c, "column_in_dataframe") for c in contract.columns if c not in df.columns]
-    return missing + [(c, "column_in_schema") for c in df.columns if c not in contract.columns]
+    """(column, check) of missing and, if the contract is strict, undeclared columns; its rules apply only if there are none."""
+    return misfits(df.columns, contract)
+
+
+def misfits(columns: Sequence[str], contract: Contract) -> list[tuple[str, str]]:
+    missing = [(c, "column_in_dataframe") for c in contract.columns if c not in columns]
+    return missing + [(c, "column_in_schema") for c in columns if contract.strict and c not in contract.columns]
+
+
+def mistyped(types: Mapping[str, str], contract: Contract) -> list[tuple[str, str]]:
+    """(column, check) of columns whose type is of another family than the declared one; numbers and times are coerced inside theirs."""
+    return [(c, f"dtype('{kind}')") for c, kind in contract.types.items() if c in types and types[c] != "null" and FAMILIES.get(types[c], types[c]) != FAMILIES.get(kind, kind)]
+
+
+def coerced(df: DataFrame, contract: Contract) -> DataFrame:
+    """df with the declared types; what does not fit them is null and counted as such by the rules."""
+    return df.withColumns({c: F.col(c).try_cast(kind) for c, kind in contract.types.items() if c in df.columns and df.schema[c].dataType.simpleString() != kind})
 
 
 def violations(df: DataFrame, contract: Contract, by: Sequence[str] = ()) -> DataFrame:

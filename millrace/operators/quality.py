@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import unicodedata
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,44 +34,137 @@ def history_breaks(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return seen.groupBy(*keys).agg(F.count_if("_gap").alias("n_gaps"), F.count_if(F.col("valid_to").isNull()).alias("n_open")).filter("n_gaps > 0 or n_open <> 1")
 
 
-#: What a column's name says (fixed values of the scan), by class.
-NAMES = {"direct": r"(?i)e_?mail|phone|tel(_|$)|address|(^|_)(full|first|last|member|person)?_?name$|kana", "quasi": r"(?i)birth|postal|zip|gender", "sensitive": r"(?i)health|disease|injury|medical"}
-#: What values look like, by class; a column has the class if at least SHARE of its values do.
-VALUES = {"direct": r"^[^@\s]+@[^@\s]+\.[^@\s]+$|^\+?[0-9][0-9() -]{8,}[0-9]$", "quasi": r"^(19|20)\d\d[-/]\d\d?[-/]\d\d?$"}
-SHARE, FREE_LENGTH, FREE_WORDS = 0.5, 25, 3
-#: From weak to strong.
-LEVELS = ("none", "quasi", "direct", "sensitive")
+def not_unique_together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Repeated combinations with their count; nulls are equal to one another here."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+
+
+def not_true(df: DataFrame, expression: str) -> DataFrame:
+    """Rows for which the expression is false or null."""
+    return df.filter(~F.coalesce(F.expr(expression), F.lit(False)))
+
+
+def nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, n_rows of the columns that hold nulls; one aggregation."""
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_rows")) for i, c in enumerate(columns)]))).filter("n_rows > 0")
+
+
+def linkable_keys(copies: Mapping[str, DataFrame], key: str, canonical: DataFrame) -> DataFrame:
+    """key, problem: keys that two product roles share, and keys of a product role that are canonical ones."""
+    seen = None
+    for role, df in copies.items():
+        own = df.select(F.col(key).alias("key"), F.lit(role).alias("role")).filter("key is not null").distinct()
+        seen = own if seen is None else seen.unionByName(own)
+    shared = seen.groupBy("key").agg(F.count("*").alias("roles")).filter("roles > 1").select("key", F.lit("in two roles").alias("problem"))
+    known = seen.select("key").distinct().join(canonical.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    return shared.unionByName(known.withColumn("problem", F.lit("canonical")))
+
 
+def without_live_source(people: DataFrame, live: DataFrame, key: str = "member_key") -> DataFrame:
+    """People without a live record in any source."""
+    return people.select(key).join(live.select(key), key, "left_anti")
 
-def personal_columns(df: DataFrame) -> DataFrame:
-    """column, level, free_text of every column: the strongest class of its name and its values; one pass over all rows."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    aggs = [F.lit(0).alias("_")]
-    for i, c in enumerate(texts):
-        aggs += [F.avg(F.col(c).rlike(p).cast("int")).alias(f"{k}{i}") for k, p in VALUES.items()]
-        aggs += [F.avg(F.length(c)).alias(f"length{i}"), F.avg(F.size(F.split(F.trim(c), r"\s+"))).alias(f"words{i}")]
-    seen, rows = df.agg(*aggs), []
-    for name in df.columns:
-        i = texts.index(name) if name in texts else None
-        named = max((LEVELS.index(k) for k, p in NAMES.items() if re.search(p, name)), default=0)
-        valued = [F.when(F.col(f"{k}{i}") >= SHARE, LEVELS.index(k)).otherwise(0) for k in VALUES] if i is not None else []
-        level = F.greatest(F.lit(named), F.lit(0), *valued)
-        free = F.coalesce((F.col(f"length{i}") >= FREE_LENGTH) & (F.col(f"words{i}") >= FREE_WORDS), F.lit(False)) if i is not None else F.lit(False)
-        rows.append(F.struct(F.lit(name).alias("column"), F.element_at(F.array(*map(F.lit, LEVELS)), level + 1).alias("level"), free.alias("free_text")))
-    return seen.select(F.inline(F.array(*rows)))
+
+def left_by_deleted(rows: DataFrame, deleted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of records that were deleted in their source and should have left nothing."""
+    return rows.join(deleted.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def known_elsewhere_only(seen: DataFrame, own: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Combinations that a product role sees and its own records do not hold."""
+    return seen.select(*columns).subtract(own.select(*columns))
+
+
+def freshness(df: DataFrame, at: str, now, warn_hours: int = 24, error_hours: int = 72) -> DataFrame:
+    """latest, age_hours, state of the newest row: pass, warn or error; an empty table is an error."""
+    latest = df.agg(F.max(F.col(at).cast("timestamp")).alias("latest"))
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("latest")) / 3600
+    state = F.when(F.col("age_hours") <= warn_hours, "pass").when(F.col("age_hours") <= error_hours, "warn").otherwise("error")
+    return latest.withColumn("age_hours", age).withColumn("state", state)
+
+
+#: From weak to strong.
+LEVELS = ("none", "quasi", "direct", "sensitive")
+#: What a column's name says (fixed values of the scan): pattern, class, reason.
+NAMES = (
+    (r"e-?mail|メール", "direct", "e-mail name"),
+    (r"phone|telephone|(^|_)tel($|_)|mobile|電話", "direct", "phone name"),
+    (r"birth|(^|_)dob($|_)|生年月日", "direct", "birth date name"),
+    (r"address|postal|(^|_)zip($|_)|住所|郵便", "direct", "address name"),
+    (r"health|medical|condition|injur|diagnos|disease|allerg|illness|symptom|持病|病歴|けが", "sensitive", "health name"),
+)
+#: Parts of a name that say that it is not a person's (fixed values).
+NOT_A_PERSON = {"company", "plan", "file", "event", "type", "sku", "facility", "workout", "tenant"}
+#: What values look like: pattern, digits at least, reason. A column is direct if at least SHARE of its values do.
+VALUES = ((r"^\s*[\w.+-]+@[\w-]+(\.[\w-]+)+\s*$", 0, "e-mail values"), (r"^\+?[\d\s()-]{10,}$", 10, "phone values"))
+SHARE, FREE_LENGTH, FREE_WORDS = 0.5, 25, 3
+#: Rows of each file that are scanned.
+HEAD = 100
+
+
+def class_of_name(column: str) -> tuple[str, list[str]]:
+    """The strongest class that the name of a column says, and why."""
+    name = unicodedata.normalize("NFKC", column).lower()
+    found = [(level, why) for pattern, level, why in NAMES if re.search(pattern, name)]
+    parts = set(re.split(r"[^a-z0-9ぁ-んァ-ヶ一-龠]+", name))
+    if ({"name", "kana"} & parts or "氏名" in name or "カナ" in name) and not parts & NOT_A_PERSON:
+        found.append(("direct", "person's name"))
+    return max([level for level, _ in found], key=LEVELS.index, default="none"), [why for _, why in found]
+
+
+def personal_columns(df: DataFrame, file: str | None = None, head: int | None = None) -> DataFrame:
+    """column, level, reasons: the strongest class of the name and the values of every column, over all files.
+
+    Values are NFKC and judged by each file on its own, so personal data in one of many files is found; blank texts
+    do not count. With file and head, the first rows of each file are read; else all rows are one file's. Every group
+    passes through counts of its columns only.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != file]
+    columns = [c for c in df.columns if c != file]
+    named = {c: class_of_name(c) for c in columns}
+    plain = df.sparkSession.createDataFrame([(c, *named[c]) for c in columns], "column string, level string, reasons array<string>")
+    if not texts:
+        return plain
+    rows = df.select(F.col(file).alias("file") if file else F.lit("").alias("file"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(texts)])
+    if file and head:
+        place = F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id()))
+        rows = rows.withColumn("place", place).filter(F.col("place") <= head).drop("place")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums by file and column, from which the shares and means of the whole file follow."""
+        for batch in batches:
+            out = []
+            for name, own in batch.groupby("file"):
+                for i in range(len(texts)):
+                    held = [unicodedata.normalize("NFKC", v) for v in own[f"c{i}"] if isinstance(v, str) and v.strip()]
+                    like = [sum(bool(re.match(p, v)) and len(re.sub(r"\D", "", v)) >= d for v in held) for p, d, _ in VALUES]
+                    out.append((name, i, len(held), *like, sum(map(len, held)), sum(len(v.split()) for v in held)))
+            yield pd.DataFrame(out, columns=["file", "i", "n", *[f"v{k}" for k in range(len(VALUES))], "length", "words"])
+
+    sums = [f"v{k}" for k in range(len(VALUES))] + ["length", "words"]
+    found = rows.mapInPandas(counted, f"file string, i int, n long, {', '.join(f'{c} long' for c in sums)}")
+    by_file = found.groupBy("file", "i").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]).filter("n > 0")
+    direct = [F.when(F.col(f"v{k}") >= SHARE * F.col("n"), F.lit(why)) for k, (_, _, why) in enumerate(VALUES)]
+    free = F.when((F.col("length") >= FREE_LENGTH * F.col("n")) & (F.col("words") >= FREE_WORDS * F.col("n")), F.lit("free text"))
+    reasons = by_file.select("i", F.array_compact(F.array(*direct, free)).alias("why")).groupBy("i").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("why")))).alias("why"))
+    names = df.sparkSession.createDataFrame(list(enumerate(texts)), "i int, column string")
+    joined = plain.join(reasons.join(F.broadcast(names), "i").drop("i"), "column", "left")
+    why = F.coalesce("why", F.array().cast("array<string>"))
+    valued = F.when(F.array_contains(why, "free text"), 3).when(F.size(why) > 0, 2).otherwise(0)
+    order = F.array(*[F.lit(x) for x in LEVELS])
+    return joined.select("column", F.element_at(order, F.greatest(F.array_position(order, F.col("level")).cast("int") - 1, valued) + 1).alias("level"), F.concat("reasons", why).alias("reasons"))
 
 
 def scan_verdicts(found: Mapping[str, str], declared: Mapping[str, str | None]) -> dict[str, str]:
-    """Columns whose declared class is missing, none, weaker than found, or no class at all."""
+    """Columns whose declared class is no class at all, missing, none, or weaker than found."""
     out = {}
     for column, level in found.items():
         own = declared.get(column)
         if own is not None and own not in LEVELS:
             out[column] = "invalid"
-        elif level != "none" and own is None:
-            out[column] = "undeclared"
-        elif level != "none" and own == "none":
-            out[column] = "declared none"
+        elif level != "none" and own in (None, "none"):
+            out[column] = "undeclared" if own is None else "declared none"
         elif own is not None and LEVELS.index(own) < LEVELS.index(level):
             out[column] = "weaker"
     return out

@@ -1,16 +1,138 @@
-"""Parquet tables of one folder."""
+"""Tables of a folder and of a lake: Parquet events, snapshots and change logs, text files, optional and meta tables."""
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _fs(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match, sorted; a listing on the driver, names only."""
+    fs, own = _fs(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(own) or [])
+
+
 def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet at path with this schema; an empty typed relation if there is no file."""
-    reader = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = reader.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(reader)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if files(spark, path) else spark.createDataFrame([], schema)
+
+
+def events(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """Append-only Parquet files, partitioned by day, whose columns may have grown; with the path of each row's file."""
+    reader = spark.read.option("mergeSchema", True)
+    return (reader.schema(schema) if schema else reader).parquet(folder).withColumn("file", F.col("_metadata.file_path"))
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Full snapshots or change logs, partitioned by day; the day is snapshot_date."""
+    return spark.read.option("mergeSchema", True).parquet(folder).withColumnRenamed("dt", "snapshot_date")
+
+
+def text_files(spark: SparkSession, paths: Sequence[str] | str, encoding: str) -> DataFrame:
+    """file, header, place, cells, error: the rows of delimited text files in any encoding, all cells as text.
+
+    A file is decoded and parsed as a whole in one task (place 0 is a row for the file itself, with its header);
+    a file that cannot be decoded or parsed has an error and no rows. A byte order mark is no part of the header.
+    """
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                out = []
+                try:
+                    rows = [r for r in csv.reader(io.StringIO(bytes(content).decode(encoding).removeprefix("﻿"), newline=""), strict=True) if r]
+                    header = rows[0] if rows else []
+                    if any(len(r) != len(header) for r in rows):
+                        raise ValueError("ragged")
+                    out = [(path, header, i, None if i == 0 else r, None) for i, r in enumerate(rows or [[]])]
+                except (UnicodeDecodeError, ValueError, csv.Error) as e:
+                    out = [(path, [], 0, None, type(e).__name__)]
+                yield pd.DataFrame(out, columns=["file", "header", "place", "cells", "error"])
+
+    read = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
+    return read.select("path", "content").mapInPandas(parsed, "file string, header array<string>, place int, cells array<string>, error string")
+
+
+def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, columns, types, error of Parquet files, by the engine's names of types; one task a file, any file system."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        def kind(t: pa.DataType) -> str:
+            if pa.types.is_null(t):
+                return "null"
+            # INT96 times are instants and come as nanoseconds without a zone.
+            return "timestamp" if pa.types.is_timestamp(t) and t.unit == "ns" else from_arrow_type(t, prefer_timestamp_ntz=True).simpleString()
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    schema = pq.read_schema(pa.BufferReader(bytes(content)))
+                    kinds = [kind(f.type) for f in schema]
+                    out.append((path, schema.names, kinds, None))
+                except Exception as e:  # noqa: BLE001  whatever makes a file unreadable
+                    out.append((path, [], [], type(e).__name__))
+            yield pd.DataFrame(out, columns=["file", "columns", "types", "error"])
+
+    if not paths:
+        return spark.createDataFrame([], "file string, columns array<string>, types array<string>, error string")
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, "file string, columns array<string>, types array<string>, error string")
+
+
+def seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small mapping table from CSV; empty cells are null."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows added to what is there, which stays."""
+    df.write.mode("append").parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, own = _fs(spark, path)
+    out = fs.create(own, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, own = _fs(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(own, target):
+        raise OSError(f"{path} could not be moved")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, own = _fs(spark, path)
+    fs.delete(own, True)
+
+
+def cleared(spark: SparkSession, root: str, managed: Sequence[str], overwrite: bool) -> None:
+    """Makes root ready for a full run: what is there is an error, unless overwrite clears the managed folders, and only those."""
+    there = [m for m in managed if files(spark, f"{root}/{m}")]
+    if there and not overwrite:
+        raise FileExistsError(f"{root} holds {', '.join(there)}")
+    for m in there:
+        remove(spark, f"{root}/{m}")
