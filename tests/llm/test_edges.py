@@ -106,7 +106,7 @@ def test_shards_are_gapless(docs):
 
 def test_mix_takes_at_most_three_times(docs):
     rows = mixing.mixed(docs).collect()
-    assert len(rows) == len(ROWS) and all(r.taken <= 3 * r["size"] for r in rows)
+    assert len(rows) == len(ROWS) and all(r.mix.taken <= 3 * r.mix["size"] for r in rows) and {r["size"] for r in rows} == {5}
 
 
 def test_licenses_and_personal_data(docs):
@@ -169,5 +169,5 @@ def test_toxicity_learns_and_handles_empty_texts(spark):
     rows = [(i, f"plain words here number {'scum ' if i % 2 else ''} {i}") for i in range(200)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
-    got = {r.doc_id: r.toxic_score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    got = {r.doc_id: r.toxicity.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(200) if i % 2) and got[900] == got[901]
