@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from millrace.llm.common import table, written
+from millrace.llm.common import free_name, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, index).filter("toxic_score < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, index).filter("toxicity.score < 0.5").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "copies").distinct()
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["d"]) & docs["source"].eqNullSafe(copies["s"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = mixing.mixed(docs).filter("mix.copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias(free_name(docs, "copy"))
+    return taken.select(*docs.columns, copies).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

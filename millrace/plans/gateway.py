@@ -35,7 +35,7 @@ EXPRESSIONS = {
     "SpecifiedWindowFrame", "UnspecifiedFrame$", "UnboundedPreceding$", "UnboundedFollowing$", "CurrentRow$", "Cube", "Rollup", "GroupingSets", "MultiAlias",
 }
 FUNCTIONS = {
-    "abs", "add_months", "approx_count_distinct", "approx_percentile", "any_value", "array_join", "avg", "bool_and", "bool_or", "cast", "ceil", "ceiling", "char_length", "coalesce", "concat", "concat_ws", "contains", "corr", "count", "count_if",
+    "abs", "add_months", "approx_count_distinct", "approx_percentile", "any_value", "array_join", "avg", "between", "bool_and", "bool_or", "cast", "ceil", "ceiling", "char_length", "coalesce", "concat", "concat_ws", "contains", "corr", "count", "count_if",
     "cume_dist", "date", "date_add", "date_diff", "date_format", "date_sub", "date_trunc", "datediff", "day", "dayofmonth", "dayofweek", "dense_rank", "endswith", "every", "extract", "first", "first_value", "floor", "greatest", "grouping", "grouping_id",
     "hour", "if", "ifnull", "isnotnull", "isnull", "lag", "last", "last_day", "last_value", "lead", "least", "left", "length", "ln", "log10", "lower", "ltrim", "max", "max_by", "mean", "median", "min", "min_by", "minute", "mod", "month", "months_between",
     "nth_value", "ntile", "nullif", "nvl", "percent_rank", "percentile", "percentile_approx", "power", "quarter", "rank", "regexp_replace", "replace", "right", "round", "row_number", "rtrim", "second", "sign", "some", "split_part", "sqrt", "startswith",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import contracts, history, metrics, quality
+from ..functions import identity, scalars
+from ..operators import contracts, history, kpis, metrics, quality
 from ..sources.tables import table
+from . import access, gateway, silver
+from . import spec as specs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,10 +33,10 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
     return metrics.active(table(spark, d, "orders"), "o_custkey", "o_orderdate", _scopes())
 
 
-def _grid(spark: SparkSession, d: str, metric: DataFrame, value: str) -> DataFrame:
+def _grid(spark: SparkSession, d: str, metric: DataFrame, value: str, kind: str = "long") -> DataFrame:
     orders = table(spark, d, "orders")
     scopes = metrics.scoped(orders, _scopes()).select("scope").distinct()
-    return metrics.on_grid(metric, metrics.month_spine(orders, "o_orderdate"), scopes, value)
+    return metrics.on_grid(metric, metrics.month_spine(orders, "o_orderdate"), scopes, value, kind)
 
 
 _SPINE = """months as (select cast(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as date) as month from orders),
@@ -54,10 +56,9 @@ def metric_lapsed_entities(spark, d):
     return _grid(spark, d, metrics.lapsed(_active(spark, d), "o_custkey"), "lapsed")
 
 
-@query(f"with {_SPINE} select month, scope, cast(sum(n_rows) as bigint) as n_rows, count(*) as active, round(cast(sum(n_rows) as double) / count(*), 6) as per_active from sets group by month, scope")
+@query(f"with {_SPINE}, v as (select month, scope, sum(n_rows) as n_rows, count(*) as active from sets group by month, scope) select g.month, g.scope, cast(coalesce(round(cast(n_rows as double) / active, 6), 0) as decimal(28,6)) as per_active from grid g left join v on v.month = g.month and v.scope = g.scope")
 def metric_rows_per_active(spark, d):
-    both = _active(spark, d).groupBy("month", "scope").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("active"))
-    return both.withColumn("per_active", F.round(F.col("n_rows").cast("double") / F.col("active"), 6)).join(F.broadcast(metrics.month_spine(table(spark, d, "orders"), "o_orderdate")), "month", "left_semi")
+    return _grid(spark, d, metrics.rows_per_active(_active(spark, d)), "per_active", "decimal(28,6)")
 
 
 @query("select cast(date_trunc('month', l_shipdate) as date) as month, cast(sum(case when l_returnflag = 'R' then -1 else 1 end * cast(round(l_extendedprice * 100) as bigint)) as bigint) as net_cents from lineitem group by 1")
@@ -66,19 +67,30 @@ def metric_net_amount_by_month(spark, d):
     return table(spark, d, "lineitem").groupBy(F.to_date(F.trunc("l_shipdate", "MM")).alias("month")).agg(F.sum(cents).alias("net_cents"))
 
 
-@query("with c as (select cast(date_trunc('month', o_orderdate) as date) as month, count(distinct o_custkey) as canonical, count(distinct case when day(o_orderdate) <= 28 then o_custkey end) as reported from orders group by 1) select month, reported, canonical, round((reported - canonical) * 100.0 / nullif(canonical, 0), 6) as gap_pct, abs(round((reported - canonical) * 100.0 / nullif(canonical, 0), 6)) <= 10 as explained from c")
+@query("""with c as (select cast(date_trunc('month', o_orderdate) as date) as period_month, o_orderstatus as product, count(distinct o_custkey) as canonical_value from orders group by all),
+r as (select cast(date_trunc('month', o_orderdate) as date) as period_month, o_orderstatus as product, 'first_weeks' as reported_as, cast(count(distinct case when day(o_orderdate) <= 28 then o_custkey end) as double) as value from orders group by all
+  union all select cast(date_trunc('month', o_orderdate) as date) as period_month, o_orderstatus, 'rows', cast(count(*) as double) from orders group by all),
+v as (select * from (values ('F', 'first_weeks', 'lower', 0::double, 8::double, true), ('O', 'rows', 'higher', 1, 4, true), ('P', 'rows', 'any', 0, 0, false), ('F', 'rows', 'lower', 1, 50, true)) t(product, reported_as, expected_direction, tolerance, threshold_pct, comparable)),
+j as (select period_month, product, reported_as, value as reported_value, canonical_value, value - canonical_value as diff, (value - canonical_value) * 100.0 / nullif(canonical_value, 0) as diff_pct, expected_direction, tolerance, threshold_pct, comparable from r join v using (product, reported_as) left join (select * from c where day(period_month) = 1 and month(period_month) <> 3) c using (period_month, product))
+select period_month, product, reported_as, reported_value, canonical_value, diff, round(diff_pct, 6) as diff_pct, expected_direction, threshold_pct, comparable,
+  case when not comparable then null when diff_pct is null then false else abs(diff_pct) <= threshold_pct and case expected_direction when 'higher' then diff_pct >= -tolerance when 'lower' then diff_pct <= tolerance else true end end as explained from j""")
 def recon_reported_vs_canonical(spark, d):
-    orders = table(spark, d, "orders").withColumn("month", F.to_date(F.trunc("o_orderdate", "MM")))
-    canonical = orders.groupBy("month").agg(F.countDistinct("o_custkey").alias("canonical"))
-    reported = orders.groupBy("month").agg(F.countDistinct(F.when(F.dayofmonth("o_orderdate") <= 28, F.col("o_custkey"))).alias("reported"))
-    return metrics.reconcile(reported, canonical, ["month"], 10.0).select("month", "reported", "canonical", "gap_pct", "explained")
+    """Months of March have no canonical value, so that a missing percentage is among the rows."""
+    orders = table(spark, d, "orders").select(scalars.month_start("o_orderdate").alias("period_month"), F.col("o_orderstatus").alias("product"), "o_custkey", F.dayofmonth("o_orderdate").alias("day"))
+    canonical = orders.filter("month(period_month) <> 3").groupBy("period_month", "product").agg(F.countDistinct("o_custkey").alias("value"))
+    both = orders.groupBy("period_month", "product").agg(F.countDistinct(F.when(F.col("day") <= 28, F.col("o_custkey"))).cast("double").alias("first_weeks"), F.count("*").cast("double").alias("rows"))
+    reported = both.unpivot(["period_month", "product"], ["first_weeks", "rows"], "reported_as", "value")
+    variants = [("F", "first_weeks", "lower", 0.0, 8.0, True), ("O", "rows", "higher", 1.0, 4.0, True), ("P", "rows", "any", 0.0, 0.0, False), ("F", "rows", "lower", 1.0, 50.0, True)]
+    found = metrics.reconcile(reported, canonical, spark.createDataFrame(variants, specs._VARIANT))
+    return found.withColumn("diff_pct", F.round("diff_pct", 6))
 
 
-@query("with e as (select event_id, ts, user_id, 'a' as file from events union all select event_id, ts + interval 1 hour, user_id, 'b' from events where event_id % 50 = 0) select event_id, ts, user_id, file from e qualify row_number() over (partition by event_id order by ts, file) = 1")
+@query("with e as (select event_id, ts, user_id, 'a' as file from events union all select event_id, ts + interval 1 hour, user_id, 'b' from events where event_id % 50 = 0 union all select event_id, case when event_id % 3 = 0 then ts end, user_id, '0' from events where event_id % 40 = 0) select event_id, ts, user_id, file from e qualify row_number() over (partition by event_id order by ts nulls last, file nulls last) = 1")
 def event_dedup_earliest(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", "user_id")
     again = events.filter("event_id % 50 = 0").withColumn("ts", F.expr("ts + interval 1 hour")).withColumn("file", F.lit("b"))
-    return history.first_per_key(events.withColumn("file", F.lit("a")).unionByName(again), ["event_id"], [F.col("ts"), F.col("file")])
+    tied = events.filter("event_id % 40 = 0").withColumn("ts", F.expr("case when event_id % 3 = 0 then ts end")).withColumn("file", F.lit("0"))
+    return history.deduplicated(events.withColumn("file", F.lit("a")).unionByName(again).unionByName(tied), "event_id", "ts", "file")
 
 
 @query("select o_custkey, o_orderkey, o_orderstatus, o_orderdate from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
@@ -92,14 +104,16 @@ def scd2_history(spark, d):
     return history.scd2(table(spark, d, "orders"), ["o_custkey"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "o_orderdate")
 
 
-@query("with m as (select 1 as priority, c_custkey as id, c_nationkey as nation, c_acctbal as balance from customer union all select 2, s_suppkey, s_nationkey, s_acctbal from supplier) select nation, priority, id, balance, cast(count(*) over (partition by nation) as bigint) as n_records, max(case when priority = 2 then 1 else 0 end) over (partition by nation) = 1 as has_supplier from m qualify row_number() over (partition by nation order by priority, balance desc, id) = 1")
+@query("with m as (select 1 as priority, c_custkey as id, c_nationkey as nation, case when c_custkey % 7 <> 0 then c_acctbal end as balance from customer union all select 2, s_suppkey, s_nationkey, s_acctbal from supplier) select nation, priority, id, balance, cast(count(*) over (partition by nation) as bigint) as n_records, max(case when priority = 2 then 1 else 0 end) over (partition by nation) = 1 as has_supplier, cast(max(case when priority = 1 then 1 else 0 end) over (partition by nation) + max(case when priority = 2 then 1 else 0 end) over (partition by nation) as int) as n_products from m qualify row_number() over (partition by nation order by priority, balance desc nulls last, id) = 1")
 def survivorship_merge(spark, d):
-    customers = table(spark, d, "customer").select(F.lit(1).alias("priority"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    balance = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal"))
+    customers = table(spark, d, "customer").select(F.lit(1).alias("priority"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), balance.alias("balance"))
     suppliers = table(spark, d, "supplier").select(F.lit(2).alias("priority"), "s_suppkey", "s_nationkey", "s_acctbal")
-    # One pass with partial aggregation; the smallest (priority, -balance, id) survives.
-    best = F.min(F.struct("priority", (-F.col("balance")).alias("worse"), "id"))
-    found = customers.union(suppliers).groupBy("nation").agg(best.alias("b"), F.count("*").alias("n_records"), F.bool_or(F.col("priority") == 2).alias("has_supplier"))
-    return found.select("nation", "b.priority", "b.id", (-F.col("b.worse")).alias("balance"), "n_records", "has_supplier")
+    # One pass with partial aggregation; the smallest (priority, no balance, -balance, id) survives.
+    best = F.min_by(F.struct("priority", "id", "balance"), F.struct("priority", F.col("balance").isNull(), -F.col("balance"), "id"))
+    flags = [F.bool_or(F.col("priority") == k).alias(f"p{k}") for k in (1, 2)]
+    found = customers.union(suppliers).groupBy("nation").agg(best.alias("b"), F.count("*").alias("n_records"), *flags)
+    return found.select("nation", "b.priority", "b.id", "b.balance", "n_records", F.col("p2").alias("has_supplier"), (F.col("p1").cast("int") + F.col("p2").cast("int")).alias("n_products"))
 
 
 @query("with s as (select 'C' as kind, c_custkey as id, c_nationkey * 1000 + cast(floor(c_acctbal / 100) as bigint) as link from customer union all select 'S', s_suppkey, s_nationkey * 1000 + cast(floor(s_acctbal / 100) as bigint) from supplier) select link, min(case when kind = 'C' then id end) as canonical, count(distinct case when kind = 'C' then id end) as n_customers, count(distinct case when kind = 'C' then id end) > 1 as ambiguous from s group by link")
@@ -121,15 +135,34 @@ def ingest_quality_full_outer(spark, d):
     return landed.join(kept, ["day", "event_type"], "full_outer").na.fill(0, ["landed", "kept"])
 
 
-@query("with q as (select cast(o_orderdate as date) as day, count(*) as n from orders group by 1), s as (select *, avg(n) over w as mean, stddev(n) over w as sd, count(n) over w as seen from q window w as (order by day rows between 28 preceding and 1 preceding)) select day, n, round(mean, 6) as mean, round(sd, 6) as sd from s where seen >= 7 and abs(n - mean) > 3 * sd")
+@query("""with q as (select cast(o_orderdate as date) as d, count(*) as n from orders where o_orderkey % 1000 < 990 and dayofyear(o_orderdate) not in (100, 200, 201) group by 1),
+s as (select d, n, avg(n) over w as mean, stddev(n) over w as sd, count(n) over w as seen from q window w as (order by d rows between 27 preceding and current row)),
+p as (select d, n, lag(d) over (order by d) as pd, lag(mean) over (order by d) as mean, lag(sd) over (order by d) as sd, lag(seen) over (order by d) as seen from s)
+select d as day, n as observed, round(mean, 6) as expected, 'unusual_count' as kind from p where seen >= 28 and sd > 0 and abs(n - mean) / sd > 2
+union all select pd + 1, 0, round(mean, 6), 'missing_day' from p where seen >= 28 and sd > 0 and d - pd > 1 and mean / sd > 2""")
 def row_count_anomaly(spark, d):
-    daily = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
-    return history.row_count_anomalies(daily, "day", "n").select("day", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    orders = table(spark, d, "orders").filter("o_orderkey % 1000 < 990 and dayofyear(o_orderdate) not in (100, 200, 201)")
+    daily = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return history.row_count_anomalies(daily, "day", "n", 28, 2.0).withColumn("expected", F.round("expected", 6))
 
 
-@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
-def anti_semi_except(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def anti_join(spark, d):
+    held = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(held, "c_custkey", "left_anti")
+
+
+@query("select p_partkey, p_brand from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R')")
+def semi_join(spark, d):
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_brand").join(returned, "p_partkey", "left_semi")
+
+
+@query("select c_nationkey as nation, c_mktsegment as segment from customer where c_acctbal < 0 except select c_nationkey, c_mktsegment from customer where c_acctbal > 9000")
+def except_distinct(spark, d):
+    own = table(spark, d, "customer")
+    rows = own.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    return quality.known_elsewhere_only(rows.filter("c_acctbal < 0"), rows.filter("c_acctbal > 9000"), ["nation", "segment"])
 
 
 @query("select 'view_or_click' as kind, user_id as entity, cast(ts as date) as day from events where event_type in ('view', 'click') union all select 'order', o_custkey, cast(o_orderdate as date) from orders")
@@ -140,20 +173,21 @@ def activity_union(spark, d):
 
 @query("select event_id, ts + interval 9 hour as local_ts, cast(date_trunc('month', ts + interval 9 hour) as date) as local_month from events")
 def jst_shift(spark, d):
-    local = F.expr("ts + interval 9 hour")
-    return table(spark, d, "events").select("event_id", local.alias("local_ts"), F.to_date(F.trunc(local, "MM")).alias("local_month"))
+    local = scalars.tokyo_time("ts")
+    return table(spark, d, "events").select("event_id", local.alias("local_ts"), scalars.month_start(local).alias("local_month"))
 
 
-@query("select c_custkey, sha256(c_name) as pseudonym, left(c_name, 1) || '***' as masked, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
+@query("select c_custkey, sha256('D:' || c_name) as pseudonym, left(c_name, 1) || '***' as masked, c_mktsegment, right(regexp_replace(c_name, '[^0-9]', '', 'g'), 4) as last4, split_part(c_name || '@' || lower(c_mktsegment), '@', 2) as domain from customer where c_mktsegment = 'BUILDING'")
 def mask_and_pseudonymise(spark, d):
-    own = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
-    return own.select("c_custkey", F.sha2("c_name", 256).alias("pseudonym"), F.concat(F.substring("c_name", 1, 1), F.lit("***")).alias("masked"), "c_mktsegment")
+    own = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").withColumn("mail", F.concat("c_name", F.lit("@"), F.lower("c_mktsegment")))
+    return own.select("c_custkey", scalars.pseudonym("c_name", "D").alias("pseudonym"), scalars.initial("c_name").alias("masked"), "c_mktsegment", scalars.phone_last4("c_name").alias("last4"), scalars.email_domain("mail").alias("domain"))
 
 
-@query("with f as (select n_nationkey, c_mktsegment as segment, count(*) as n from customer join nation on c_nationkey = n_nationkey group by all) select n_nationkey, segment, n from f")
+@query("select c_nationkey as household, count(*) as n_members, count(*) > 1 as is_family, count(distinct c_mktsegment) as n_segments, max(case when c_mktsegment = 'BUILDING' then 1 else 0 end) = 1 as has_building, max(case when c_acctbal < -990 then 1 else 0 end) = 1 as has_debt, min(c_custkey) as first_member from customer group by 1")
 def household_rollup(spark, d):
-    nations = F.broadcast(table(spark, d, "nation").select("n_nationkey"))  # one row a nation
-    return table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    n = F.count("*")
+    flags = [F.bool_or(F.col("c_mktsegment") == "BUILDING").alias("has_building"), F.bool_or(F.col("c_acctbal") < -990).alias("has_debt")]
+    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("household")).agg(n.alias("n_members"), (n > 1).alias("is_family"), F.countDistinct("c_mktsegment").alias("n_segments"), *flags, F.min("c_custkey").alias("first_member"))
 
 
 @query("with m as (select l_suppkey, cast(date_trunc('month', l_shipdate) as date) as month from lineitem), a as (select l_suppkey, min(month) as first_month, max(month) as last_month from m group by 1) select *, last_month = (select max(month) from m) as is_live from a")
@@ -163,9 +197,12 @@ def account_latest_window(spark, d):
     return own.crossJoin(F.broadcast(latest)).select("l_suppkey", "first_month", "last_month", (F.col("last_month") == F.col("latest")).alias("is_live"))
 
 
-@query("select event_id, try_cast(regexp_replace(props, '[^0-9]', '', 'g') as bigint) as k from events")
+@query("select event_id, try_cast(regexp_replace(props, '[^0-9]', '', 'g') as bigint) as k, try_cast(case when event_id % 2 = 0 then '—' else cast(event_id as varchar) end as bigint) as seats, try_cast(replace(cast(event_id % 30 as varchar) || '%', '%', '') as double) / 100 as rate from events")
 def digits_safe_cast(spark, d):
-    return table(spark, d, "events").select("event_id", F.expr("try_cast(regexp_replace(props, '[^0-9]', '') as bigint)").alias("k"))
+    digits = F.expr("try_cast(regexp_replace(props, '[^0-9]', '') as bigint)")
+    typed = F.when(F.col("event_id") % 2 == 0, "—").otherwise(F.translate(F.col("event_id").cast("string"), "0123456789", "０１２３４５６７８９"))
+    rate = F.concat((F.col("event_id") % 30).cast("string"), F.lit("%"))
+    return table(spark, d, "events").select("event_id", digits.alias("k"), scalars.whole_number(typed).alias("seats"), scalars.percent(rate).alias("rate"))
 
 
 @query("""select * from (
@@ -199,8 +236,204 @@ def quality_not_unique(spark, d):
     return quality.not_unique(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("select event_id, ts - interval 9 hour as utc_ts, cast(ts + interval 9 hour as date) as tokyo_day, split_part(event_type, 'i', 2) as part, sha256('E:' || cast(user_id as varchar)) as pseudonym, cast(round(cast(user_id as double) * 1.5) as bigint) as taxed from events")
+@query("select event_id, ts - interval 9 hour as utc_ts, cast(ts + interval 9 hour as date) as tokyo_day, split_part(event_type, 'i', 2) as part, sha256('E:' || cast(user_id as varchar)) as pseudonym, cast(round(cast(user_id as double) * 1.5) as bigint) as taxed, cast(round(cast(user_id as double) / 1.1) as bigint) as untaxed, year(ts) as year, array_to_string(string_split(event_type, 'i'), ',') as parts from events")
 def scalar_functions(spark, d):
     return table(spark, d, "events").select(
-        "event_id", scalars.utc_from_tokyo("ts").alias("utc_ts"), scalars.tokyo_date("ts").alias("tokyo_day"), F.split_part("event_type", F.lit("i"), F.lit(2)).alias("part"), scalars.pseudonym("user_id", "E").alias("pseudonym"), scalars.with_tax(F.col("user_id").cast("double"), 0.5).alias("taxed")
+        "event_id", scalars.utc_from_tokyo("ts").alias("utc_ts"), scalars.tokyo_date("ts").alias("tokyo_day"), F.split_part("event_type", F.lit("i"), F.lit(2)).alias("part"), scalars.pseudonym("user_id", "E").alias("pseudonym"), scalars.with_tax(F.col("user_id").cast("double"), 0.5).alias("taxed"), scalars.without_tax(F.col("user_id").cast("double"), 0.1).alias("untaxed"), scalars.birth_year("ts").alias("year"), scalars.list_to_text(F.split("event_type", "i")).alias("parts")
     )
+
+
+@query("select l_partkey, l_orderkey, l_linenumber, l_shipdate, l_quantity from lineitem qualify row_number() over (partition by l_partkey order by l_shipdate desc nulls last, l_linenumber desc, l_orderkey desc, l_quantity desc) = 1")
+def snapshot_latest(spark, d):
+    own = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    return history.latest_per_key(own, ["l_partkey"], "l_shipdate", "l_linenumber", "l_orderkey")
+
+
+_LINKED = """s as (select 'C' as source, cast(c_custkey as varchar) as id, case when c_custkey % 11 <> 0 then c_nationkey * 1000 + cast(floor(c_acctbal / 100) as bigint) end as link, c_custkey % 3 = 0 as mailed from customer
+  union all select 'S', cast(s_suppkey as varchar), s_nationkey * 1000 + cast(floor(s_acctbal / 100) as bigint), false from supplier),
+k as (select source, id, cast(link as varchar) as link, case when mailed then 'email' else 'phone' end as method, sha256(source || id) as key from s),
+m as (select link, min(case when method = 'email' then key end) as email_key, count(distinct case when method = 'email' then key end) as n from k where link is not null group by link)"""
+
+
+def _linked(spark, d):
+    def rows(name, source, key, nation, balance, link, mailed):
+        value = F.when(link, F.col(nation) * 1000 + F.floor(F.col(balance) / 100).cast("long")).cast("string")
+        return table(spark, d, name).select(F.lit(source).alias("source"), F.col(key).cast("string").alias("source_member_id"), value.alias("link_key"), F.when(mailed, "email").otherwise("phone").alias("key_method"))
+
+    both = rows("customer", "C", "c_custkey", "c_nationkey", "c_acctbal", F.col("c_custkey") % 11 != 0, F.col("c_custkey") % 3 == 0).union(rows("supplier", "S", "s_suppkey", "s_nationkey", "s_acctbal", F.lit(True), F.lit(False)))
+    return both.withColumn("member_key", F.sha2(F.concat("source", "source_member_id"), 256))
+
+
+@query(f"with {_LINKED} select k.source, k.id as source_member_id, k.key as source_member_key, coalesce(m.email_key, k.key) as member_key, coalesce(m.n, 0) > 1 as link_ambiguous from k left join m on m.link = k.link")
+def xref_canonical(spark, d):
+    live = _linked(spark, d)
+    return silver.xref_member(live, silver.link_map(live))
+
+
+@query(f"with {_LINKED} select source, method as category, count(distinct id) as n from k group by all union all select source, 'deleted_in_source', count(distinct id) from k where link is null group by source union all select 'ALL', 'ambiguous_link', count(*) from m where n > 1")
+def identity_quality_union(spark, d):
+    rows = _linked(spark, d).withColumn("is_deleted", F.col("link_key").isNull())
+    return silver.identity_quality(rows, rows, silver.link_map(rows))
+
+
+@query("with v as (select o_custkey as k, o_orderdate as valid_from, case when o_orderkey % 10 <> 0 then lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) end as valid_to, o_orderkey from orders), w as (select *, lead(valid_from) over (partition by k order by valid_from, valid_to nulls last) as following from v) select k, count(*) filter (where valid_to is distinct from following) as n_gaps, count(*) filter (where valid_to is null) as n_open from w group by k having n_gaps > 0 or n_open <> 1")
+def scd2_contiguity(spark, d):
+    """A tenth of the versions has lost its end."""
+    following = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    versions = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("valid_from"), F.when(F.col("o_orderkey") % 10 != 0, following).alias("valid_to"))
+    return quality.history_breaks(versions, ["k"])
+
+
+@query("""with l as (select o_custkey as k, o_orderstatus as status, o_orderdate as made, o_orderkey as lsn, case when o_orderkey % 9 = 0 then 'D' else 'U' end as op, o_orderpriority as carried from orders),
+a as (select *, lag(status) over w as before, lag(op) over w as before_op, row_number() over w as place from l window w as (partition by k order by made, lsn)),
+v as (select * from a where place = 1 or before is distinct from status or op = 'D' or before_op = 'D')
+select k, status, carried, made as valid_from, lead(made) over w as valid_to, lead(made) over w is null as is_current, op = 'D' as is_deleted from v window w as (partition by k order by made, lsn)""")
+def scd2_with_deletes(spark, d):
+    op = F.when(F.col("o_orderkey") % 9 == 0, "D").otherwise("U")
+    log = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("lsn"), op.alias("op"), F.col("o_orderpriority").alias("carried"))
+    return history.scd2(log, ["k"], ["status"], ["at", "lsn"], "at", "op", ["carried"])
+
+
+@query("with f as (select c_custkey as member_key, c_acctbal > 0 as a, c_mktsegment = 'BUILDING' as b, c_nationkey < 10 as c, c_custkey % 2 = 0 as d from customer) select member_key, 'A' as product from f where a union all select member_key, 'B' from f where b union all select member_key, 'C' from f where c union all select member_key, 'D' from f where d")
+def flags_unpivot(spark, d):
+    own = table(spark, d, "customer").select(F.col("c_custkey").alias("member_key"), (F.col("c_acctbal") > 0).alias("in_a"), (F.col("c_mktsegment") == "BUILDING").alias("in_b"), (F.col("c_nationkey") < 10).alias("in_c"), (F.col("c_custkey") % 2 == 0).alias("in_d"))
+    return silver.dim_member_product(own)
+
+
+@query("select cast(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as date) as month from orders")
+def month_spine(spark, d):
+    return metrics.month_spine(table(spark, d, "orders"), "o_orderdate")
+
+
+@query("""select 'old' as generation, l_orderkey, l_linenumber, cast(round(l_extendedprice) as bigint) as incl, cast(round(cast(round(l_extendedprice) as bigint) / (1 + 0.1::double)) as bigint) as ex from lineitem where l_linestatus = 'F'
+union all select 'new', l_orderkey, l_linenumber, cast(round(cast(round(l_extendedprice) as bigint) * (1 + l_tax)) as bigint), cast(round(l_extendedprice) as bigint) from lineitem where l_linestatus <> 'F'""")
+def union_normalised_amounts(spark, d):
+    """Two generations of amounts, with and without tax, in one shape."""
+    own = table(spark, d, "lineitem").withColumn("amount", F.round("l_extendedprice").cast("long"))
+    old = own.filter("l_linestatus = 'F'").select(F.lit("old").alias("generation"), "l_orderkey", "l_linenumber", F.col("amount").alias("incl"), scalars.without_tax("amount", silver.TAX).alias("ex"))
+    return old.unionByName(own.filter("l_linestatus <> 'F'").select(F.lit("new").alias("generation"), "l_orderkey", "l_linenumber", scalars.with_tax("amount", F.col("l_tax")).alias("incl"), F.col("amount").alias("ex")))
+
+
+@query(f"""with {_SPINE.replace("from orders where o_orderstatus is not null", "from orders where o_orderstatus = 'F' union all select 'BUILDING', o_custkey, cast(o_orderdate as date) from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")}
+select g.month, g.scope, cast(count(s.o_custkey) as bigint) as active from grid g left join sets s on s.month = g.month and s.scope = g.scope group by g.month, g.scope""")
+def metric_population_scope(spark, d):
+    """Everyone, one source, and the activity anywhere of one population."""
+    kinds = {"ALL": "all", "F": "source", "BUILDING": "population"}
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("product"))
+    orders = metrics.with_population(table(spark, d, "orders"), "o_custkey", held, ["BUILDING"])
+    counts = metrics.active(orders, "o_custkey", "o_orderdate", metrics.scope_column("o_orderstatus", kinds)).groupBy("month", "scope").agg(F.count("*").alias("active"))
+    return metrics.on_grid(counts, metrics.month_spine(orders, "o_orderdate"), spark.createDataFrame([(k,) for k in kinds], "scope string"), "active")
+
+
+@query(f"with {_SPINE}, held as (select distinct month, scope from sets where not (scope = 'P' and month(month) = 7)) select g.month, g.scope, 'missing' as problem from grid g left join held h on h.month = g.month and h.scope = g.scope where h.month is null")
+def metric_grid_gaps(spark, d):
+    """A metric that lacks the months of July in one scope."""
+    held = _active(spark, d).select("month", "scope").distinct().filter("not (scope = 'P' and month(month) = 7)")
+    orders = table(spark, d, "orders")
+    return metrics.grid_gaps(held, metrics.month_spine(orders, "o_orderdate"), metrics.scoped(orders, _scopes()).select("scope").distinct())
+
+
+@query("""with months as (select cast(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as date) as month from orders),
+o as (select o_custkey as k, cast(o_orderdate as date) as d, o_totalprice as price, cast(o_orderdate as date) + cast(o_orderkey % 90 as int) as closed, o_orderkey from orders),
+f as (select k, min(d) as d from o group by k),
+w as (select month, count(distinct k) as v from months left join o on last_day(month) - 28 < d and d <= last_day(month) group by month),
+t as (select month, coalesce(sum(cast(round(price * 100) as bigint)), 0) as v, count(k) as n from months left join o on date_trunc('month', d) = month group by month),
+e as (select month, count(k) as v from months left join f on d <= last_day(month) group by month),
+r as (select month, count(distinct k) as v from months left join o on last_day(month) - 60 < d and d <= last_day(month) group by month),
+a as (select month, count(distinct k) as v, count(o_orderkey) as n from months left join o on d <= last_day(month) and (o_orderkey % 5 = 0 or closed >= last_day(month)) group by month),
+x as (select month, count(o_orderkey) as v from months left join o on o_orderkey % 5 <> 0 and date_trunc('month', closed) = month group by month)
+select 'A' as product, 'active' as reported_as, month as period_month, cast(v as double) as value, 'in 28 days' as definition from w
+union all select 'A', 'revenue', month, cast(v as double), 'cents of the month' from t
+union all select 'A', 'per_active', t.month, case when w.v > 0 then t.n / cast(w.v as double) else 0 end, 'rows for each' from t join w on w.month = t.month
+union all select 'A', 'lost', e.month, cast(e.v - r.v as double), 'ever, not in 60 days' from e join r on r.month = e.month
+union all select 'B', 'alive', month, cast(v as double), 'open on the last day' from a
+union all select 'B', 'open_rows', month, cast(n as double), 'open on the last day' from a
+union all select 'B', 'closed', month, cast(v as double), 'ends in the month' from x""")
+def reported_kpis(spark, d):
+    """Measures as products define them themselves; an order is open for up to 89 days, and every fifth never closes."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.lit(1).alias("one"))
+    orders = orders.withColumn("closed", F.when(F.col("o_orderkey") % 5 != 0, F.date_add("day", (F.col("o_orderkey") % 90).cast("int"))))
+    spine = metrics.month_spine(orders, "day")
+    active = kpis.windowed_distinct(orders, "o_custkey", "day", spine, 28)
+    return kpis.reported(
+        {
+            ("A", "active", "in 28 days"): active,
+            ("A", "revenue", "cents of the month"): kpis.month_total(orders, "cents", "day", spine),
+            ("A", "per_active", "rows for each"): kpis.ratio(kpis.month_rows(orders, "day", spine), active),
+            ("A", "lost", "ever, not in 60 days"): kpis.ever_less_recent(orders, "o_custkey", "day", spine, 60),
+            ("B", "alive", "open on the last day"): kpis.alive_distinct(orders, "o_custkey", "day", "closed", spine),
+            ("B", "open_rows", "open on the last day"): kpis.alive_total(orders, "one", "day", "closed", spine),
+            ("B", "closed", "ends in the month"): kpis.month_rows(orders.filter("closed is not null"), "closed", spine),
+        }
+    )
+
+
+@query("""select cast(event_id as varchar) as event_id, ts as occurred_at, 'executed' as outcome, cast(user_id as varchar) as principal, 'analyst' as role, sha256(event_type) as sql_hash, event_type as sql_normalized, event_type || ',x' as referenced_tables, '' as referenced_columns, cast(null as varchar) as sensitive_columns, event_id % 2 = 0 as touched_sensitive, user_id as row_count, cast(null as varchar) as deny_reason from events where event_type = 'purchase'
+union all select cast(event_id as varchar), ts, 'denied', cast(user_id as varchar), 'analyst', sha256(event_type), event_type, event_type || ',x', '', null, event_id % 2 = 0, null, 'no table' from events where event_type = 'error'""")
+def audit_log_union(spark, d):
+    lists = [F.array("event_type", F.lit("x")).alias("referenced_tables"), F.array().cast("array<string>").alias("referenced_columns"), F.lit(None).cast("array<string>").alias("sensitive_columns")]
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("occurred_at"), F.col("user_id").cast("string").alias("principal"), F.lit("analyst").alias("role"), F.sha2("event_type", 256).alias("sql_hash"), F.col("event_type").alias("sql_normalized"), *lists, (F.col("event_id") % 2 == 0).alias("touched_sensitive"), F.col("user_id").alias("row_count"), F.lit("no table").alias("deny_reason"))
+    return silver.audit_access_log(rows.filter("sql_normalized = 'purchase'"), rows.filter("sql_normalized = 'error'"))
+
+
+_CUSTOMER = [access.Described("c_custkey", key=True), access.Described("c_name", "direct", "initial"), access.Described("c_nationkey", "quasi", omit_for=("AUTOMOBILE",)), access.Described("c_acctbal", "sensitive"), access.Described("c_mktsegment")]
+
+
+@query("select sha256('BUILDING:' || cast(c_custkey as varchar)) as c_custkey, left(c_name, 1) || '***' as c_name_initial, c_nationkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
+def role_scoped_copy(spark, d):
+    role = access.Role("product", ("BUILDING",), "exclude", "mask", "pseudonym")
+    return access.copy(table(spark, d, "customer"), role, access.RowScope("column", column="c_mktsegment"), _CUSTOMER)
+
+
+@query("select key, 'canonical' as problem from (select distinct cast(c_custkey as varchar) as key from customer where c_custkey % 50 = 0) union all select key, 'in two roles' from (select sha256('A:' || cast(c_custkey as varchar)) as key from customer where c_custkey % 70 = 0)")
+def linkable_keys(spark, d):
+    """Two roles with pseudonyms, one of which got some canonical keys and some of the other's."""
+    own = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), "c_custkey")
+    a = own.select(scalars.pseudonym("k", "A").alias("k"))
+    b = own.select(F.when(F.col("c_custkey") % 50 == 0, F.col("k")).otherwise(scalars.pseudonym("k", "B")).alias("k")).union(own.filter("c_custkey % 70 = 0").select(scalars.pseudonym("k", "A")))
+    return quality.linkable_keys({"a": a, "b": b}, "k", own.select("k"))
+
+
+@query("select c_mktsegment, cast(count(*) as bigint) as n, max(c_nationkey) as top from customer where c_nationkey between 3 and 20 group by c_mktsegment order by n desc, c_mktsegment limit 3")
+def gateway_select(spark, d):
+    """A statement of a role: checked, resolved in a session of its own, and capped."""
+    sql = "select c_mktsegment, count(*) as n, max(c_nationkey) as top from customer where c_nationkey between 3 and 20 group by c_mktsegment order by n desc, c_mktsegment limit 3"
+    own = spark.newSession()
+    role = access.Role("analyst", None, "exclude", "mask")
+    access.copy(table(own, d, "customer"), role, access.RowScope("none"), _CUSTOMER).createOrReplaceTempView("customer")
+    gateway.check(own, sql, {"customer": own.table("customer").columns})
+    return own.sql(sql).limit(gateway.MOST_ROWS)
+
+
+@query()
+def hmac_member_key(spark, d):
+    """Keys of customers from made contact data; HMAC has no SQL, so tests hold single keys against Python's."""
+    own = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("@Example.com"))).alias("mail"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("+81 90 "), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("phone"), F.lit("やまだ").alias("kana"))
+    return identity.with_keys(own, "salt", "A", "c_custkey", "mail", "phone", "kana")
+
+
+@query()
+def nfkc_normalise(spark, d):
+    """Normal forms of names in full width; NFKC has no SQL."""
+    wide = F.concat(F.lit("株式会社　"), F.translate("c_name", "0123456789", "０１２３４５６７８９"))
+    return table(spark, d, "customer").select("c_custkey", identity.normal_company(wide).alias("company"), identity.normal_phone(wide).alias("phone"), scalars.account_key(wide).alias("account_key"))
+
+
+@query()
+def pii_columns(spark, d):
+    """What names and values of the columns of three tables look like; NFKC has no SQL."""
+    found = None
+    for name in ("customer", "documents", "conversations"):
+        own = quality.personal_columns(table(spark, d, name)).select(F.lit(name).alias("table"), "column", "level", F.array_join("reasons", ", ").alias("reasons"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query("select o_orderkey, o_totalprice from orders where not (o_totalprice > 5000 and o_orderstatus <> 'P')")
+def quality_not_true(spark, d):
+    return quality.not_true(table(spark, d, "orders"), "o_totalprice > 5000 and o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderpriority, count(*) as n_rows from orders where o_orderpriority not in ('1-URGENT', '2-HIGH') group by 1")
+def quality_accepted_values(spark, d):
+    return quality.not_accepted(table(spark, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
