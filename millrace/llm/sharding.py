@@ -3,7 +3,8 @@
 Rows are put in one total order (text checksum, size, id: equal texts stand together), range-partitioned
 on it and written. Each partition's total gives a global prefix sum, and the prefix sum says, row by row,
 in which equal slice of all bytes the row's middle lies. Only ids, sizes and checksums are shuffled, never
-texts; a group of copies of any size is split over partitions because the id is part of the order.
+texts; a group of copies of any size is split over partitions because the id, and the place of rows that are equal in
+all, are part of the order.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     the bytes stays whole, so its shard is larger by at most that text.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    # Written, since a second sampling of the ranges could cut elsewhere.
-    placed = written(rows.repartitionByRange("text_crc32", "size", "doc_id").withColumn("part", F.spark_partition_id()), "shard_order")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
+    # Written, since a second sampling of the ranges could cut elsewhere. The last column parts rows that are equal.
+    placed = written(rows.repartitionByRange("text_crc32", "size", "doc_id", "tie").withColumn("part", F.spark_partition_id()), "shard_order")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # As many rows as range partitions, which spark.sql.shuffle.partitions bounds.
     offsets = (
@@ -35,7 +36,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         .agg(F.sum("size").alias("part_size"), F.count("*").alias("part_rows"))
         .select("part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("size_before"), F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"), F.sum("part_size").over(Window.partitionBy()).alias("total"))
     )
-    inside = Window.partitionBy("part").orderBy("text_crc32", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("part").orderBy("text_crc32", "size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumns({"size_to": F.sum("size").over(inside), "row_to": F.count("*").over(inside)}).join(F.broadcast(offsets), "part")
     cut = summed.select("doc_id", "size", "text_crc32", F.least(F.lit(n_shards - 1), F.expr(f"({n_shards} * (2 * (size_before + size_to) - size)) div (2 * total)")).cast("int").alias("shard"), (F.col("rows_before") + F.col("row_to") - 1).alias("row"))
     starts = cut.groupBy("shard").agg(F.min("row").alias("first_row"))

@@ -92,14 +92,6 @@ def test_language_model_is_trained_to_the_end(spark):
     assert got > hmm.forward(seqs, *hmm.start()).sum() + 0.2 * sum(map(len, seqs))
 
 
-def test_shards_are_gapless(docs):
-    rows = sharding.shard_by_bytes(docs, 3).collect()
-    assert len(rows) == len(ROWS)
-    for s in {r.shard for r in rows}:
-        own = sorted(r.slot for r in rows if r.shard == s)
-        assert own == list(range(len(own)))
-
-
 def test_mix_takes_at_most_three_times(docs):
     rows = mixing.mixed(docs).collect()
     assert len(rows) == len(ROWS) and all(r.mix.taken <= 3 * r.mix["size"] for r in rows) and {r["size"] for r in rows} == {5}
