@@ -53,6 +53,11 @@ def _aliased(header: Sequence[str], aliases: dict[str, str]) -> tuple[list[str],
     return [known.get(n, n) for n in names], unknown
 
 
+def _unread(paths: list[str], bad: dict, fit: list[str]) -> dict[str, tuple[str, list[Violation]]]:
+    """Files of which nothing came: those without a byte."""
+    return {p: ("read", [("", "EmptyFile", 0)]) for p in paths if p not in bad and p not in fit}
+
+
 def _read_parquet(spark: SparkSession, ds: Dataset, paths: list[str]) -> tuple[DataFrame | None, dict[str, tuple[str, list[Violation]]]]:
     """The rows of the files whose structure fits, and by file the stage and violations of the others."""
     contract, bad, fit, extra = ds.contract(), {}, [], {}
@@ -64,6 +69,7 @@ def _read_parquet(spark: SparkSession, ds: Dataset, paths: list[str]) -> tuple[D
         else:
             fit.append(r.file)
             extra |= {c: t for c, t in types.items() if c not in contract.columns and t != "null"}
+    bad |= _unread(paths, bad, fit)
     if not fit:
         return None, bad
     schema = ", ".join(f"`{c}` {t}" for c, t in (contract.types | extra).items())
@@ -82,6 +88,7 @@ def _read_text(spark: SparkSession, ds: Dataset, paths: list[str]) -> tuple[Data
             bad[r.file] = ("read", [("", r.error, 0)]) if r.error else ("contract", wrong)
         else:
             fit.append((r.file, names))
+    bad |= _unread(paths, bad, [f for f, _ in fit])
     if not fit:
         return None, bad
     headers = spark.createDataFrame(fit, "file string, names array<string>")

@@ -80,6 +80,7 @@ def incoming(spark, root):
     text(f"{root}/D/invoices/dt=2026-03-31/i.csv", [INVOICES.replace("請求金額（税抜）", "請求額"), "INV0000003,2026/03/20,a,b,c,1990/01/02,M1,1000,10%,済"], "cp932")
     Path(f"{root}/D/invoices/dt=2026-04-30").mkdir(parents=True)
     Path(f"{root}/D/invoices/dt=2026-04-30/i.csv").write_bytes(b"\x81\x00\xff,x\r\n")
+    text(f"{root}/D/refunds/dt=2026-02-28/r.csv", [""], "cp932")
     text(f"{root}/D/refunds/dt=2026-03-31/r.csv", ["返金番号,元請求番号,返金日,返金額（税抜）", "RF000001,INV0000001,2026/03/02,100", "RF000002,INV9999999,2026/03/02,100"], "cp932")
     text(f"{root}/E/accounts/month=2026-02/a.csv", ["会社名,担当者,契約人数,月額料金,ステータス,営業担当", "株式会社 山,Yama,１０,\"1,000\",契約中,Eigyo", "Old Inc,Old,5,500,契約中,Eigyo"], "utf-8-sig")
     text(f"{root}/E/accounts/month=2026-03/a.csv", ["企業名,担当者名,利用人数,月額(円),契約状況,営業担当者", "山(株),Yama,—,1200,契約中,", "Old Inc,Old,5,500,解約,Eigyo"], "utf-8-sig")
