@@ -1,4 +1,7 @@
-"""A corpus from raw documents: toxicity, near-dedup, decontamination, mixing and sharding, in this order."""
+"""A corpus from raw documents: toxicity, near-dedup, decontamination, mixing and sharding, in this order.
+
+Stages that send whole texts to Python write their result themselves, a bounded number of rows to a batch.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from millrace.llm.common import dropped, free_name, table, written
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, index).filter("toxicity.score < 0.5").select(*docs.columns)
+    return written(toxicity.scored(docs, index).filter("toxicity.score < 0.5").select(*docs.columns), "stage_toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("leak.n_items = 0").select(*docs.columns)
+    return written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("leak.n_items = 0").select(*docs.columns), "stage_decontamination")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards of what all stages keep; a stage's table goes once the next one is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if hasattr(docs, "millrace_path") else written(docs, f"stage_{name}")
         if before is not None:
             dropped(before)
         before = docs
