@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -437,3 +439,132 @@ def quality_not_true(spark, d):
 @query("select o_orderpriority, count(*) as n_rows from orders where o_orderpriority not in ('1-URGENT', '2-HIGH') group by 1")
 def quality_accepted_values(spark, d):
     return quality.not_accepted(table(spark, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+_XREF = """x as (select 'A' as source, cast(s_suppkey as varchar) as id, 'S' || s_suppkey as member_key from supplier where s_suppkey % 2 = 0
+  union all select 'C', cast(c_custkey as varchar), 'C' || c_custkey from customer where c_custkey % 5 <> 0
+  union all select 'B', 'T' || c_nationkey || '/' || c_custkey, 'C' || c_custkey from customer where c_custkey % 3 <> 0
+  union all select 'D', cast(c_custkey as varchar), 'C' || c_custkey from customer where c_custkey % 3 <> 0)"""
+
+
+def _xref(spark, d):
+    """Live members of four sources: half of the suppliers and most customers."""
+    customers, suppliers = table(spark, d, "customer"), table(spark, d, "supplier")
+    key, person = F.col("c_custkey").cast("string"), F.concat(F.lit("C"), "c_custkey")
+    own = suppliers.filter("s_suppkey % 2 = 0").select(F.lit("A").alias("source"), F.col("s_suppkey").cast("string").alias("source_member_id"), F.concat(F.lit("S"), "s_suppkey").alias("member_key"))
+    own = own.union(customers.filter("c_custkey % 5 <> 0").select(F.lit("C"), key, person))
+    own = own.union(customers.filter("c_custkey % 3 <> 0").select(F.lit("B"), F.concat(F.lit("T"), "c_nationkey", F.lit("/"), "c_custkey"), person))
+    return own.union(customers.filter("c_custkey % 3 <> 0").select(F.lit("D"), key, person))
+
+
+def _cents(c):
+    return F.round(c).cast("long")
+
+
+@query(f"""with {_XREF},
+p as (select 'P' || l_orderkey || '-' || l_linenumber as id, cast(l_suppkey as varchar) as m, l_shipdate as at, cast(round(l_extendedprice) as bigint) as incl, l_tax as rate from lineitem where l_returnflag = 'N'),
+i as (select cast(o_orderkey as varchar) as no, cast(o_custkey as varchar) as m, o_orderdate as day, o_orderstatus as plan, cast(round(o_totalprice) as bigint) as ex, 0.1::double as rate from orders),
+r as (select 'R' || l_orderkey || '-' || l_linenumber as id, cast(l_orderkey + 3 as varchar) as no, l_shipdate as day, cast(round(l_extendedprice) as bigint) as ex from lineitem where l_returnflag = 'R')
+select p.id as payment_id, 'A' as source, 'charge' as payment_type, x.member_key, null as plan_ref, p.at as occurred_at, cast(round(incl / (1 + rate)) as bigint) as amount_ex_tax, incl as amount_tax_incl, incl as amount_original, 'tax_incl' as amount_original_basis, rate as tax_rate from p join x on x.source = 'A' and x.id = p.m
+union all select i.no, 'D', 'charge', x.member_key, 'D:' || plan, cast(cast(day as date) as timestamp) - interval 9 hour, ex, cast(round(ex * (1 + rate)) as bigint), ex, 'ex_tax', rate from i join x on x.source = 'D' and x.id = i.m
+union all select r.id, 'D', 'refund', x.member_key, 'D:' || plan, cast(cast(r.day as date) as timestamp) - interval 9 hour, -r.ex, -cast(round(r.ex * (1 + rate)) as bigint), -r.ex, 'ex_tax', rate from r left join i on i.no = r.no join x on x.source = 'D' and x.id = i.m""")
+def payments_union(spark, d):
+    """Charges and refunds with and without tax; refunds without an invoice and what deleted members left are dropped."""
+    lines = table(spark, d, "lineitem").withColumn("no", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    bought = lines.filter("l_returnflag = 'N'").select(F.concat(F.lit("P"), "no").alias("event_id"), F.col("l_suppkey").cast("string").alias("member_id"), F.col("l_shipdate").cast("timestamp").alias("occurred_at"), _cents("l_extendedprice").alias("amount_tax_incl"), F.col("l_tax").alias("tax_rate"))
+    invoices = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("invoice_no"), F.col("o_custkey").cast("string").alias("member_key"), F.to_date("o_orderdate").alias("invoice_date"), F.col("o_orderstatus").alias("plan_code"), _cents("o_totalprice").alias("amount_ex_tax"), F.lit(0.1).alias("tax_rate"))
+    refunds = lines.filter("l_returnflag = 'R'").select(F.concat(F.lit("R"), "no").alias("refund_no"), (F.col("l_orderkey") + 3).cast("string").alias("invoice_no"), F.to_date("l_shipdate").alias("refund_date"), _cents("l_extendedprice").alias("refund_amount_ex_tax"))
+    return silver.fct_payment(bought, invoices, refunds, _xref(spark, d))
+
+
+@query(f"""with {_XREF},
+w as (select 'E' || event_id as session_id, 'A' as source, 'workout' as session_type, x.member_key, ts as started_at, cast(value as bigint) as duration_min, null as facility_id from events join x on x.source = 'A' and x.id = cast(user_id as varchar) where event_type = 'click'),
+v as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders),
+s as (select * from w union all select 'C-' || o_custkey, 'C', 'visit', x.member_key, o_orderdate, null, o_orderpriority from v join x on x.source = 'C' and x.id = cast(o_custkey as varchar) where n = 1 and o_orderstatus <> 'P'),
+b as (select *, row_number() over (partition by c_nationkey, l_orderkey order by l_shipdate desc nulls last, l_linenumber desc) as n from (select *, row_number() over (partition by l_orderkey, l_shipdate order by l_linenumber desc, l_quantity desc, l_partkey desc) as u from lineitem) l join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where u = 1),
+k as (select 'T' || c_nationkey || '/' || l_orderkey as booking_id, x.member_key, l_shipdate - interval 9 hour as held from b join x on x.source = 'B' and x.id = 'T' || c_nationkey || '/' || c_custkey where n = 1 and l_linestatus = 'F' and l_returnflag <> 'R')
+select session_id as activity_id, member_key, started_at as occurred_at, cast(started_at + interval 9 hour as date) as activity_date_jst, session_type as activity_type, source from s
+union all select booking_id, member_key, held, cast(held + interval 9 hour as date), 'booking_attended', 'B' from k""")
+def activity_facts(spark, d):
+    """Sessions of two sources and the attended bookings of the latest snapshot, all of live members."""
+    events = table(spark, d, "events").filter("event_type = 'click'")
+    workouts = events.select(F.concat(F.lit("E"), "event_id").alias("event_id"), F.col("user_id").cast("string").alias("member_id"), F.col("ts").cast("timestamp").alias("occurred_at"), F.col("value").cast("long").alias("duration_min"))
+    orders = table(spark, d, "orders")
+    visits = orders.select(F.when(F.col("o_orderstatus") == "P", "D").otherwise("I").alias("op"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("lsn"), F.col("o_custkey").alias("visit_id"), F.col("o_custkey").alias("member_id"), F.col("o_orderdate").cast("timestamp").alias("checked_in_at"), F.col("o_orderpriority").alias("facility_id"))
+    lines = history.latest_per_key(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_quantity", "l_partkey", "l_linestatus", "l_returnflag"), ["l_orderkey", "l_shipdate"], "l_linenumber", "l_quantity", "l_partkey")
+    held = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    bookings = held.select(F.concat(F.lit("T"), "c_nationkey").alias("tenant_id"), F.col("l_orderkey").alias("booking_no"), F.col("c_custkey").alias("member_no"), scalars.utc_from_tokyo("l_shipdate").alias("class_start_at"), scalars.utc_from_tokyo("l_shipdate").alias("created_at"), F.when(F.col("l_linestatus") == "F", "attended").otherwise("booked").alias("status"), _cents("l_quantity").alias("price_ex_tax"), F.lit(0.1).alias("tax_rate"), (F.col("l_returnflag") == "R").alias("is_deleted"), F.col("l_shipdate").alias("snapshot_date"))
+    xref = _xref(spark, d)
+    return silver.fct_activity(silver.fct_session(workouts, visits, xref), silver.fct_booking(bookings, xref))
+
+
+@query(f"""with {_XREF},
+l as (select o_orderkey % 400 as contract_id, o_custkey as member_id, o_orderstatus as plan, o_orderdate as made, o_orderkey as lsn, case when o_orderkey % 11 = 0 then 'D' else 'U' end as op, o_orderkey % 2 as g, cast(round(o_totalprice) as bigint) as fee from orders where o_orderkey % 400 < 40),
+n as (select *, case g when 0 then 'FY2025' else 'FY2026' end as generation, case g when 0 then 'C25:' else 'C26:' end || plan as plan_ref, case g when 0 then fee else cast(round(fee * (1 + 0.08::double)) as bigint) end as incl, case g when 0 then cast(round(fee / (1 + 0.1::double)) as bigint) else fee end as ex from l),
+c as (select *, lag(struct_pack(a := member_id, b := plan_ref, c := incl, d := ex)) over w as before, lag(op) over w as before_op, row_number() over w as place from n window w as (partition by contract_id order by made, lsn)),
+v as (select *, lead(made) over (partition by contract_id order by made, lsn) as valid_to from c where place = 1 or before is distinct from struct_pack(a := member_id, b := plan_ref, c := incl, d := ex) or op = 'D' or before_op = 'D')
+select contract_id, generation, member_id, x.member_key, plan_ref, case when plan_ref = 'C25:F' then 'first' end as plan_key, incl as monthly_fee_tax_incl, ex as monthly_fee_ex_tax, status, made as valid_from, valid_to, valid_to is null as is_current, op = 'D' as is_deleted
+from (select *, 'live' as status from v) v join x on x.source = 'C' and x.id = cast(member_id as varchar)""")
+def contract_versions(spark, d):
+    """Two generations of a contract log in one shape, and the versions of live members' contracts."""
+    orders = table(spark, d, "orders").filter("o_orderkey % 400 < 40")
+    fee = _cents("o_totalprice")
+    common = [F.when(F.col("o_orderkey") % 11 == 0, "D").otherwise("U").alias("op"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("lsn"), (F.col("o_orderkey") % 400).alias("contract_id"), F.col("o_custkey").alias("member_id"), F.lit("live").alias("status")]
+    none = F.lit(None).cast("date")
+    old = orders.filter("o_orderkey % 2 = 0").select(*common, F.col("o_orderstatus").alias("plan_cd"), fee.alias("monthly_fee"), none.alias("start_dt"), none.alias("end_dt"), F.lit(None).cast("long").alias("family_group_id"))
+    new = orders.filter("o_orderkey % 2 = 1").select(*common, F.col("o_orderstatus").alias("plan_id"), fee.alias("price_ex_tax"), F.lit(0.08).alias("tax_rate"), none.alias("effective_from"), none.alias("effective_to"), F.lit(None).cast("long").alias("payer_member_id"))
+    plans = spark.createDataFrame([("C25:F", "first"), ("C25:X", "none")], "plan_ref string, plan_key string")
+    return silver.scd_contract(silver.c_contract_log(old, new), plans, _xref(spark, d)).drop("start_date", "end_date", "payer_member_id")
+
+
+@query("""with m as (select cast(l_suppkey as varchar) as account_key, cast(date_trunc('month', l_shipdate) as date) as report_month, max(l_quantity)::bigint as seats, cast(null as bigint) as monthly_fee_yen, max(l_returnflag) as flag from lineitem group by all),
+r as (select *, min(report_month) over (partition by account_key) as first_month, max(report_month) over (partition by account_key) as last_month, max(report_month) over () as newest, row_number() over (partition by account_key order by report_month desc) as n from m)
+select account_key, 'S' || account_key as company_name, seats, monthly_fee_yen, first_month, last_month, case flag when 'N' then 'active' when 'R' then 'cancelled' else 'unknown' end as status, last_month = newest and flag <> 'R' as is_active from r where n = 1""")
+def account_status(spark, d):
+    """The last month of each account, its status and whether it is active."""
+    months = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("account_key"), scalars.month_start("l_shipdate").alias("report_month")).agg(F.max("l_quantity").cast("long").alias("seats"), F.max("l_returnflag").alias("flag"))
+    status = F.when(F.col("flag") == "N", "契約中").when(F.col("flag") == "R", "解約").otherwise("?")
+    rows = months.select("account_key", F.concat(F.lit("S"), "account_key").alias("company_name"), F.lit("x").alias("contact_name"), F.lit("y").alias("sales_owner"), "seats", F.lit(None).cast("long").alias("monthly_fee_yen"), status.alias("contract_status"), "report_month")
+    return silver.dim_account(rows).drop("contact_name", "sales_owner")
+
+
+@query(f"""with {_XREF},
+live as (select 'C' as source, cast(c_custkey as varchar) as id, c_name as name, c_mktsegment as phone, c_acctbal as joined, 2 as priority, c_nationkey as house from customer
+  union all select 'D', cast(c_custkey as varchar), 'D' || c_name, null, -c_acctbal, 4, c_nationkey from customer union all select 'A', cast(s_suppkey as varchar), s_name, null, s_acctbal, 1, s_nationkey from supplier),
+k as (select x.member_key, live.* from live join x on x.source = live.source and x.id = live.id)
+select member_key, name, phone, house as household_key, max(priority = 1) over p as in_a, max(priority = 2) over p as in_c, max(priority = 4) over p as in_d, min(joined) over p as first_seen_at, cast(count(distinct source) over p as int) as n_products
+from k window p as (partition by member_key) qualify row_number() over (partition by member_key order by priority, joined, id) = 1""")
+def people_merged(spark, d):
+    """One row a person: attributes of the first source that knows them, flags of all."""
+    customers, suppliers = table(spark, d, "customer"), table(spark, d, "supplier")
+
+    def rows(df, source, priority, key, name, phone, joined, house):
+        null = F.lit(None).cast("string")
+        return df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("source_member_id"), null.alias("member_key"), F.col(house).alias("household_key"), null.alias("key_method"), name.alias("name"), null.alias("name_kana"), null.alias("email"), phone.alias("phone"), null.alias("birth_date"), null.alias("health_notes"), null.alias("medical_conditions"), joined.alias("joined_at"), F.lit(priority).alias("source_priority"))
+
+    none = F.lit(None).cast("string")
+    live = rows(customers, "C", 2, "c_custkey", F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal"), "c_nationkey")
+    live = live.union(rows(customers, "D", 4, "c_custkey", F.concat(F.lit("D"), "c_name"), none, -F.col("c_acctbal"), "c_nationkey")).union(rows(suppliers, "A", 1, "s_suppkey", F.col("s_name"), none, F.col("s_acctbal"), "s_nationkey"))
+    return silver.dim_member(live, _xref(spark, d)).select("member_key", "name", "phone", "household_key", "in_a", "in_c", "in_d", "first_seen_at", "n_products")
+
+
+@query("select distinct event_type as product, cast(user_id % 5 as varchar) as reported_as from events except select * from (values ('view', '0'), ('view', '1'), ('click', '4'), ('none', '9')) v(product, reported_as)")
+def unknown_reported(spark, d):
+    """Reported figures that no variant of a metric names."""
+    seen = table(spark, d, "events").select(F.col("event_type").alias("product"), (F.col("user_id") % 5).cast("string").alias("reported_as"))
+    own = tuple(specs.Variant(p, r, "") for p, r in (("view", "0"), ("view", "1"), ("click", "4"), ("none", "9")))
+    return specs.unknown_reported(specs.Spec((specs.Metric("m", "sum_by_month", {}, known_variants=own),)), seen)
+
+
+@query("select c_custkey as member_key, 'left' as problem from customer where c_custkey % 10 = 0 and exists (select 1 from orders where o_custkey = c_custkey) union all select c_custkey, 'no source' from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus <> 'P')")
+def deleted_and_sourceless(spark, d):
+    """People that were deleted and left rows, and people without a live row."""
+    people, orders = table(spark, d, "customer").select(F.col("c_custkey").alias("member_key")), table(spark, d, "orders").select(F.col("o_custkey").alias("member_key"), "o_orderstatus")
+    left = quality.left_by_deleted(people, orders.filter("member_key % 10 = 0"), ["member_key"])
+    return left.withColumn("problem", F.lit("left")).union(quality.without_live_source(people, orders.filter("o_orderstatus <> 'P'")).withColumn("problem", F.lit("no source")))
+
+
+@query("select max(ts) as latest, round((epoch(timestamp '2024-02-01 12:00:00') - floor(epoch(max(ts)))) / 3600.0, 6) as age_hours, case when (epoch(timestamp '2024-02-01 12:00:00') - epoch(max(ts))) / 3600.0 <= 24 then 'pass' when (epoch(timestamp '2024-02-01 12:00:00') - epoch(max(ts))) / 3600.0 <= 72 then 'warn' else 'error' end as state from events")
+def source_freshness(spark, d):
+    now = datetime.datetime(2024, 2, 1, 12, tzinfo=datetime.UTC)
+    return quality.freshness(table(spark, d, "events"), "ts", now).withColumn("age_hours", F.round("age_hours", 6))
