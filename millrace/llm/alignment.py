@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import dropped, small, table, written
+from .common import dropped, quoted, small, table, written
 
 #: Folder of the tokenizer files; the paths are parameters.
 TOKENIZERS = "/opt/tokenizers"
@@ -355,8 +355,8 @@ def aligned(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, id_col:
         with open(path, "rb") as f:
             files.append(f.read())
     n_b = len(loaded(files[1]).of_id)
-    id_type = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    id_type = docs.select(quoted(id_col)).schema[0].dataType
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     event = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     events = texts.mapInArrow(events_of(*files), event)
     pair = T.IntegerType() if len(loaded(files[0]).of_id) * n_b < 1 << 31 else T.LongType()

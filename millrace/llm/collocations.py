@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small, table, written
+from .common import dropped, quoted, small, table, written
 from .words import SLICE, Table, _hashed, _pieces, mixed, texts_of
 
 #: Longest phrase, least number of occurrences, rows for each language.
@@ -180,7 +180,7 @@ def full_by(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, bits: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, f of every phrase of up to longest words with f >= least; and lang, n of every language."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), quoted(text_col).cast("string").alias("text"))
     found, sizes, full, frequent = None, None, None, None
     for k in range(1, longest + 1):
         raw = written(texts.mapInArrow(counted_by(k, longest, least, buckets, full, frequent), "lang string, phrase string, key long, n long, block int, counts binary"), f"colloc_raw_{k}")

@@ -74,6 +74,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1 and so on, and the new names of these columns; no helper column of an operator is called so."""
+    names = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c.lower())}" for c in columns]
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import dropped, table, written
+from .common import dropped, free_name, table, written
 from .words import ALNUM, tokens
 
 #: Hashed features (below 2 ** 16), latent dimensions, further random directions, words of a passage of the space.
@@ -279,11 +280,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON)
     """All columns of docs with leak: n_items, items (ids, sorted), share (the largest part of an item found).
 
     Null and empty texts hold nothing; items without words or id are found nowhere, items with one id are one; repeated
-    rows get equal results; an empty table gives an empty result; a column named leak is replaced. Whole texts are
-    read. Share is the largest over all runs of words an eighth longer than the item. Words are known by 64-bit hashes.
+    rows get equal results; an empty table gives an empty result; where docs has a column leak, the new one gets an underscore
+    more and stands last. Items keep the type of their ids. Whole texts are read. Share is the largest over all runs of words an eighth longer than the item. Words are known by 64-bit hashes.
     Items are searched ITEMS at a time; they are broadcast, so memory grows with the benchmark (about 2 KB an item),
     never with docs.
     """
+    id_type = benchmark.schema["item_id"].dataType
+    ids = pa.list_(to_arrow_type(id_type))
     rows = benchmark.filter("item_id is not null").select("item_id", "text").collect()
     items = sorted(((r.item_id, next(tokens([r.text], ALNUM))[1]) for r in rows), key=lambda x: (x[0], x[1].tolist()))
     items = [x for x in items if len(x[1])]
@@ -300,9 +303,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, common: float = COMMON)
                         held = out[first + t]
                         held[own.ids[k]] = max(held.get(own.ids[k], 0.0), share)
             found = [{"n_items": len(x), "items": sorted(x), "share": max([0.0, *x.values()])} for x in out]
-            yield pa.array(found, pa.struct([("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("share", pa.float64())]))
+            yield pa.array(found, pa.struct([("n_items", pa.int64()), ("items", ids), ("share", pa.float64())]))
 
-    return docs.withColumn("leak", F.arrow_udf(run, "n_items long, items array<long>, share double")("text"))
+    return docs.withColumn(free_name(docs, "leak"), F.arrow_udf(run, f"n_items long, items array<{id_type.simpleString()}>, share double")("text"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

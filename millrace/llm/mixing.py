@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, dropped, free_name, small, table, written
+from .common import SPACE_WORD, dropped, free_name, numbered, small, table, written
 
 #: Bits that one level of the histogram resolves, and how many levels there are.
 BITS, LEVELS = 12, 4
@@ -28,13 +28,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     Size is the number of words (null text: 0). A null source is a source of its own, the last. The hash is of id and
     text (nulls count as empty), so only rows that are equal in both share one; where the budget runs out among such
     rows, as many of them are taken as come nearest to it, and since they are equal it does not matter which. A source
-    without words has target 0. An empty table gives an empty result; a column named mix is replaced. The join with
-    the sources is a broadcast up to BROADCAST_ROWS sources, and beyond that a shuffled join whose large partitions
-    are split.
+    without words has target 0. An empty table gives an empty result. Columns of docs keep their names and values; where
+    one is called mix, the new one gets an underscore more and stands last. The join with the sources is a broadcast up
+    to BROADCAST_ROWS sources, and beyond that a shuffled join whose large partitions are split.
     """
+    names = [*docs.columns, free_name(docs, "mix")]
+    docs, (id_col, text_col, source_col) = numbered(docs, id_col, text_col, source_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text))
-    own = docs.drop("mix").withColumn("mix", F.struct(F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), F.conv(F.substring(key, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("hash")))
+    own = docs.withColumn("mix", F.struct(F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), F.conv(F.substring(key, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("hash")))
     slim = written(own.select(F.col(source_col).alias("source"), "mix.size", "mix.hash"), "mix_rows")
     budgets = written(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix_targets")
     state, used = budgets.select(F.col("source").alias("s"), "spare", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("spent")), []
@@ -58,20 +60,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     def out(rows: DataFrame, once) -> DataFrame:
         copies = F.col("plan.times") + F.when(once, 1).otherwise(0)
         mix = F.struct("mix.size", "plan.source_size", "plan.target", (F.col("mix.size") * copies).alias("taken"), copies.alias("copies"))
-        return rows.withColumn("mix", mix).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], "mix")
+        return rows.withColumn("mix", mix).select(*docs.columns, "mix")
 
     plain = out(joined.filter(~at_edge), F.coalesce(F.col("mix.hash") < F.col("plan.edge"), F.lit(False)))
     # Equal rows at the edge are numbered by input partition and inside of it, so that no task holds all of them.
-    name = free_name(docs, "mix_part")
-    edge = written(joined.filter(at_edge).withColumn(name, F.spark_partition_id()), "mix_at_edge")
-    totals = edge.groupBy(F.col("plan.s").alias("s"), F.col(name).alias("part")).agg(F.sum("mix.size").alias("part_size"))
+    edge = written(joined.filter(at_edge).withColumn("mix_part", F.spark_partition_id()), "mix_at_edge")
+    totals = edge.groupBy(F.col("plan.s").alias("s"), F.col("mix_part").alias("part")).agg(F.sum("mix.size").alias("part_size"))
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(totals.select("s", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("before")).select(F.struct("*").alias("offset")), "mix_offsets")
-    inside = Window.partitionBy("plan.s", name).orderBy("mix.hash").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = edge.withColumn("mix", F.struct("mix.size", "mix.hash", F.sum("mix.size").over(inside).alias("upto"))).join(small(offsets), F.col("plan.s").eqNullSafe(F.col("offset.s")) & (F.col(name) == F.col("offset.part")))
+    inside = Window.partitionBy("plan.s", "mix_part").orderBy("mix.hash").rowsBetween(Window.unboundedPreceding, 0)
+    counted = edge.withColumn("mix", F.struct("mix.size", "mix.hash", F.sum("mix.size").over(inside).alias("upto"))).join(small(offsets), F.col("plan.s").eqNullSafe(F.col("offset.s")) & (F.col("mix_part") == F.col("offset.part")))
     # A row is taken if its middle is within the budget.
     upto = F.col("plan.spent") + F.col("offset.before") + F.col("mix.upto")
-    return plain.unionByName(out(numbered, 2 * upto - F.col("mix.size") <= 2 * F.col("plan.spare")))
+    return plain.unionByName(out(counted, 2 * upto - F.col("mix.size") <= 2 * F.col("plan.spare"))).toDF(*names)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:

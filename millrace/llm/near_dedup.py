@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small, table, written
+from .common import dropped, numbered, small, table, written
 from .words import SPACED, mixed, tokens
 
 #: Words of a shingle; coordinates of a signature; trees; coordinates of the first level; levels; rows of a small node.
@@ -269,11 +269,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_rows(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id: a row for each row of docs; text_key is xxhash64 of the text.
+    """doc_id, text_key, n_shingles, component, component_id: a row for each row of docs; text_key is xxhash64 of the text.
 
     Rows without words (null, empty, blank) have no shingles and stand alone. A row without id is in no group
     (component_id null). Rows with one id and unlike texts are told apart by their texts: each has the component of its
-    own text. Equal word sequences and shingles are known by 64-bit hashes. A pair at the threshold t that is in no
+    own text; such components may share their smallest id, and component parts them. Equal word sequences and shingles are known by 64-bit hashes. A pair at the threshold t that is in no
     common mass is missed with a chance of about (1 - t^3)^TREES: 4e-5 at 0.8, 2e-6 at 0.85. An empty table gives an
     empty result; other columns are ignored.
     """
@@ -298,38 +298,40 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", t
     named = components(edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct(), edges)
     own = written(classes.select("rep", "first_id").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near_components")
     heads = own.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("linked")).filter("linked > 1")
-    final = written(own.join(heads, "component", "left").select(F.col("rep").alias("class"), F.coalesce("component_id", "first_id").alias("component_id")), "near_final")
+    final = written(own.join(heads, "component", "left").select(F.col("rep").alias("class"), "component", F.coalesce("component_id", "first_id").alias("component_id")), "near_final")
     dropped(classes, edges, own)
     # Many rows may share a class; they are the large side of the join, which Spark splits.
-    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
-    return worded.join(small(final), "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    return worded.join(small(final), "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id").union(alone)
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of near_rows(); kept rows are those with the smallest id of a component, and those in none."""
-    found = near_rows(docs, threshold, id_col, text_col).drop("text_key")
+    found = near_rows(docs, threshold, id_col, text_col).drop("text_key", "component")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest id (ties: smallest text_key, once).
 
-    Rows without words or id stay, all of them. Columns of docs that are called text_key are kept as they are.
+    Rows without words or id stay, all of them. All columns of docs keep their names and values, whatever they are called.
     """
-    found = near_rows(docs, threshold)
+    names = docs.columns
+    docs, (id_col, text_col) = numbered(docs, "doc_id", "text")
+    found = near_rows(docs, threshold, id_col, text_col)
     grouped = found.filter("n_shingles > 0 and doc_id is not null")
-    chosen = grouped.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("key")).withColumnRenamed("component_id", "chosen")
+    chosen = grouped.filter("doc_id = component_id").groupBy("component", F.col("component_id").alias("chosen")).agg(F.min("text_key").alias("key")).drop("component")
     chosen = written(grouped.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("text_key") == F.col("key"))).groupBy("chosen", "key").agg(F.count("*").alias("copies")), "near_chosen")
     gone = grouped.select("doc_id", "text_key").distinct().join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("text_key") == F.col("key")), "left_anti")
     gone = written(gone.select(F.col("doc_id").alias("chosen"), F.col("text_key").alias("key")), "near_gone")
-    own = (F.col("doc_id") == F.col("chosen")) & (F.xxhash64(docs["text"]) == F.col("key"))
+    own = (F.col(id_col) == F.col("chosen")) & (F.xxhash64(text_col) == F.col("key"))
     left = docs.join(small(gone, ASKED), own, "left_anti")
     again = written(chosen.filter("copies > 1").drop("copies"), "near_again")
     if again.isEmpty():
-        return left
+        return left.toDF(*names)
     repeated = left.join(small(again), own, "left_semi")
-    once = repeated.withColumn("near_key", F.xxhash64("text")).dropDuplicates(["doc_id", "near_key"]).select(*docs.columns)
-    return left.join(small(again), own, "left_anti").unionByName(once)
+    once = repeated.withColumn("near_key", F.xxhash64(text_col)).dropDuplicates([id_col, "near_key"]).select(*docs.columns)
+    return left.join(small(again), own, "left_anti").unionByName(once).toDF(*names)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

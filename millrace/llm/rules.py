@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, text_or_empty
+from .common import free_name, quoted, table
 
 #: What parts words: the space and the controls from tab to carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -68,9 +68,9 @@ def measured(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column
     A window of three words is one number: the upper bits of its hash and, below them, its place. Sorted, equal windows
     stand side by side in order of place; neighbours count as equal only if their words are, so no hash decides.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = list(map(quoted, docs.columns))
     names = {n: free_name(docs, f"quality_{n}") for n in ("text", "words", "lines", "mask", "windows", "places")}
-    whole, words, lines, mask, windows, places = (F.col(f"`{n}`") for n in names.values())
+    whole, words, lines, mask, windows, places = map(quoted, names.values())
     n = F.size(words)
     first = docs.select(*keep, text.alias(names["text"]))
     spaced = F.translate(whole, SEPARATORS, " " * len(SEPARATORS))
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column
         "n_ellipses": F.size(F.filter(lines, lambda x: x.rlike(ELLIPSIS))).cast("long"),
     }
     own = {k: free_name(docs, f"quality_{k}") for k in measures}
-    return fifth.select(*keep, *[v.alias(own[k]) for k, v in measures.items()]), {k: F.col(f"`{v}`") for k, v in own.items()}
+    return fifth.select(*keep, *[v.alias(own[k]) for k, v in measures.items()]), {k: quoted(v) for k, v in own.items()}
 
 
 def compiled(rules: Iterable[Rule], of: dict[str, Column]) -> list[Column]:
@@ -124,11 +124,11 @@ def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, least_words: int = LE
     repeated rows get equal results; an empty table gives an empty result; where docs has a column of the new one's name, in any case, the new
     one gets an underscore more and stands last.
     """
-    found, of = measured(docs, text_or_empty(f"`{text_col}`"))
+    found, of = measured(docs, F.coalesce(quoted(text_col), F.lit("")))
     base = [F.when(of["n_words"] < least_words, "short"), *compiled(BASE, of)]
     failed = F.array_compact(F.array(*base, *compiled(rules, of)))
     verdict = [F.coalesce(*base).isNotNull().alias("base_failed"), failed.alias("failed"), (F.size(failed) == 0).alias("kept")]
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*[v.alias(k) for k, v in of.items()], *verdict).alias(free_name(docs, into)))
+    return found.select(*map(quoted, docs.columns), F.struct(*[v.alias(k) for k, v in of.items()], *verdict).alias(free_name(docs, into)))
 
 
 def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

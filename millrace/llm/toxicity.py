@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fold, table, written
+from .common import fold, free_name, table, written
 from .words import ALNUM, sequences
 
 #: Bound of the fitted model: labelled examples, those with the lowest hashes of their ids.
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Bloc
     df[found[found >= 0]] = n[found >= 0]
     idf = np.log((total + 1) / (df + 1)) + 1
     index = BlockMaxIndex([r.doc_id for r in rows], texts, [r.toxic for r in rows], words, idf)
+    index.id_type = held.schema["doc_id"].dataType
     if rows:
         index.calibrate(texts, [r.doc_id for r in rows])
     return index
@@ -185,17 +187,18 @@ def scored(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """All columns of docs with toxicity: score and evidence (ids of the nearest examples).
 
     Null and empty texts, and texts without a word of the examples, get the base rate. Whole texts are read. Repeated
-    rows get equal scores; an empty table or no labels give no rows or the base rate 0.5. A column named toxicity is
-    replaced. The index is broadcast; it is bounded by EXAMPLES and the lengths of their texts.
+    rows get equal scores; an empty table or no labels give no rows or the base rate 0.5. Ids have the type that they have in
+    the documents of fit(). Where docs has a column toxicity, the new one gets an underscore more and stands last. The index is broadcast; it is bounded by EXAMPLES and the lengths of their texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    evidence = pa.list_(to_arrow_type(index.id_type))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = [shared.value.score(h) for h in sequences(texts, ALNUM)]
-            yield pa.array([{"score": s, "evidence": e} for s, e in found], pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))]))
+            yield pa.array([{"score": s, "evidence": e} for s, e in found], pa.struct([("score", pa.float64()), ("evidence", evidence)]))
 
-    return docs.withColumn("toxicity", F.arrow_udf(run, "score double, evidence array<long>")("text"))
+    return docs.withColumn(free_name(docs, "toxicity"), F.arrow_udf(run, f"score double, evidence array<{index.id_type.simpleString()}>")("text"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from millrace.llm import decontaminate, hmm, knn, licenses, mixing, near_dedup, pii, repeats, sharding, toxicity
+from millrace.llm import alignment, decontaminate, hmm, knn, licenses, mixing, near_dedup, pii, repeats, rules, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, source string, size long, n int, label string"
 LONG = " ".join(f"w{i}" for i in range(20_000))
@@ -159,3 +159,47 @@ def test_toxicity_learns_and_handles_empty_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
     got = {r.doc_id: r.toxicity.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(200) if i % 2) and got[900] == got[901]
+
+
+#: Names that the operators use for columns of their own.
+OWN = ["key", "chosen", "near_key", "plan", "offset", "mix", "mix_part", "toxicity", "leak", "copy", "text_key", "class", "rep", "mass", "part", "parts", "component_id", "hash", "size", "s", "edge", "spent", "c0", "q`t", "a.b", "item_id", "items", "score", "label", "license", "row"]
+
+
+@pytest.fixture
+def crowded(spark):
+    """Text ids, repeated rows, nulls, and a column of every name above."""
+    words = " ".join(f"b{i}" for i in range(60))
+    rows = [("a", words, "x"), ("a", words, "x"), ("b", words + " end", "y"), ("c", words + " scum", None), ("a", "other words", "x"), (None, words, "x"), ("d", None, "y"), ("e", "item " + " ".join(f"q{i}" for i in range(30)), "y")]
+    names = ", ".join(f"`{n.replace('`', '``')}` string" for n in OWN)
+    return spark.createDataFrame([(*r, *OWN) for r in rows], f"doc_id string, text string, source string, {names}")
+
+
+def same_columns(docs, got):
+    """Every row of got has the columns of docs first, with their values."""
+    n = len(docs.columns)
+    assert got.columns[:n] == docs.columns
+    rows = [tuple(r) for r in got.collect()]
+    assert all(r[3:n] == tuple(OWN) for r in rows)
+    return rows
+
+
+def test_columns_of_any_name_keep_their_values(spark, crowded):
+    bench = spark.createDataFrame([("i1", " ".join(f"q{i}" for i in range(30)), 1), ("i2", None, 1)], "item_id string, text string, leak int")
+    labels = spark.createDataFrame([("c", 1, "z"), ("a", 0, "z"), ("b", 0, "z")], "doc_id string, toxic int, text string")
+    tox = same_columns(crowded, toxicity.scored(crowded, toxicity.fit(crowded, labels)))
+    assert len(tox) == 8 and {e for r in tox for e in r[-1].evidence} <= {"a", "b", "c"}
+    leak = same_columns(crowded, decontaminate.contaminated(crowded, bench))
+    assert {r[0]: r[-1]["items"] for r in leak if r[0] == "e"} == {"e": ["i1"]} and all(not r[-1]["items"] for r in leak if r[0] != "e")
+    mix = same_columns(crowded, mixing.mixed(crowded))
+    assert len(mix) == 8 and all(0 <= r[-1].copies <= 3 for r in mix)
+    one = same_columns(crowded, near_dedup.one_of_each(crowded))
+    assert sorted((r[0] or "", (r[1] or "")[:5]) for r in one) == [("", "b0 b1"), ("a", "b0 b1"), ("a", "other"), ("d", ""), ("e", "item ")]
+    judged = same_columns(crowded, rules.judged(crowded))
+    assert len(judged) == 8
+
+
+def test_other_operators_take_crowded_tables(crowded):
+    crowded = crowded.toDF(*[c.replace("`", "_").replace(".", "_") for c in crowded.columns])
+    for found in (licenses.licensed(crowded), repeats.without_repeats(crowded), sharding.shard_by_bytes(crowded), hmm.lm_scores(crowded, crowded["doc_id"] != "a"), pii.protected(crowded), near_dedup.near_groups(crowded), alignment.aligned(crowded).documents):
+        assert found.count() == 8
+    assert pii.sanitised(crowded).columns == crowded.columns

@@ -55,6 +55,21 @@ def test_stages_take_out_what_is_planted_and_keep_the_rest(spark, tmp_path):
     assert len(kept[4]) == len(kept[3]) and len({(r[4], r[5]) for r in kept[4]}) == len(kept[4])
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["toxicity", "leak", "mix", "copy", "plan", "offset", "key", "chosen", "near_key", "c0", "a.b"]
+    rows = [("x", "some words that are kept as they are", "s"), ("y", "other words than those of the first one", "s"), ("y", "other words than those of the first one", "s")]
+    schema = "doc_id string, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("x", 0)], "doc_id string, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "a passage of the benchmark")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        assert docs.columns[3:] == names and all(tuple(r)[3:] == tuple(names) for r in got), name
+        assert {r.doc_id for r in got} == {"x", "y"} and (name == "toxicity" or len(got) == 2), name
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(None, "a b c d e f", "x", None, 1), (5, "a b c d e f", "x", None, 1), (5, "other words in here too", None, "s", 1), (5, "a b c d e f", "x", None, 1), (6, "", "x", "s", 0)]])
 def test_odd_tables(spark, tmp_path, rows):
     schema = "doc_id long, text string, toxicity string, source string, n_chars long, leak int, mix int, copy int, text_key int, shard int, class int, rep int"
