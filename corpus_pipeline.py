@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from millrace.llm.common import dropped, free_name, table, written
+from millrace.llm.common import dropped, free_name, quoted, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return written(toxicity.scored(docs, index).filter("toxicity.score < 0.5").select(*docs.columns), "stage_toxicity")
+    found = toxicity.scored(docs, index)
+    return written(found.filter(quoted(found.columns[-1])["score"] < 0.5).select(*map(quoted, docs.columns)), "stage_toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("leak.n_items = 0").select(*docs.columns), "stage_decontamination")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return written(found.filter(quoted(found.columns[-1])["n_items"] == 0).select(*map(quoted, docs.columns)), "stage_decontamination")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mixed(docs).filter("mix.copies > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias(free_name(docs, "copy"))
-    return taken.select(*docs.columns, copies).select(*docs.columns)
+    found = mixing.mixed(docs)
+    times = quoted(found.columns[-1])["copies"]
+    own = list(map(quoted, docs.columns))
+    return found.filter(times > 0).select(*own, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(free_name(docs, "copy"))).select(*own)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
