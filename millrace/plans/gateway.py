@@ -1,8 +1,10 @@
 """Queries of one role: one SELECT over the role's tables, checked before it runs, capped and audited.
 
-The statement is parsed without being run, and every node of its plan has to be on a list of allowed ones: whatever
-Spark can do in a SELECT beyond relational algebra (scripts, reflection, files, generators) is refused by default.
-Then it is resolved in a session of its own that holds nothing but the role's tables.
+Two layers, each of which holds alone. The first looks at the statement: it is parsed without being run, and every node of
+its plan has to be on a list of allowed ones, so that whatever Spark can do in a SELECT beyond relational algebra
+(scripts, reflection, files, generators) is refused by default. The second, DataLayer, looks at what the statement
+came to mean: it is analyzed, still without being run, in a session that holds nothing but the role's tables, and the
+analyzed plan has to read these tables only, by instance and column, and to hold no command and no unlisted expression.
 """
 
 from __future__ import annotations
@@ -43,6 +45,20 @@ FUNCTIONS = {
 }
 
 
+#: Nodes of an analyzed plan; commands, generators, scripts, samples, hints and writers are none of them.
+ANALYZED_PLANS = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "Window", "Expand", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect",
+    "SubqueryAlias", "View", "WithCTE", "CTERelationDef", "CTERelationRef", "OneRowRelation",
+}
+#: Expressions of an analyzed plan besides those that FUNCTIONS stand for.
+ANALYZED_EXPRESSIONS = {
+    "AttributeReference", "OuterReference", "Literal", "Alias", "Cast", "SortOrder", "AggregateExpression", "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame$", "UnboundedPreceding$", "UnboundedFollowing$", "CurrentRow$",
+    "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "Between", "In", "IsNull", "IsNotNull", "Like", "ILike", "RLike", "LikeAll", "LikeAny", "NotLikeAll", "NotLikeAny",
+    "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive", "BitwiseAnd", "ShiftRight", "DateAddInterval", "DateAddYMInterval", "TimestampAddInterval", "TimestampAddYMInterval", "SubtractDates", "SubtractTimestamps",
+    "CaseWhen", "If", "Concat", "ScalarSubquery", "Exists", "InSubquery", "ListQuery",
+}
+
+
 class GatewayError(RuntimeError):
     """The gateway cannot serve this role."""
 
@@ -58,6 +74,10 @@ class Analysis:
     sensitive: list[str] = field(default_factory=list)
 
 
+class NotReadOnly(RuntimeError):
+    """What a statement means is not a read of the role's tables; the message names kinds of nodes and no value."""
+
+
 class Denied(Exception):
     """A refused statement; the reason holds no value."""
 
@@ -231,6 +251,70 @@ def lineage(spark: SparkSession, df: DataFrame, tables: Mapping[str, Sequence[st
     return sorted({owners[i] for i in used if i in owners})
 
 
+class DataLayer:
+    """Tables under their names in a session of their own, and reads of them that are proven on the analyzed plan."""
+
+    def __init__(self, spark: SparkSession, paths: Mapping[str, str]):
+        self.spark = spark.newSession()
+        self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        self.plans = _Plan(self.spark)
+        self.tables: dict[str, list[str]] = {}
+        self.relations: list[tuple[object, set[str]]] = []
+        for name, path in paths.items():
+            df = self.spark.read.parquet(path)
+            df.createOrReplaceTempView(name)
+            self.tables[name] = df.columns
+            self.relations.append((df._jdf.queryExecution().analyzed().relation(), set(df.columns)))
+        registry, identifier = self.spark._jsparkSession.sessionState().functionRegistry(), self.spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+        found = [registry.lookupFunction(identifier(name)) for name in FUNCTIONS]
+        classes = {info.get().getClassName().rsplit(".", 1)[1] for info in found if info.isDefined()}
+        # A builder makes expressions of its own name, or rounding ones.
+        built = {c.removesuffix("ExpressionBuilder") for c in classes if c.endswith("ExpressionBuilder")}
+        self.expressions = ANALYZED_EXPRESSIONS | classes | built | {f"Round{c}" for c in built & {"Ceil", "Floor"}}
+        load = self.spark._jvm.java.lang.Class.forName
+        self.command, self.replaceable, self.inherits, self.subquery = (load(f"org.apache.spark.sql.catalyst.{c}") for c in ("plans.logical.Command", "expressions.RuntimeReplaceable", "expressions.InheritAnalysisRules", "expressions.SubqueryExpression"))
+
+    def read(self, sql: str) -> DataFrame:
+        """The statement as a DataFrame; NotReadOnly, with nothing run or written, unless it only reads these tables."""
+        state = self.spark._jsparkSession.sessionState()
+        parsed = state.sqlParser().parsePlan(sql)
+        if self.command.isInstance(parsed):
+            raise NotReadOnly(f"{self.plans.name(parsed)} is a command")
+        # Commands run as soon as a DataFrame is made of them, and some statements as soon as they are analyzed, so only
+        # plans of known nodes are analyzed, and are looked at again before anything else.
+        for node, kind, _ in self.plans.walk(parsed):
+            if self.plans.plan.isInstance(node) and kind not in PLANS:
+                raise NotReadOnly(f"{kind} is not allowed")
+        analyzed = state.analyzer().execute(parsed)
+        state.analyzer().checkAnalysis(analyzed)
+        self._plan(analyzed)
+        return self.spark.sql(sql)
+
+    def _plan(self, plan) -> None:
+        kind = self.plans.name(plan)
+        if kind == "LogicalRelation":
+            own = next((columns for relation, columns in self.relations if relation.equals(plan.relation())), None)
+            if own is None or not {a.name() for a in _names(plan.output())} <= own:
+                raise NotReadOnly("a relation or column that the role does not have")
+        elif kind not in ANALYZED_PLANS:
+            raise NotReadOnly(f"{kind} is not allowed")
+        for e in _names(plan.expressions()):
+            self._expression(e)
+        for inner in (*_names(plan.children()), *(_names(plan.innerChildren()) if kind == "WithCTE" else ())):
+            self._plan(inner)
+
+    def _expression(self, e) -> None:
+        kind = self.plans.name(e)
+        if kind not in self.expressions:
+            raise NotReadOnly(f"{kind.rstrip('$')} is not allowed")
+        if self.subquery.isInstance(e):
+            self._plan(e.plan())
+        # What an allowed function is replaced by is the engine's own; its arguments are looked at.
+        inherits = self.replaceable.isInstance(e) and self.inherits.isInstance(e)
+        for child in _names(e.parameters() if inherits else e.children()):
+            self._expression(child)
+
+
 class Gateway:
     """One role and principal over a folder that holds the role's tables as Parquet, and nothing else."""
 
@@ -240,15 +324,11 @@ class Gateway:
         if not principal.strip():
             raise GatewayError("a principal is needed")
         self.role, self.principal, self.audit, self.owner = role, principal, audit, spark
-        self.spark = spark.newSession()
-        self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        self.tables: dict[str, list[str]] = {}
         for name in allowed[role]:
             if not sources.files(spark, f"{folder}/{role}/{name}"):
                 raise GatewayError(f"{role} has no data of {name}")
-            df = self.spark.read.parquet(f"{folder}/{role}/{name}")
-            df.createOrReplaceTempView(name)
-            self.tables[name] = df.columns
+        self.data = DataLayer(spark, {name: f"{folder}/{role}/{name}" for name in allowed[role]})
+        self.spark, self.tables = self.data.spark, self.data.tables
         # Sensitive names of every role: asking for one that this role lacks is recorded, too.
         self.sensitive = {c for tables in allowed.values() for own in tables.values() for c, p in own.get("pii", {}).items() if p == "sensitive"}
 
@@ -257,12 +337,15 @@ class Gateway:
         try:
             analysis = check(self.spark, sql, self.tables, self.sensitive, limit)
             try:
-                df = self.spark.sql(sql)
+                df = self.data.read(sql)
                 analysis.columns = lineage(self.spark, df, self.tables)
                 analysis.sensitive = sorted({c.split(".")[1] for c in analysis.columns} & self.sensitive)
                 rows = df.limit(limit).collect()
-            except PySparkException as e:
-                raise Denied(f"{type(e).__name__}: {e.getCondition() or 'failed'}", analysis) from None
+            except NotReadOnly as e:
+                raise Denied(str(e), analysis) from None
+            except Exception as e:  # noqa: BLE001  whatever the engine raises is an event
+                condition = e.getCondition() if isinstance(e, PySparkException) else None
+                raise Denied(f"{type(e).__name__}: {condition or 'failed'}", analysis) from None
         except Denied as e:
             self._write("query_denied", e.analysis, e.reason)
             raise
@@ -276,9 +359,5 @@ class Gateway:
 
 
 def execute_readonly(spark: SparkSession, folder: str, sql: str, limit: int = MOST_ROWS) -> list[Row]:
-    """The data layer alone, without the check of the statement: a session that holds a role's folder and reads no files."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.runSQLOnFiles", "false")
-    for path in sources.files(spark, f"{folder}/*"):
-        own.read.parquet(path).createOrReplaceTempView(path.rsplit("/", 1)[1])
-    return own.sql(sql).limit(limit).collect()
+    """The data layer alone, without the check of the statement, over all tables of a role's folder."""
+    return DataLayer(spark, {path.rsplit("/", 1)[1]: path for path in sources.files(spark, f"{folder}/*")}).read(sql).limit(limit).collect()

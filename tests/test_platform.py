@@ -236,10 +236,53 @@ def test_gateway_set_up_and_failing_audit(spark, lake, allowed):
     own = gateway.Gateway(spark, "analyst", "ann", allowed, f"{lake[0]}/warehouse/roles", str(blocked))
     with pytest.raises(Exception):  # noqa: B017  no event, no rows
         own.query("select member_key from dim_member")
-    with pytest.raises(Exception):  # noqa: B017  the data layer alone holds only what the role has
-        gateway.execute_readonly(spark, f"{lake[0]}/warehouse/roles/analyst", "select health_notes from dim_member")
-    with pytest.raises(Exception):  # noqa: B017
-        gateway.execute_readonly(spark, f"{lake[0]}/warehouse/roles/analyst", f"select * from parquet.`{lake[0]}/warehouse/tables/dim_member`")
+
+
+#: What the data layer has to refuse by itself, with nothing run or written; {out} is a folder of the test, {other} another role's table.
+REFUSED = (
+    "select * from parquet.`{other}`", "select * from csv.`/etc/hosts`", "select * from text.`/etc/*`", "create table leaked using parquet location '{other}'", "create table t as select 1",
+    "create temporary view v as select 1", "create or replace temporary view dim_member using parquet options (path '{other}')", "insert overwrite directory '{out}' using csv select 1", "from dim_member insert overwrite directory '{out}' using csv select member_key",
+    "insert into dim_member select * from dim_member", "execute immediate 'select 1'", "execute immediate \"insert overwrite directory '{out}' using csv select 1\"", "begin insert overwrite directory '{out}' using csv select 1; end",
+    "set spark.sql.runSQLOnFiles = true", "reset", "add jar '/tmp/other.jar'", "create function f as 'java.lang.Math'", "declare x int", "use default", "show tables", "describe dim_member", "explain select 1", "cache table dim_member", "drop view dim_member", "truncate table dim_member", "msck repair table dim_member",
+    "load data inpath '/etc/hosts' into table dim_member", "select java_method('java.lang.System', 'getenv', 'PATH')", "with x as (select reflect('java.lang.System', 'getenv', 'PATH') as y) select y from x", "select nvl(java_method('java.lang.System', 'getenv', 'PATH'), '') from dim_member",
+    "select member_key from dim_member order by java_method('java.lang.System', 'getenv', 'PATH')", "select sum(length(reflect('java.lang.System', 'getenv', 'PATH'))) over () from dim_member", "select member_key from dim_member where exists (select reflect('java.lang.System', 'getenv', 'PATH'))",
+    "select transform(member_key) using 'cat' from dim_member", "select explode(array(1, 2))", "select * from range(5)", "select input_file_name() from dim_member", "select _metadata.file_path from dim_member", "select current_user()", "select * from global_temp.other_session", "select * from other_session",
+    "select health_notes from dim_member", "select * from nothing", "select * from silver.dim_member",
+)
+
+
+def test_the_data_layer_holds_alone(spark, lake, allowed):
+    folder, out = f"{lake[0]}/warehouse/roles/analyst", lake[0] / "written"
+    spark.createDataFrame([("x",)], "v string").createOrReplaceGlobalTempView("other_session")
+    spark.createDataFrame([("x",)], "v string").createOrReplaceTempView("other_session")
+    before = {t.name for t in spark.catalog.listTables()}
+    for sql in REFUSED:
+        with pytest.raises(Exception):  # noqa: B017  a refusal of its own, or the engine's
+            gateway.execute_readonly(spark, folder, sql.format(out=out, other=f"{lake[0]}/warehouse/roles/privacy_officer/dim_member"))
+        assert not out.exists(), sql
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_the_data_layer_reads_what_the_role_has(spark, lake, allowed):
+    data = gateway.DataLayer(spark, {"dim_member": f"{lake[0]}/warehouse/roles/analyst/dim_member"})
+    reads = [
+        "select member_key from dim_member",
+        "with a as (select * from dim_member), b as (select member_key, count(*) as n from a group by 1 having count(*) > 0) select b.member_key, sum(n) over (order by n) from b join a on a.member_key = b.member_key order by 1 limit 2",
+        "select nvl(member_key, 'x'), left(member_key, 1), startswith(member_key, 'a'), contains(member_key, 'a'), ceil(1.2), split_part(member_key, '.', 1), try_divide(1, 0), date_trunc('month', date '2026-01-02') from dim_member where member_key in (select member_key from dim_member)",
+        "select member_key from dim_member union select 'x' except select 'y' intersect select 'y'",
+        "select grouping(member_key), count(*), median(1), max_by(member_key, member_key) from dim_member group by rollup(member_key)",
+    ]
+    for sql in reads:
+        assert data.read(sql).collect() == data.spark.sql(sql).collect(), sql
+
+
+def test_every_engine_error_is_an_event(spark, lake, allowed, monkeypatch):
+    own = gateway.Gateway(spark, "analyst", "eve", allowed, f"{lake[0]}/warehouse/roles", f"{lake[0]}/audit_eve")
+    monkeypatch.setattr(own.data, "read", lambda sql: (_ for _ in ()).throw(RuntimeError("no such thing as 'Bob'")))
+    with pytest.raises(gateway.Denied, match="RuntimeError: failed"):
+        own.query("select member_key from dim_member")
+    events = spark.read.parquet(f"{lake[0]}/audit_eve/query_denied").collect()
+    assert len(events) == 1 and "Bob" not in str(events[0])
 
 
 def test_catalog_and_client(spark, lake, models, allowed, analyst, monkeypatch):
