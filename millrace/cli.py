@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import quality
-from .plans import access, catalog, datasets, gateway, landing, platform, silver
+from .plans import access, catalog, datasets, gateway, landing, platform, silver, stages
 from .plans import spec as specs
 from .plans.described import described
 from .sources import tables
@@ -26,7 +26,7 @@ def _arguments() -> argparse.ArgumentParser:
     ingest.add_argument("--salt-variable", default="PLATFORM_SALT")
     ingest.add_argument("--overwrite", action="store_true")
     ingest.add_argument("--more", action="store_true")
-    sub.add_parser("build", help="write every table")
+    sub.add_parser("build", help="write every table, or the named ones and what they are made of").add_argument("tables", nargs="*")
     sub.add_parser("check-metrics", help="the specification, and reported figures that no variant names")
     sub.add_parser("scan", help="personal data in the landed files").add_argument("--declared", help="JSON: dataset: column: class")
     sub.add_parser("check-access", help="the policy, declarations, and what restricted roles would see")
@@ -41,7 +41,7 @@ def _arguments() -> argparse.ArgumentParser:
 
 
 def _models(spark: SparkSession, a: argparse.Namespace):
-    return {p.rsplit("/", 1)[1]: spark.read.parquet(p) for p in tables.files(spark, f"{a.warehouse}/tables/*")}
+    return {p.rsplit("/", 1)[1]: spark.read.parquet(p) for p in tables.files(spark, f"{a.warehouse}/tables/[!_]*")}
 
 
 def _scan(spark: SparkSession, a: argparse.Namespace) -> list[str]:
@@ -63,7 +63,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         print(f"landed {sum(r[4] for r in report.landed)} files, quarantined {len(report.quarantined)}")
         return []
     if a.command == "build":
-        print(f"{len(platform.stored(spark, platform.build(spark, a.lake), f'{a.warehouse}/tables'))} tables")
+        print(f"{len(platform.build(spark, a.lake, f'{a.warehouse}/tables', wanted=a.tables or None))} tables")
         return []
     if a.command == "check-metrics":
         unknown = specs.unknown_reported(specs.load(), silver.bronze(spark, a.lake)["reported_kpis"])
@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         problems = run(spark, a)
-    except (specs.SpecError, access.PolicyError, gateway.GatewayError, RuntimeError, FileExistsError) as e:
+    except (stages.BuildError, specs.SpecError, access.PolicyError, gateway.GatewayError, RuntimeError, FileExistsError) as e:
         print(e, file=sys.stderr)
         return 2
     for p in problems:

@@ -11,6 +11,7 @@ from ..functions import scalars
 from ..operators import history, kpis, metrics
 from ..sources import tables
 from . import landing
+from .stages import Model
 
 Frames = Mapping[str, DataFrame]
 #: Consumption tax of the older contracts, which state it in no column.
@@ -174,17 +175,34 @@ def _of(xref: DataFrame, source: str) -> DataFrame:
     return xref.filter(F.col("source") == source).select(F.col("source_member_id").alias("own_id"), "member_key")
 
 
+def visit_states(visits: DataFrame) -> DataFrame:
+    """The last state of every visit that is not deleted."""
+    return history.latest_per_key(visits, ["visit_id"], "changed_at", "lsn").filter("op <> 'D'")
+
+
+def booking_states(bookings: DataFrame) -> DataFrame:
+    return history.latest_per_key(bookings, ["tenant_id", "booking_no"], "snapshot_date")
+
+
 def fct_session(workouts: DataFrame, visits: DataFrame, xref: DataFrame) -> DataFrame:
+    return sessions_of(workouts, visit_states(visits), xref)
+
+
+def sessions_of(workouts: DataFrame, visits: DataFrame, xref: DataFrame) -> DataFrame:
+    """Sessions from workouts and the last states of visits."""
     a = workouts.join(_of(xref, "A"), F.col("member_id") == F.col("own_id"))
     a = a.select(F.col("event_id").alias("session_id"), F.lit("A").alias("source"), F.lit("workout").alias("session_type"), "member_key", F.col("occurred_at").alias("started_at"), "duration_min", F.lit(None).cast("string").alias("facility_id"))
-    last = history.latest_per_key(visits, ["visit_id"], "changed_at", "lsn").filter("op <> 'D'")
-    c = last.join(_of(xref, "C"), F.col("member_id").cast("string") == F.col("own_id"))
+    c = visits.join(_of(xref, "C"), F.col("member_id").cast("string") == F.col("own_id"))
     c = c.select(F.concat(F.lit("C-"), F.col("visit_id").cast("string")).alias("session_id"), F.lit("C").alias("source"), F.lit("visit").alias("session_type"), "member_key", F.col("checked_in_at").alias("started_at"), F.lit(None).cast("long").alias("duration_min"), "facility_id")
     return a.unionByName(c).withColumn("session_date_jst", scalars.tokyo_date("started_at"))
 
 
 def fct_booking(bookings: DataFrame, xref: DataFrame) -> DataFrame:
-    last = history.latest_per_key(bookings, ["tenant_id", "booking_no"], "snapshot_date")
+    return bookings_of(booking_states(bookings), xref)
+
+
+def bookings_of(last: DataFrame, xref: DataFrame) -> DataFrame:
+    """Bookings from their last states."""
     member = F.concat("tenant_id", F.lit("/"), F.col("member_no").cast("string"))
     rows = last.join(_of(xref, "B"), member == F.col("own_id"))
     return rows.select(F.concat("tenant_id", F.lit("/"), F.col("booking_no").cast("string")).alias("booking_id"), "tenant_id", "member_key", F.col("created_at").alias("booked_at"), "class_start_at", scalars.tokyo_date("class_start_at").alias("class_date_jst"), "status", "price_ex_tax", scalars.with_tax("price_ex_tax", F.col("tax_rate")).alias("price_tax_incl"), "tax_rate", "is_deleted", F.col("snapshot_date").alias("as_of_snapshot"))
@@ -241,51 +259,45 @@ def audit_access_log(executed: DataFrame, denied: DataFrame) -> DataFrame:
     return shaped(executed, "executed", F.col("row_count"), F.lit(None).cast("string")).unionByName(shaped(denied, "denied", F.lit(None).cast("long"), F.col("deny_reason")))
 
 
-def models(b: Frames, plans: DataFrame) -> dict[str, DataFrame]:
-    """Every silver and gold table but the metrics, from bronze."""
-    current = c_member_current(b["c_members"])
-    rows = source_rows(b, current)
-    live = rows.filter("not is_deleted")
-    links = link_map(live)
-    xref = xref_member(live, links)
-    members, own = dim_member(live, xref), dim_member_by_product(live, xref)
-    versions = scd_contract(c_contract_log(b["c_contracts_fy2025"], b["c_contracts_fy2026"]), plans, xref)
-    sessions, bookings = fct_session(b["a_workout_completed"], b["c_visits"], xref), fct_booking(b["b_bookings"], xref)
-    return {
-        "c_member_current": current,
-        "int_member_source_rows": rows,
-        "int_member_live_rows": live,
-        "int_link_map": links,
-        "xref_member": xref,
-        "dim_member": members,
-        "dim_member_by_product": own,
-        "dim_household": dim_household(members),
-        "dim_household_by_product": dim_household_by_product(own),
-        "dim_member_product": dim_member_product(members),
-        "dim_account": dim_account(b["e_accounts"]),
-        "dim_plan": plans,
-        "dim_month": metrics.month_spine(b["period"], "period_start", "period_end"),
-        "scd_contract": versions,
-        "c_contract_current": c_contract_current(versions),
-        "fct_session": sessions,
-        "fct_booking": bookings,
-        "fct_payment": fct_payment(b["a_purchase_made"], b["d_invoices"], b["d_refunds"], xref),
-        "fct_activity": fct_activity(sessions, bookings),
-        "identity_quality": identity_quality(rows, live, links),
-        "ingest_quality_daily": ingest_quality_daily(b["landing_log"], b["quarantine_log"]),
-        "audit_access_log": audit_access_log(b["query_executed"], b["query_denied"]),
-    }
+#: Every silver and gold table but the metrics: what it is made of, and how. The st_ tables hold states that several others need.
+GRAPH = {
+    "st_bookings": Model(("b_bookings",), lambda t: booking_states(t["b_bookings"]), passing=True),
+    "st_visits": Model(("c_visits",), lambda t: visit_states(t["c_visits"]), passing=True),
+    "st_contract_log": Model(("c_contracts_fy2025", "c_contracts_fy2026"), lambda t: c_contract_log(t["c_contracts_fy2025"], t["c_contracts_fy2026"]), passing=True),
+    "dim_plan": Model(("plan_seed",), lambda t: t["plan_seed"]),
+    "dim_month": Model(("period",), lambda t: metrics.month_spine(t["period"], "period_start", "period_end")),
+    "dim_account": Model(("e_accounts",), lambda t: dim_account(t["e_accounts"])),
+    "c_member_current": Model(("c_members",), lambda t: c_member_current(t["c_members"])),
+    "int_member_source_rows": Model(("a_member_registered", "c_member_current", "b_customers", "d_invoices"), lambda t: source_rows(t, t["c_member_current"])),
+    "int_member_live_rows": Model(("int_member_source_rows",), lambda t: t["int_member_source_rows"].filter("not is_deleted")),
+    "int_link_map": Model(("int_member_live_rows",), lambda t: link_map(t["int_member_live_rows"])),
+    "xref_member": Model(("int_member_live_rows", "int_link_map"), lambda t: xref_member(t["int_member_live_rows"], t["int_link_map"])),
+    "dim_member": Model(("int_member_live_rows", "xref_member"), lambda t: dim_member(t["int_member_live_rows"], t["xref_member"])),
+    "dim_member_by_product": Model(("int_member_live_rows", "xref_member"), lambda t: dim_member_by_product(t["int_member_live_rows"], t["xref_member"])),
+    "dim_household": Model(("dim_member",), lambda t: dim_household(t["dim_member"])),
+    "dim_household_by_product": Model(("dim_member_by_product",), lambda t: dim_household_by_product(t["dim_member_by_product"])),
+    "dim_member_product": Model(("dim_member",), lambda t: dim_member_product(t["dim_member"])),
+    "scd_contract": Model(("st_contract_log", "dim_plan", "xref_member"), lambda t: scd_contract(t["st_contract_log"], t["dim_plan"], t["xref_member"])),
+    "c_contract_current": Model(("scd_contract",), lambda t: c_contract_current(t["scd_contract"])),
+    "fct_session": Model(("a_workout_completed", "st_visits", "xref_member"), lambda t: sessions_of(t["a_workout_completed"], t["st_visits"], t["xref_member"])),
+    "fct_booking": Model(("st_bookings", "xref_member"), lambda t: bookings_of(t["st_bookings"], t["xref_member"])),
+    "fct_payment": Model(("a_purchase_made", "d_invoices", "d_refunds", "xref_member"), lambda t: fct_payment(t["a_purchase_made"], t["d_invoices"], t["d_refunds"], t["xref_member"])),
+    "fct_activity": Model(("fct_session", "fct_booking"), lambda t: fct_activity(t["fct_session"], t["fct_booking"])),
+    "identity_quality": Model(("int_member_source_rows", "int_member_live_rows", "int_link_map"), lambda t: identity_quality(t["int_member_source_rows"], t["int_member_live_rows"], t["int_link_map"])),
+    "ingest_quality_daily": Model(("landing_log", "quarantine_log"), lambda t: ingest_quality_daily(t["landing_log"], t["quarantine_log"])),
+    "audit_access_log": Model(("query_executed", "query_denied"), lambda t: audit_access_log(t["query_executed"], t["query_denied"])),
+}
 
 
 def reported(b: Frames, spine: DataFrame) -> DataFrame:
-    """The sixteen measures by month as the five products count them themselves, from bronze."""
+    """The sixteen measures by month as the five products count them themselves, from bronze; states that are there are taken."""
     opened = b["a_app_opened"].withColumn("day", F.to_date("occurred_at"))
     workouts, bought = b["a_workout_completed"].withColumn("day", F.to_date("occurred_at")), b["a_purchase_made"].withColumn("day", F.to_date("occurred_at"))
-    bookings = history.latest_per_key(b["b_bookings"], ["tenant_id", "booking_no"], "snapshot_date")
+    bookings = b["st_bookings"] if "st_bookings" in b else booking_states(b["b_bookings"])
     bookings = bookings.withColumns({"who": F.concat_ws("/", "tenant_id", "member_no"), "made": scalars.tokyo_date("created_at"), "held": scalars.tokyo_date("class_start_at")})
-    log = c_contract_log(b["c_contracts_fy2025"], b["c_contracts_fy2026"])
+    log = b["st_contract_log"] if "st_contract_log" in b else c_contract_log(b["c_contracts_fy2025"], b["c_contracts_fy2026"])
     contracts = history.latest_per_key(log, ["contract_id"], "changed_at", "lsn").filter("op <> 'D'")
-    visits = history.latest_per_key(b["c_visits"], ["visit_id"], "changed_at", "lsn").filter("op <> 'D'").withColumn("day", scalars.tokyo_date("checked_in_at"))
+    visits = (b["st_visits"] if "st_visits" in b else visit_states(b["c_visits"])).withColumn("day", scalars.tokyo_date("checked_in_at"))
     invoices, refunds = b["d_invoices"], b["d_refunds"]
     accounts = b["e_accounts"].filter("contract_status <> '解約'")
     b_active = kpis.windowed_distinct(bookings, "who", "made", spine, 28)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import metrics
+from .stages import Model
 
 KINDS = ("distinct_entities_in_window", "sum_by_month", "lapsed_between_windows", "rows_per_active")
 SCOPES = ("all", "source", "population")
@@ -162,10 +163,12 @@ def reconciliation(metric: Metric, own: DataFrame, reported: DataFrame) -> DataF
     return found.withColumns({c: F.col(c).cast(NUMBER) for c in ("reported_value", "canonical_value", "diff", "diff_pct", "threshold_pct")})
 
 
-def tables(spec: Spec, models: Mapping[str, DataFrame], reported: DataFrame) -> dict[str, DataFrame]:
-    """metric_* and recon_* for every metric."""
+def graph(spec: Spec) -> dict[str, Model]:
+    """metric_* and recon_* for every metric, by the tables that they are made of."""
     out = {}
     for m in spec.metrics:
-        out[f"metric_{m.name}"] = own = table(spec, m, models, models["dim_month"])
-        out[f"recon_{m.name}"] = reconciliation(m, own, reported)
+        base = m if m.kind == "sum_by_month" else spec.base_of(m)
+        people = ("dim_member_product",) if "population" in spec.scopes_of(m).values() else ()
+        out[f"metric_{m.name}"] = Model((base.definition["model"], "dim_month", *people), lambda t, m=m: table(spec, m, t, t["dim_month"]))
+        out[f"recon_{m.name}"] = Model((f"metric_{m.name}", "reported_kpis"), lambda t, m=m: reconciliation(m, t[f"metric_{m.name}"], t["reported_kpis"]))
     return out

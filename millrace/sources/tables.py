@@ -129,6 +129,23 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(own, True)
 
 
+def swapped(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder new in the place of path. Both moves are renames; what was there goes once the new one stands."""
+    fs, own = _fs(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{new}-before")
+    there = fs.exists(own)
+    if there and not fs.rename(own, old):
+        raise OSError(f"{path} could not be moved")
+    try:
+        move(spark, new, path)
+    except Exception:
+        if there:
+            fs.rename(old, own)
+        raise
+    if there:
+        fs.delete(old, True)
+
+
 def cleared(spark: SparkSession, root: str, managed: Sequence[str], overwrite: bool) -> None:
     """Makes root ready for a full run: what is there is an error, unless overwrite clears the managed folders, and only those."""
     there = [m for m in managed if files(spark, f"{root}/{m}")]

@@ -32,7 +32,7 @@ def lake(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def models(spark, lake):
     root, _ = lake
-    return platform.stored(spark, platform.build(spark, f"{root}/lake"), f"{root}/warehouse/tables")
+    return platform.build(spark, f"{root}/lake", f"{root}/warehouse/tables")
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,19 @@ def allowed(models, lake):
     return platform.build_roles(models, f"{lake[0]}/warehouse/roles")
 
 
+def test_no_table_is_planned_further_back_than_its_inputs(spark, lake, models):
+    """Of a stored table only its direct inputs are scanned; all of them are tables of the build or of bronze."""
+    graph = platform.graph()
+    have = platform.sources(spark, f"{lake[0]}/lake") | models
+    states = {n: graph[n].make(have) for n in graph if graph[n].passing}
+    for name, model in graph.items():
+        of = have | states
+        scanned = set(model.make({i: of[i] for i in model.inputs}).inputFiles())
+        direct = {f for i in model.inputs for f in of[i].inputFiles()}
+        assert scanned <= direct, name
+    assert set(models) == {n for n in graph if not graph[n].passing}
+
+
 def rows(df, *columns):
     return {tuple(r) for r in df.select(*columns).collect()}
 
