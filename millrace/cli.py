@@ -50,8 +50,8 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     for ds in datasets.DATASETS:
         if ds.source == "KPI" or not tables.files(spark, f"{a.lake}/{ds.source}/{ds.name}"):
             continue
-        df = tables.events(spark, f"{a.lake}/{ds.source}/{ds.name}").drop("landed_from")
-        found = {r.column: r.level for r in quality.personal_columns(df, "file", quality.HEAD).collect()}
+        paths = tables.files(spark, f"{a.lake}/{ds.source}/{ds.name}/*/*.parquet")
+        found = {r.column: r.level for r in quality.personal_in_files(spark, paths).collect() if r.column != "landed_from"}
         out += [f"{ds.source}.{ds.name}.{c}: {v}" for c, v in quality.scan_verdicts(found, declared.get(f"{ds.source}.{ds.name}", {})).items()]
     return out
 

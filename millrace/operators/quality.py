@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 
 def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeated keys with their count; keys with a null in them are not compared."""
@@ -96,75 +98,97 @@ NAMES = (
 )
 #: Parts of a name that say that it is not a person's (fixed values).
 NOT_A_PERSON = {"company", "plan", "file", "event", "type", "sku", "facility", "workout", "tenant"}
-#: What values look like: pattern, digits at least, reason. A column is direct if at least SHARE of its values do.
-VALUES = ((r"^\s*[\w.+-]+@[\w-]+(\.[\w-]+)+\s*$", 0, "e-mail values"), (r"^\+?[\d\s()-]{10,}$", 10, "phone values"))
+#: What values look like (fixed values of the scan): pattern, digits at least, reason. A column is direct if at least SHARE of its values do.
+VALUES = ((r"^\s*[\w.+-]+@[\w-]+(\.[\w-]+)+\s*$", 0, "e-mail values"), (r"^\+?[\d\-\s()]{10,}$", 10, "phone values"))
 SHARE, FREE_LENGTH, FREE_WORDS = 0.5, 25, 3
 #: Rows of each file that are scanned.
 HEAD = 100
+#: The parts of a name, and what says that a person's name is meant (fixed values of the scan).
+NAME_PARTS, PERSON = r"[^a-z0-9ぁ-んァ-ヶ一-龠]+", r"(^| )(name|kana)( |$)|氏名|カナ"
+_SUMS = ("n", *[f"v{k}" for k in range(len(VALUES))], "length", "words")
 
 
 def class_of_name(column: str) -> tuple[str, list[str]]:
     """The strongest class that the name of a column says, and why."""
     name = unicodedata.normalize("NFKC", column).lower()
-    found = [(level, why) for pattern, level, why in NAMES if re.search(pattern, name)]
-    parts = set(re.split(r"[^a-z0-9ぁ-んァ-ヶ一-龠]+", name))
-    if ({"name", "kana"} & parts or "氏名" in name or "カナ" in name) and not parts & NOT_A_PERSON:
-        found.append(("direct", "person's name"))
-    return max([level for level, _ in found], key=LEVELS.index, default="none"), [why for _, why in found]
+    parts = re.split(NAME_PARTS, name)
+    person = () if NOT_A_PERSON.intersection(parts) else ((PERSON, "direct", "person's name"),)
+    spelled = f"{name} {' '.join(parts)}"
+    says = [(LEVELS.index(level), why) for text, rules in ((name, NAMES), (spelled, person)) for pattern, level, why in rules if re.search(pattern, text)]
+    return LEVELS[max((rank for rank, _ in says), default=0)], [why for _, why in says]
+
+
+def _sums(values: Iterable) -> tuple[int, ...]:
+    """Of the texts that are not blank, NFKC: how many there are, are like each of VALUES, and have characters and words."""
+    held = [unicodedata.normalize("NFKC", v) for v in values if isinstance(v, str) and v.strip()]
+    like = [sum(bool(re.match(p, v)) and len(re.sub(r"\D", "", v)) >= d for v in held) for p, d, _ in VALUES]
+    return len(held), *like, sum(map(len, held)), sum(len(v.split()) for v in held)
+
+
+def _reasons(sums: DataFrame) -> DataFrame:
+    """column and why its values are personal in any file, from the sums by file and column."""
+    of = sums.filter("n > 0")
+    direct = [F.when(F.col(f"v{k}") >= SHARE * F.col("n"), F.lit(why)) for k, (_, _, why) in enumerate(VALUES)]
+    free = F.when((F.col("length") >= FREE_LENGTH * F.col("n")) & (F.col("words") >= FREE_WORDS * F.col("n")), F.lit("free text"))
+    return of.select("column", F.explode(F.array_compact(F.array(*direct, free))).alias("why")).groupBy("column").agg(F.array_sort(F.collect_set("why")).alias("why"))
+
+
+def _classed(names: DataFrame, reasons: DataFrame) -> DataFrame:
+    """column, level, reasons: the stronger of what the name (of names) and what the values say."""
+    why = F.coalesce("why", F.array().cast("array<string>"))
+    rank = F.when(F.array_contains(why, "free text"), LEVELS.index("sensitive")).when(F.size(why) > 0, LEVELS.index("direct")).otherwise(0)
+    level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.greatest(rank, F.col("rank")) + 1)
+    return names.join(reasons, "column", "left").select("column", level.alias("level"), F.concat("reasons", why).alias("reasons"))
+
+
+def _named(spark: SparkSession, columns: Iterable[str]) -> DataFrame:
+    found = [(c, *class_of_name(c)) for c in columns]
+    return spark.createDataFrame([(c, LEVELS.index(level), why) for c, level, why in found], "column string, rank int, reasons array<string>")
 
 
-def personal_columns(df: DataFrame, file: str | None = None, head: int | None = None) -> DataFrame:
-    """column, level, reasons: the strongest class of the name and the values of every column, over all files.
+def personal_columns(df: DataFrame, file: str | None = None) -> DataFrame:
+    """column, level, reasons: the strongest class of the name and the values of every column, over all rows.
 
     Values are NFKC and judged by each file on its own, so personal data in one of many files is found; blank texts
-    do not count. With file and head, the first rows of each file are read; else all rows are one file's. Every group
-    passes through counts of its columns only.
+    do not count. Without file all rows are one file's. Every group passes through counts of its columns only.
     """
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != file]
-    columns = [c for c in df.columns if c != file]
-    named = {c: class_of_name(c) for c in columns}
-    plain = df.sparkSession.createDataFrame([(c, *named[c]) for c in columns], "column string, level string, reasons array<string>")
-    if not texts:
-        return plain
+    names = _named(df.sparkSession, [c for c in df.columns if c != file])
     rows = df.select(F.col(file).alias("file") if file else F.lit("").alias("file"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(texts)])
-    if file and head:
-        place = F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id()))
-        rows = rows.withColumn("place", place).filter(F.col("place") <= head).drop("place")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums by file and column, from which the shares and means of the whole file follow."""
         for batch in batches:
-            out = []
-            for name, own in batch.groupby("file"):
-                for i in range(len(texts)):
-                    held = [unicodedata.normalize("NFKC", v) for v in own[f"c{i}"] if isinstance(v, str) and v.strip()]
-                    like = [sum(bool(re.match(p, v)) and len(re.sub(r"\D", "", v)) >= d for v in held) for p, d, _ in VALUES]
-                    out.append((name, i, len(held), *like, sum(map(len, held)), sum(len(v.split()) for v in held)))
-            yield pd.DataFrame(out, columns=["file", "i", "n", *[f"v{k}" for k in range(len(VALUES))], "length", "words"])
-
-    sums = [f"v{k}" for k in range(len(VALUES))] + ["length", "words"]
-    found = rows.mapInPandas(counted, f"file string, i int, n long, {', '.join(f'{c} long' for c in sums)}")
-    by_file = found.groupBy("file", "i").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]).filter("n > 0")
-    direct = [F.when(F.col(f"v{k}") >= SHARE * F.col("n"), F.lit(why)) for k, (_, _, why) in enumerate(VALUES)]
-    free = F.when((F.col("length") >= FREE_LENGTH * F.col("n")) & (F.col("words") >= FREE_WORDS * F.col("n")), F.lit("free text"))
-    reasons = by_file.select("i", F.array_compact(F.array(*direct, free)).alias("why")).groupBy("i").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("why")))).alias("why"))
-    names = df.sparkSession.createDataFrame(list(enumerate(texts)), "i int, column string")
-    joined = plain.join(reasons.join(F.broadcast(names), "i").drop("i"), "column", "left")
-    why = F.coalesce("why", F.array().cast("array<string>"))
-    valued = F.when(F.array_contains(why, "free text"), 3).when(F.size(why) > 0, 2).otherwise(0)
-    order = F.array(*[F.lit(x) for x in LEVELS])
-    return joined.select("column", F.element_at(order, F.greatest(F.array_position(order, F.col("level")).cast("int") - 1, valued) + 1).alias("level"), F.concat("reasons", why).alias("reasons"))
+            out = [(name, c, *_sums(own[f"c{i}"])) for name, own in batch.groupby("file") for i, c in enumerate(texts)]
+            yield pd.DataFrame(out, columns=["file", "column", *_SUMS])
+
+    found = rows.mapInPandas(counted, f"file string, column string, {', '.join(f'{c} long' for c in _SUMS)}")
+    return _classed(names, _reasons(found.groupBy("file", "column").agg(*[F.sum(c).alias(c) for c in _SUMS])))
+
+
+def personal_in_files(spark: SparkSession, paths: Sequence[str], head: int = HEAD) -> DataFrame:
+    """column, level, reasons over the first rows of every Parquet file, judged by file; columns of any file count.
+
+    The cost of a file does not hang on its size, and nothing is shuffled but a row for each file and column.
+    """
+
+    def summed(path: str, batch) -> Iterator[tuple]:
+        for name in batch.schema.names:
+            values = batch.column(name).to_pylist() if str(batch.schema.field(name).type) in ("string", "large_string") else ()
+            yield path, name, *_sums(values)
+
+    sums = tables.heads(spark, paths, summed, f"file string, column string, {', '.join(f'{c} long' for c in _SUMS)}", head)
+    # As many rows as the files have distinct columns.
+    names = _named(spark, sorted(r.column for r in sums.select("column").distinct().collect()))
+    return _classed(names, _reasons(sums))
+
+
+#: What is said of a column by how its declared class stands to the found one: missing, none, below it.
+VERDICTS = ("undeclared", "declared none", "weaker")
 
 
 def scan_verdicts(found: Mapping[str, str], declared: Mapping[str, str | None]) -> dict[str, str]:
     """Columns whose declared class is no class at all, missing, none, or weaker than found."""
-    out = {}
-    for column, level in found.items():
-        own = declared.get(column)
-        if own is not None and own not in LEVELS:
-            out[column] = "invalid"
-        elif level != "none" and own in (None, "none"):
-            out[column] = "undeclared" if own is None else "declared none"
-        elif own is not None and LEVELS.index(own) < LEVELS.index(level):
-            out[column] = "weaker"
-    return out
+    rank = {None: -1} | {level: i for i, level in enumerate(LEVELS)}
+    stands = {c: (rank.get(declared.get(c)), rank[level]) for c, level in found.items()}
+    return {c: "invalid" if own is None else VERDICTS[min(own + 1, 2)] for c, (own, level) in stands.items() if own is None or max(own, 0) < level}

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import urllib.parse
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a column that are read at once, and files of one task.
+BUFFER, FILES = 1 << 16, 64
+#: Schemes of files that tasks open themselves.
+DIRECT = {"file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -67,34 +73,94 @@ def text_files(spark: SparkSession, paths: Sequence[str] | str, encoding: str) -
     return read.select("path", "content").mapInPandas(parsed, "file string, header array<string>, place int, cells array<string>, error string")
 
 
-def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """file, columns, types, error of Parquet files, by the engine's names of types; one task a file, any file system."""
+class EmptyFile(ValueError):
+    """A file without a byte."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        from pyspark.sql.pandas.types import from_arrow_type
 
-        def kind(t: pa.DataType) -> str:
-            if pa.types.is_null(t):
-                return "null"
-            # INT96 times are instants and come as nanoseconds without a zone.
-            return "timestamp" if pa.types.is_timestamp(t) and t.unit == "ns" else from_arrow_type(t, prefer_timestamp_ntz=True).simpleString()
+def _source(path: str):
+    """A file of a scheme in DIRECT, open for reading at any place."""
+    import pyarrow.fs
 
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    schema = pq.read_schema(pa.BufferReader(bytes(content)))
-                    kinds = [kind(f.type) for f in schema]
-                    out.append((path, schema.names, kinds, None))
-                except Exception as e:  # noqa: BLE001  whatever makes a file unreadable
-                    out.append((path, [], [], type(e).__name__))
-            yield pd.DataFrame(out, columns=["file", "columns", "types", "error"])
+    scheme, _, rest = path.partition(":")
+    if "/" in scheme or scheme == "file":
+        return pyarrow.fs.LocalFileSystem().open_input_file("/" + (path if "/" in scheme else rest).lstrip("/"))
+    fs, own = pyarrow.fs.FileSystem.from_uri(urllib.parse.quote(path.replace("s3a:", "s3:").replace("s3n:", "s3:"), safe="/:@=&?%"))
+    return fs.open_input_file(own)
+
+
+def parquet_in(source):
+    """A Parquet file of which only the end, and then the pages that are asked for, are read."""
+    import pyarrow.parquet as pq
 
+    if not source.size():
+        raise EmptyFile
+    return pq.ParquetFile(source, pre_buffer=False, buffer_size=BUFFER)
+
+
+def _kind(t) -> str:
+    """The engine's name of an Arrow type."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    if pa.types.is_null(t):
+        return "null"
+    # INT96 times are instants and come as nanoseconds without a zone.
+    return "timestamp" if pa.types.is_timestamp(t) and t.unit == "ns" else from_arrow_type(t, prefer_timestamp_ntz=True).simpleString()
+
+
+def _by_file(spark: SparkSession, paths: Sequence[str], read, schema: str) -> DataFrame:
+    """What read(path, open) yields for every path, in tasks of some files each.
+
+    Files of a scheme that tasks can open themselves are read at the places that matter and never whole. Those of any
+    other store come through the engine as a whole, which bounds them to 2 GB.
+    """
     if not paths:
-        return spark.createDataFrame([], "file string, columns array<string>, types array<string>, error string")
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, "file string, columns array<string>, types array<string>, error string")
+        return spark.createDataFrame([], schema)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def frame(rows) -> pd.DataFrame:
+        return pd.DataFrame(list(rows), columns=names)
+
+    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from (frame(read(p, lambda p=p: _source(p))) for p in batch["path"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield from (frame(read(p, lambda c=c: pa.BufferReader(bytes(c)))) for p, c in zip(batch["path"], batch["content"], strict=True))
+
+    if any(":" in p.split("/")[0] and p.split(":")[0] not in DIRECT for p in paths):
+        return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(whole, schema)
+    parts = min(len(paths), max(spark.sparkContext.defaultParallelism, len(paths) // FILES))
+    listed = spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in paths], parts), "path string")
+    return listed.mapInPandas(direct, schema)
+
+
+def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, columns, types, error of Parquet files, by the engine's names of types, from the end of each file."""
+
+    def read(path: str, source) -> Iterator[tuple]:
+        try:
+            with source() as f:
+                schema = parquet_in(f).schema_arrow
+            yield path, schema.names, [_kind(c.type) for c in schema], None
+        except Exception as e:  # noqa: BLE001  whatever makes a file unreadable
+            yield path, [], [], type(e).__name__
+
+    return _by_file(spark, paths, read, "file string, columns array<string>, types array<string>, error string")
+
+
+def heads(spark: SparkSession, paths: Sequence[str], summed, schema: str, rows: int) -> DataFrame:
+    """What summed(path, batch) yields of the first rows of every Parquet file, from the first pages of its columns."""
+
+    def read(path: str, source) -> Iterator[tuple]:
+        with source() as f:
+            own = parquet_in(f)
+            yield from summed(path, next(own.iter_batches(batch_size=rows), own.schema_arrow.empty_table()))
+
+    return _by_file(spark, paths, read, schema)
 
 
 def seed(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -120,9 +120,10 @@ def test_names_and_values_of_personal_data(spark):
     assert {n: quality.class_of_name(n)[0] for n in names} == names
     file = [("f1", "x", "1"), ("f1", "y", "2"), ("f2", "ａ@b.co", "＋81 90-1234-5678"), ("f2", " c.d@e.org ", "03 1234 5678"), ("f2", None, " "), ("f3", "long words of some patient say much here", "z")]
     df = spark.createDataFrame(file, "file string, a string, b string")
-    got = {r.column: (r.level, r.reasons) for r in quality.personal_columns(df, "file", 100).collect()}
+    got = {r.column: (r.level, r.reasons) for r in quality.personal_columns(df, "file").collect()}
     assert got == {"a": ("sensitive", ["e-mail values", "free text"]), "b": ("direct", ["phone values"])}
     assert {r.column: r.level for r in quality.personal_columns(df.drop("file")).collect()} == {"a": "none", "b": "none"}
+    assert quality.scan_verdicts({"a": "none"}, {}) == {} and quality.scan_verdicts({"a": "quasi"}, {"a": "direct"}) == {}
     assert quality.scan_verdicts({"a": "direct", "b": "quasi", "c": "none", "d": "quasi"}, {"a": "quasi", "c": "odd", "d": "none"}) == {"a": "weaker", "b": "undeclared", "c": "invalid", "d": "declared none"}
 
 
