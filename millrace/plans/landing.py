@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, scalars
 from ..operators import contracts
 from ..sources import tables
+from . import commits
 from .datasets import DATASETS, Dataset
 
 #: Folders of a lake that a full run may clear.
@@ -107,39 +108,48 @@ def _with_keys(ds: Dataset, df: DataFrame, salt: str) -> DataFrame:
 
 
 def land(spark: SparkSession, incoming: str, lake: str, salt: str, now: datetime.datetime, datasets: Sequence[Dataset] = DATASETS, period: tuple[datetime.date, datetime.date] | None = None) -> Report:
-    """Lands or quarantines every file below incoming, which is empty of them afterwards, and appends to the meta tables."""
-    report, today = Report(uuid.uuid4().hex), now.date().isoformat()
+    """Lands or quarantines every file below incoming, which is empty of them afterwards, and appends to the meta tables.
+
+    All of it happens or nothing: see commits. A run that died before is finished or thrown away first.
+    """
+    commits.recover(spark, lake)
+    report, today, inputs = Report(uuid.uuid4().hex), now.date().isoformat(), []
+    beside = commits.prepared(lake, report.run_id)
     for ds in datasets:
         paths = tables.files(spark, f"{incoming}/{ds.pattern}")
         if not paths:
             continue
+        stamps = {p: tables.stamp(spark, p) for p in paths}
         rows, bad = (_read_parquet if ds.kind == "parquet" else _read_text)(spark, ds, paths)
         if rows is not None:
             for r in contracts.violations(rows, ds.contract(), ["file"]).collect():  # a row for each file and failed check
                 bad.setdefault(r.file, ("contract", []))[1].append((r.column, r.check, r.n_rows))
-            _write(spark, ds, rows, bad, lake, salt, now, today, report)
-        for path in paths:
-            if path in bad:
-                _quarantine(spark, ds, path, *bad[path], lake, now, today, report)
-            else:
-                tables.remove(spark, path)
+            if bad.keys() < set(paths):
+                _prepare(spark, ds, rows, bad, beside, salt, now, today, report)
+        inputs += [_quarantined(spark, ds, p, stamps[p], *bad[p], lake, now, today, report) if p in bad else commits.Input(p, *stamps[p]) for p in paths]
     days = sorted(r[3] for r in report.landed if len(r[3]) == 10)
     if period is None and days:
         period = tuple(datetime.date.fromisoformat(d) for d in (days[0], days[-1]))
     found = {"landing_log": report.landed, "quarantine_log": report.quarantined, "identity_stats": report.identities, "period": [(report.run_id, *period)] if period else []}
     for name, own in found.items():
         if own:
-            tables.append(spark.createDataFrame(own, META[name]), f"{lake}/meta/{name}")
+            tables.append(spark.createDataFrame(own, META[name]), f"{beside}/meta/{name}")
+    if inputs or period:
+        commits.commit(spark, lake, report.run_id, inputs)
+        commits.finish(spark, lake, report.run_id)
     return report
 
 
-def _write(spark: SparkSession, ds: Dataset, rows: DataFrame, bad: dict, lake: str, salt: str, now: datetime.datetime, today: str, report: Report) -> None:
+def _prepare(spark: SparkSession, ds: Dataset, rows: DataFrame, bad: dict, beside: str, salt: str, now: datetime.datetime, today: str, report: Report) -> None:
+    """Writes the rows of the good files as they will stand in the lake, and reports them."""
     key = "month" if ds.source == "E" else "dt"
-    good = rows.filter(~F.col("file").isin(list(bad))) if bad else rows
+    good = rows
+    if bad:  # a row a file
+        good = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in bad], "file string")), "file", "left_anti")
     landed = _with_keys(ds, good, salt).withColumns({"ingested_at": F.lit(now).cast("timestamp"), key: contracts.partition_of(F.col("file"), today)})
-    to = f"{lake}/reported_kpis" if ds.source == "KPI" else f"{lake}/{ds.source}/{ds.name}"
+    to = f"{beside}/reported_kpis" if ds.source == "KPI" else f"{beside}/{ds.source}/{ds.name}"
     landed.withColumnRenamed("file", "landed_from").write.mode("append").partitionBy(key).parquet(to)
-    own = spark.read.option("mergeSchema", True).parquet(to).filter(F.col("ingested_at") == F.lit(now).cast("timestamp"))
+    own = spark.read.parquet(to)
     by_day = own.groupBy(F.col(key).cast("string").alias("day")).agg(F.countDistinct("landed_from").alias("files"), F.count("*").alias("rows"))
     report.landed += [(report.run_id, ds.source, ds.name, r.day, r.files, r.rows) for r in by_day.orderBy("day").collect()]
     if ds.person is not None:
@@ -148,21 +158,23 @@ def _write(spark: SparkSession, ds: Dataset, rows: DataFrame, bad: dict, lake: s
         report.identities += [(report.run_id, ds.source, r.key_method, r.n) for r in last.groupBy("key_method").agg(F.count("*").alias("n")).orderBy("key_method").collect()]
 
 
-def _quarantine(spark: SparkSession, ds: Dataset, path: str, stage: str, found: list[Violation], lake: str, now: datetime.datetime, today: str, report: Report) -> None:
-    """Moves the file, with a document of the reasons beside it."""
+def _quarantined(spark: SparkSession, ds: Dataset, path: str, stamp: tuple[int, int], stage: str, found: list[Violation], lake: str, now: datetime.datetime, today: str, report: Report) -> commits.Input:
+    """Where the file goes, with a document of the reasons; a file of that name that is there already stays."""
     day, name = _partition(path, today), path.rsplit("/", 1)[1]
     to = f"{lake}/quarantine/{ds.source}/{day}/{ds.name}__{name}"
-    tables.move(spark, path, to)
+    if tables.files(spark, to):
+        to = f"{lake}/quarantine/{ds.source}/{day}/{ds.name}__{report.run_id}__{name}"
     details = [{"column": c, "check": check, "n_rows": n} for c, check, n in sorted(found)]
     document = {"source": ds.source, "dataset": ds.name, "file": name, "stage": stage, "quarantined_at": now.isoformat(), "violations": details}
-    tables.write_text(spark, f"{to}.reason.json", json.dumps(document, ensure_ascii=False, indent=1))
     reason = "; ".join(f"{d['check']} on {d['column']}" if d["column"] else d["check"] for d in details)
     report.quarantined.append((report.run_id, ds.source, ds.name, name, day, stage, len(details), reason, now))
+    return commits.Input(path, *stamp, to, json.dumps(document, ensure_ascii=False, indent=1))
 
 
 def ingest(spark: SparkSession, incoming: str, lake: str, salt_variable: str, now: datetime.datetime, overwrite: bool = False, more: bool = False) -> Report:
     """A full run into an empty or cleared lake, or, with more, one that adds to it. The salt is asked for first."""
     salt = identity.salt_from(salt_variable)
+    commits.recover(spark, lake)
     if not more:
         tables.cleared(spark, lake, MANAGED, overwrite)
     return land(spark, incoming, lake, salt, now)

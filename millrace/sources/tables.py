@@ -182,6 +182,41 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, own = _fs(spark, path)
+    source = fs.open(own)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Length and time of the last change of a file; None if there is none."""
+    found = next(iter(_statuses(spark, [path])), None)
+    return found and found[1:]
+
+
+def _statuses(spark: SparkSession, paths: Sequence[str]) -> Iterator[tuple[str, int, int]]:
+    for path in paths:
+        fs, own = _fs(spark, path)
+        if fs.exists(own):
+            status = fs.getFileStatus(own)
+            yield path, status.getLen(), status.getModificationTime()
+
+
+def tree(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Every file below path, and its place relative to path; none if there is no such folder."""
+    fs, own = _fs(spark, path)
+    if not fs.exists(own):
+        return []
+    root, out, it = fs.getFileStatus(own).getPath().toString(), [], fs.listFiles(own, True)
+    while it.hasNext():
+        found = it.next().getPath().toString()
+        out.append((found, found[len(root) :].lstrip("/")))
+    return sorted(out)
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     fs, own = _fs(spark, path)
     target = spark._jvm.org.apache.hadoop.fs.Path(to)
