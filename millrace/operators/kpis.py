@@ -55,27 +55,46 @@ def ever_less_recent(df: DataFrame, entity: str, day: str, spine: DataFrame, day
     return difference(_on(spine, upto.select("month", "value")), windowed_distinct(df, entity, day, spine, days))
 
 
-def alive_at_month_end(df: DataFrame, start: str, end: str, spine: DataFrame) -> DataFrame:
-    """df once for each month of the spine at whose end start <= day and (no end or end >= day): month added.
+def _alive(df: DataFrame, start: str, end: str) -> DataFrame:
+    """df with from and until: the first month at whose end a row is alive, and the first at whose end it no longer is (null: never).
 
-    The months of a row are made from its own dates and the spine's last month, so no range join is needed.
+    Alive at the end of a month is what has started by then and has no end, or one on that day or later.
     """
-    last = spine.agg(F.max("month").alias("last_month"), F.min("month").alias("first_month"))
-    held = df.crossJoin(F.broadcast(last))  # one row
-    lo = F.greatest(F.to_date(F.trunc(start, "MM")), F.col("first_month"))
-    hi = F.least(F.coalesce(F.to_date(F.trunc(end, "MM")), F.col("last_month")), F.col("last_month"))
-    months = F.when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month")))
-    out = held.withColumn("month", F.explode(months)).withColumn("month", F.to_date("month"))
-    day = F.last_day("month")
-    return out.filter((F.to_date(start) <= day) & (F.col(end).isNull() | (F.to_date(end) >= day))).drop("last_month", "first_month")
+    ends = F.to_date(end)
+    until = F.when(ends == F.last_day(ends), F.add_months(F.trunc(ends, "MM"), 1)).otherwise(F.to_date(F.trunc(ends, "MM")))
+    held = df.withColumns({"from": F.to_date(F.trunc(start, "MM")), "until": until})
+    return held.filter(F.col("from").isNotNull() & (F.col("until").isNull() | (F.col("from") < F.col("until"))))
+
+
+def _swept(intervals: DataFrame, spine: DataFrame, weight: Column) -> DataFrame:
+    """For each month of the spine the weight of all that is alive: a running sum over what comes and goes, two events a row."""
+    event = F.explode(F.array(F.struct(F.col("from").alias("month"), weight.alias("w")), F.struct(F.col("until").alias("month"), (-weight).alias("w"))))
+    change = intervals.select(event.alias("e")).select("e.*").filter("month is not null").groupBy("month").agg(F.sum("w").alias("w"))
+    months = spine.select("month").distinct().join(change, "month", "full_outer")
+    upto = F.sum(F.coalesce("w", F.lit(0))).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
+    return _on(spine, months.select("month", upto.alias("value")))
 
 
 def alive_distinct(df: DataFrame, entity: str, start: str, end: str, spine: DataFrame) -> DataFrame:
-    return _on(spine, alive_at_month_end(df, start, end, spine).groupBy("month").agg(F.countDistinct(entity).alias("value")))
+    """Entities with a row that is alive on the last day of each month.
+
+    An entity's intervals are merged first, so it comes and goes once however many overlap; rows are summed up by
+    entity and first month before they are shuffled, and how long a row lives costs nothing.
+    """
+    far = F.lit("9999-12-01").cast("date")
+    own = _alive(df.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.col(start).alias("start"), F.col(end).alias("end")), "start", "end")
+    own = own.groupBy("entity", "from").agg(F.max(F.coalesce("until", far)).alias("until"))
+    by_entity = Window.partitionBy("entity").orderBy("from")
+    reached = F.max("until").over(by_entity.rowsBetween(Window.unboundedPreceding, -1))
+    opens = own.withColumn("opens", F.when(F.col("from") <= reached, 0).otherwise(1))
+    merged = opens.withColumn("block", F.sum("opens").over(by_entity)).groupBy("entity", "block").agg(F.min("from").alias("from"), F.nullif(F.max("until"), far).alias("until"))
+    return _swept(merged, spine, F.lit(1))
 
 
 def alive_total(df: DataFrame, amount: str, start: str, end: str, spine: DataFrame) -> DataFrame:
-    return _on(spine, alive_at_month_end(df, start, end, spine).groupBy("month").agg(F.sum(amount).alias("value")))
+    """Sum of the amount over the rows that are alive on the last day of each month."""
+    own = _alive(df.select(F.col(amount).alias("amount"), F.col(start).alias("start"), F.col(end).alias("end")), "start", "end")
+    return _swept(own, spine, F.coalesce("amount", F.lit(0)))
 
 
 def reported(parts: dict[tuple[str, str, str], DataFrame]) -> DataFrame:

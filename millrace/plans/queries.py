@@ -499,7 +499,7 @@ def activity_facts(spark, d):
 
 
 @query(f"""with {_XREF},
-l as (select o_orderkey % 400 as contract_id, o_custkey as member_id, o_orderstatus as plan, o_orderdate as made, o_orderkey as lsn, case when o_orderkey % 11 = 0 then 'D' else 'U' end as op, o_orderkey % 2 as g, cast(round(o_totalprice) as bigint) as fee from orders where o_orderkey % 400 < 40),
+l as (select o_custkey as contract_id, o_custkey as member_id, o_orderstatus as plan, o_orderdate as made, o_orderkey as lsn, case when o_orderkey % 11 = 0 then 'D' else 'U' end as op, o_orderkey % 2 as g, cast(round(o_totalprice) as bigint) as fee from orders),
 n as (select *, case g when 0 then 'FY2025' else 'FY2026' end as generation, case g when 0 then 'C25:' else 'C26:' end || plan as plan_ref, case g when 0 then fee else cast(round(fee * (1 + 0.08::double)) as bigint) end as incl, case g when 0 then cast(round(fee / (1 + 0.1::double)) as bigint) else fee end as ex from l),
 c as (select *, lag(struct_pack(a := member_id, b := plan_ref, c := incl, d := ex)) over w as before, lag(op) over w as before_op, row_number() over w as place from n window w as (partition by contract_id order by made, lsn)),
 v as (select *, lead(made) over (partition by contract_id order by made, lsn) as valid_to from c where place = 1 or before is distinct from struct_pack(a := member_id, b := plan_ref, c := incl, d := ex) or op = 'D' or before_op = 'D')
@@ -507,9 +507,9 @@ select contract_id, generation, member_id, x.member_key, plan_ref, case when pla
 from (select *, 'live' as status from v) v join x on x.source = 'C' and x.id = cast(member_id as varchar)""")
 def contract_versions(spark, d):
     """Two generations of a contract log in one shape, and the versions of live members' contracts."""
-    orders = table(spark, d, "orders").filter("o_orderkey % 400 < 40")
+    orders = table(spark, d, "orders")
     fee = _cents("o_totalprice")
-    common = [F.when(F.col("o_orderkey") % 11 == 0, "D").otherwise("U").alias("op"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("lsn"), (F.col("o_orderkey") % 400).alias("contract_id"), F.col("o_custkey").alias("member_id"), F.lit("live").alias("status")]
+    common = [F.when(F.col("o_orderkey") % 11 == 0, "D").otherwise("U").alias("op"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("lsn"), F.col("o_custkey").alias("contract_id"), F.col("o_custkey").alias("member_id"), F.lit("live").alias("status")]
     none = F.lit(None).cast("date")
     old = orders.filter("o_orderkey % 2 = 0").select(*common, F.col("o_orderstatus").alias("plan_cd"), fee.alias("monthly_fee"), none.alias("start_dt"), none.alias("end_dt"), F.lit(None).cast("long").alias("family_group_id"))
     new = orders.filter("o_orderkey % 2 = 1").select(*common, F.col("o_orderstatus").alias("plan_id"), fee.alias("price_ex_tax"), F.lit(0.08).alias("tax_rate"), none.alias("effective_from"), none.alias("effective_to"), F.lit(None).cast("long").alias("payer_member_id"))
@@ -568,3 +568,81 @@ def deleted_and_sourceless(spark, d):
 def source_freshness(spark, d):
     now = datetime.datetime(2024, 2, 1, 12, tzinfo=datetime.UTC)
     return quality.freshness(table(spark, d, "events"), "ts", now).withColumn("age_hours", F.round("age_hours", 6))
+
+
+@query("""with r as (select cast(date_trunc('month', l_shipdate) as date) as month, l_returnflag as flag, cast(round(l_extendedprice * 100) as bigint) * case when l_returnflag = 'R' then -1 else 1 end as cents from lineitem)
+select month, 'ALL' as scope, cast(sum(cents) as bigint) as total from r group by month union all select month, flag, cast(sum(cents) as bigint) from r where flag in ('A', 'R') group by all""")
+def net_amount_by_scope(spark, d):
+    """Sums of amounts by month, over all rows and for two of the sources."""
+    lines = table(spark, d, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1))
+    return metrics.sum_by_month(lines, "cents", scalars.month_start("l_shipdate"), metrics.scope_column("l_returnflag", {"ALL": "all", "A": "source", "R": "source"}))
+
+
+@query("""with g as (select event_type as source, cast(cast(ts as date) as varchar) as day, count(*) as n, cast(sum(user_id) as bigint) as r from events where value >= 10 and event_type <> 'error' group by all),
+b as (select event_type as source, cast(cast(ts as date) as varchar) as day, count(*) as n, cast(sum(event_id % 4) as bigint) as v from events where value < 10 or event_type = 'error' group by all)
+select coalesce(g.source, b.source) as source, 'events' as dataset, coalesce(g.day, b.day) as partition_date, coalesce(g.n, 0) as files_landed, coalesce(g.r, 0) as rows_landed, coalesce(b.n, 0) as files_quarantined, coalesce(b.v, 0) as violations from g full join b on g.source = b.source and g.day = b.day""")
+def deliveries_daily(spark, d):
+    """What each delivery brought and what was quarantined of it; an event stands for a file."""
+    files = table(spark, d, "events").select(F.col("event_type").alias("source"), F.lit("events").alias("dataset"), F.to_date("ts").cast("string").alias("partition_date"), F.lit(1).alias("files_landed"), F.col("user_id").alias("rows_landed"), (F.col("event_id") % 4).alias("n_violations"), "value")
+    return silver.ingest_quality_daily(files.filter("value >= 10 and source <> 'error'"), files.filter("value < 10 or source = 'error'"))
+
+
+_SEGMENTS = {"a": "BUILDING", "b": "AUTOMOBILE", "c": "MACHINERY", "d": "FURNITURE"}
+
+
+@query(f"""select c_nationkey as household_key, count(*) as n_members, count(*) > 1 as is_family, {', '.join(f"bool_or(c_mktsegment = '{s}') as in_{p}" for p, s in _SEGMENTS.items())}, min(c_acctbal) as first_seen_at from customer group by 1""")
+def households(spark, d):
+    """Households of customers, and the products that any member has."""
+    flags = [(F.col("c_mktsegment") == s).alias(f"in_{p}") for p, s in _SEGMENTS.items()]
+    return silver.dim_household(table(spark, d, "customer").select(F.col("c_nationkey").alias("household_key"), F.col("c_acctbal").alias("first_seen_at"), *flags))
+
+
+@query("""select o_orderstatus as product, c_nationkey as household_key, count(distinct c_custkey) as n_members, count(distinct c_custkey) > 1 as is_family, min(o_orderdate) as first_seen_at from orders join customer on c_custkey = o_custkey group by 1, 2""")
+def households_by_product(spark, d):
+    own = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return silver.dim_household_by_product(own.select(F.col("o_orderstatus").alias("product"), F.col("c_nationkey").alias("household_key"), F.col("c_custkey").alias("member_key"), F.col("o_orderdate").alias("joined_at")))
+
+
+@query(f"""with {_XREF} select 'C' as product, x.member_key, cast(c_custkey as varchar) as source_member_id, c_nationkey as household_key, c_name as name, c_acctbal as joined_at from customer join x on x.source = 'C' and x.id = cast(c_custkey as varchar)
+union all select 'A', x.member_key, cast(s_suppkey as varchar), s_nationkey, s_name, s_acctbal from supplier join x on x.source = 'A' and x.id = cast(s_suppkey as varchar)""")
+def members_by_product(spark, d):
+    """What each product itself knows of its live members, under their one key."""
+
+    def rows(name, source, key, house, label, joined):
+        none = [F.lit(None).cast("string").alias(c) for c in ("member_key", "key_method", "name_kana", "email", "phone", "birth_date", "health_notes", "medical_conditions")]
+        return table(spark, d, name).select(F.lit(source).alias("source"), F.col(key).cast("string").alias("source_member_id"), F.col(house).alias("household_key"), F.col(label).alias("name"), F.col(joined).alias("joined_at"), *none)
+
+    live = rows("customer", "C", "c_custkey", "c_nationkey", "c_name", "c_acctbal").union(rows("supplier", "A", "s_suppkey", "s_nationkey", "s_name", "s_acctbal"))
+    return silver.dim_member_by_product(live, _xref(spark, d)).select("product", "member_key", "source_member_id", "household_key", "name", "joined_at")
+
+
+@query(f"select * exclude (valid_to, is_current, is_deleted) from ({SQL['contract_versions']}) where is_current and not is_deleted")
+def contracts_current(spark, d):
+    """The version of each live contract that holds now."""
+    return silver.c_contract_current(contract_versions(spark, d))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, strftime(l_shipdate, '%Y/%m/') || lpad(cast(day(l_shipdate) + l_linenumber % 3 as varchar), 2, '0') as slashes, strftime(l_shipdate, '%Y-%m-%dT08:30:00') || case l_linenumber % 3 when 0 then '+09:00' when 1 then 'Z' else ' o''clock' end as iso from lineitem)
+select l_orderkey, l_linenumber, cast(try_strptime(slashes, '%Y/%m/%d') as date) as day, case when l_linenumber % 3 = 0 then strptime(iso[1:19], '%Y-%m-%dT%H:%M:%S') - interval 9 hour when l_linenumber % 3 = 1 then strptime(iso[1:19], '%Y-%m-%dT%H:%M:%S') end as at from t""")
+def typed_dates(spark, d):
+    """Texts as days and instants; those that name none are null, such as the 31st of a short month."""
+    lines = table(spark, d, "lineitem")
+    odd = F.col("l_linenumber") % 3
+    slashes = F.concat(F.date_format("l_shipdate", "yyyy/MM/"), F.lpad((F.dayofmonth("l_shipdate") + odd).cast("string"), 2, "0"))
+    iso = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T08:30:00"), F.when(odd == 0, "+09:00").when(odd == 1, "Z").otherwise(" o'clock"))
+    return lines.select("l_orderkey", "l_linenumber", scalars.date_from_slashes(slashes).alias("day"), scalars.instant(iso).alias("at"))
+
+
+@query("""select c_custkey, sha256('{"c0":"' || c_name || '"' || case when c_mktsegment <> 'BUILDING' then ',"c1":"' || c_mktsegment || '"' else '' end || ',"c2":"' || c_nationkey || '"}') as hash from customer""")
+def row_hashes(spark, d):
+    """Hashes that tell rows apart, nulls from empty texts included."""
+    return table(spark, d, "customer").withColumn("segment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))).select("c_custkey", scalars.row_hash("c_name", "segment", "c_nationkey").alias("hash"))
+
+
+_SETS = "select c_nationkey as nation, c_mktsegment as segment from customer where c_acctbal > 0 intersect select c_nationkey, c_mktsegment from customer where c_acctbal < 0 union select s_nationkey, 'SUPPLIER' from supplier except select n_nationkey, 'SUPPLIER' from nation where n_regionkey = 1"
+
+
+@query(_SETS)
+def governed_set_operations(spark, d):
+    """Set operations of a role's statement, read through the data layer of the gateway."""
+    return gateway.DataLayer(spark, {t: f"{d}/{t}.parquet" for t in ("customer", "supplier", "nation")}).read(_SETS)

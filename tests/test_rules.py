@@ -2,11 +2,12 @@
 
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 
 from millrace.functions import identity, scalars
-from millrace.operators import contracts, history, metrics, quality
+from millrace.operators import contracts, history, kpis, metrics, quality
 from millrace.plans import silver
 from millrace.sources import tables
 
@@ -176,3 +177,24 @@ def test_text_files_in_any_encoding(spark, tmp_path):
     assert got["a.csv", 1] == (["名", "値"], ["ｻﾄｳ　①", "1,0"], None) and got["b.csv", 0][2] == "UnicodeDecodeError" and got["c.csv", 0][2] == "ValueError" and not [k for k in got if k[0] == "d.csv"]  # an empty file gives nothing
     (tmp_path / "e.csv").write_bytes("a\n1\n".encode("utf-8-sig"))
     assert [r.header for r in tables.text_files(spark, str(tmp_path / "e.csv"), "utf-8").collect()] == [["a"], ["a"]]
+
+
+def test_alive_measures_equal_plain_counts(spark):
+    """Intervals that touch, overlap, end on a month's last day, end before they start, start before the spine or never."""
+    r, first = random.Random(8), dt.date(2025, 1, 1)
+    rows = [(1, dt.date(2025, 1, 31), dt.date(2025, 1, 31), 5), (1, dt.date(2025, 2, 1), dt.date(2025, 2, 27), 7), (2, dt.date(2024, 1, 1), None, 3), (None, dt.date(2025, 1, 1), None, 2), (3, None, dt.date(2025, 5, 5), 9), (4, dt.date(2025, 5, 1), dt.date(2025, 4, 1), 1), (5, dt.date(2026, 1, 1), None, 1), (6, dt.date(2025, 1, 1), None, None)]
+    for _ in range(300):
+        start = first + dt.timedelta(r.randrange(-90, 400))
+        rows.append((r.randrange(7, 40), start, r.choice([None, start + dt.timedelta(r.randrange(-5, 200))]), r.randrange(100)))
+    months = [dt.date(2025, m, 1) for m in range(1, 13)]
+    spine = spark.createDataFrame([(m,) for m in months], "month date")
+    df = spark.createDataFrame(rows, "who int, start date, end date, fee int")
+    want = []
+    for m in months:
+        last = (m + dt.timedelta(31)).replace(day=1) - dt.timedelta(1)
+        alive = [x for x in rows if x[1] and x[1] <= last and (x[2] is None or x[2] >= last)]
+        want.append((m, float(len({x[0] for x in alive if x[0] is not None})), float(sum(x[3] or 0 for x in alive))))
+    distinct, total = kpis.alive_distinct(df, "who", "start", "end", spine), kpis.alive_total(df, "fee", "start", "end", spine)
+    assert sorted((a.month, a.value, b.value) for a in distinct.collect() for b in total.collect() if a.month == b.month) == want
+    assert "sequence" not in (distinct._jdf.queryExecution().toString() + total._jdf.queryExecution().toString())
+    assert {x.value for x in kpis.alive_distinct(df.limit(0), "who", "start", "end", spine).collect()} == {0.0}
