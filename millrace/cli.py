@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import quality
-from .plans import access, catalog, datasets, gateway, landing, platform, silver, stages
+from .plans import access, catalog, datasets, gateway, landing, platform, server, silver, stages
 from .plans import spec as specs
 from .plans.described import described
 from .sources import tables
@@ -36,6 +36,7 @@ def _arguments() -> argparse.ArgumentParser:
     query.add_argument("principal")
     query.add_argument("sql")
     query.add_argument("--limit", type=int, default=gateway.MOST_ROWS)
+    sub.add_parser("serve-mcp", help=f"the catalog's tools over standard input and output, for the role and principal in {catalog.ROLE} and {catalog.PRINCIPAL}")
     sub.add_parser("catalog", help="the catalog as JSON").add_argument("--role")
     return p
 
@@ -82,6 +83,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         full = catalog.build(models, columns, specs.load())
         print(json.dumps(catalog.of_role(full, a.role, allowed) if a.role else full, ensure_ascii=False, indent=1))
         return []
+    if a.command == "serve-mcp":
+        server.Server(catalog.from_environment(spark, allowed, catalog.build(models, columns, specs.load()), f"{a.warehouse}/roles", f"{a.lake}/audit")).serve(sys.stdin, sys.stdout)
+        return []
     try:
         result = gateway.Gateway(spark, a.role, a.principal, allowed, f"{a.warehouse}/roles", f"{a.lake}/audit").query(a.sql, a.limit)
     except gateway.Denied as e:
@@ -96,7 +100,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         problems = run(spark, a)
     except (stages.BuildError, specs.SpecError, access.PolicyError, gateway.GatewayError, RuntimeError, FileExistsError) as e:
-        print(e, file=sys.stderr)
+        print(f"{a.command}: {e}", file=sys.stderr)
         return 2
     for p in problems:
         print(p, file=sys.stderr)

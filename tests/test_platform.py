@@ -2,6 +2,7 @@
 
 import datetime as dt
 import decimal
+import io
 import json
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import pytest
 from millrace import cli
 from millrace.functions import identity
 from millrace.operators import quality
-from millrace.plans import access, catalog, gateway, landing, platform, silver
+from millrace.plans import access, catalog, gateway, landing, platform, server, silver
 from millrace.plans import spec as specs
 from millrace.plans.described import described
 
@@ -331,3 +332,58 @@ def test_command_line(spark, lake, allowed, capsys, monkeypatch):
     assert cli.main([*where, "ingest", "nowhere", "--salt-variable", "NO_SALT", "--more"], spark) == 0
     assert cli.main([*where, "scan"], spark) == 1
     assert "A.member_registered.email: undeclared" in capsys.readouterr().err
+
+
+def asked(server, *messages):
+    """The answers to these messages, as they go over the line."""
+    out = io.StringIO()
+    server.serve((m if isinstance(m, str) else json.dumps({"jsonrpc": "2.0"} | m) for m in messages), out)
+    return [json.loads(line) for line in out.getvalue().splitlines()]
+
+
+def call(name, /, **arguments):
+    return {"id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}}
+
+
+@pytest.fixture(scope="module")
+def tool_server(spark, lake, models, allowed):
+    def of(role):
+        own = gateway.Gateway(spark, role, "mia", allowed, f"{lake[0]}/warehouse/roles", f"{lake[0]}/audit_server_{role}")
+        return server.Server(catalog.Client(own, catalog.of_role(catalog.build(models, described(models), specs.load()), role, allowed)))
+
+    return of
+
+
+def test_server_speaks_the_protocol(tool_server):
+    own = tool_server("analyst")
+    got = asked(own, {"id": 0, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}}, {"method": "notifications/initialized"}, "", {"id": "x", "method": "ping"}, {"id": 2, "method": "tools/list"}, "{no json", "[]", {"id": 3, "method": "resources/list"}, {"id": 4, "method": "tools/call", "params": {"name": "drop_table"}})
+    assert [g.get("id") for g in got] == [0, "x", 2, None, None, 3, 4]
+    assert got[0]["result"]["protocolVersion"] == "2024-11-05" and got[1]["result"] == {}
+    listed = {t["name"]: t["inputSchema"] for t in got[2]["result"]["tools"]}
+    assert set(listed) == {"search_tables", "describe_table", "get_metric", "run_query"} and listed["run_query"]["required"] == ["sql"]
+    assert [g["error"]["code"] for g in got[3:]] == [server.NOT_JSON, server.NOT_A_REQUEST, server.NO_METHOD, server.BAD_PARAMETERS]
+
+
+def test_server_tools(tool_server, lake, spark):
+    own = tool_server("analyst")
+    found, table, metric, result, none = (g["result"] for g in asked(own, call("search_tables", query="members"), call("describe_table", name="dim_member"), call("get_metric", name="active_members"), call("run_query", sql="select count(*) as n from dim_member", limit=5), call("describe_table", name="nothing")))
+    assert found["structuredContent"]["tables"][0]["name"] == "dim_member" and table["structuredContent"]["name"] == "dim_member"
+    assert metric["structuredContent"]["latest"] and not metric["isError"]
+    assert result["structuredContent"] == {"columns": ["n"], "rows": [[3]], "row_count": 1} and json.loads(result["content"][0]["text"]) == result["structuredContent"]
+    assert none["isError"] and "nothing" in none["content"][0]["text"]
+    refused, argued, typed = asked(own, call("run_query", sql="select health_notes from dim_member"), call("run_query", sql="select 1", role="privacy_officer"), call("run_query", sql="select 1", limit="many"))
+    assert refused["result"]["isError"] and "query denied" in refused["result"]["content"][0]["text"]
+    assert argued["error"]["code"] == typed["error"]["code"] == server.BAD_PARAMETERS
+    events = spark.read.parquet(f"{lake[0]}/audit_server_analyst/query_denied").collect()
+    assert [(e.principal, e.role, e.sensitive_columns, e.touched_sensitive) for e in events] == [("mia", "analyst", ["health_notes"], True)]
+    read = asked(tool_server("privacy_officer"), call("run_query", sql="select max(health_notes) as x from dim_member"))
+    assert read[0]["result"]["structuredContent"]["rows"] == [["note"]]
+
+
+@pytest.mark.parametrize(("role", "principal"), [(None, "ann"), ("analyst", None), ("root", "ann"), ("analyst", "  ")])
+def test_server_does_not_start_without_role_and_principal(spark, lake, allowed, capsys, monkeypatch, role, principal):
+    for name, value in ((catalog.ROLE, role), (catalog.PRINCIPAL, principal)):
+        monkeypatch.setenv(name, value) if value is not None else monkeypatch.delenv(name, raising=False)
+    assert cli.main(["--lake", f"{lake[0]}/lake", "--warehouse", f"{lake[0]}/warehouse", "serve-mcp"], spark) == 2
+    said = capsys.readouterr()
+    assert said.out == "" and said.err.startswith("serve-mcp:")
