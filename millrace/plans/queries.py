@@ -646,3 +646,86 @@ _SETS = "select c_nationkey as nation, c_mktsegment as segment from customer whe
 def governed_set_operations(spark, d):
     """Set operations of a role's statement, read through the data layer of the gateway."""
     return gateway.DataLayer(spark, {t: f"{d}/{t}.parquet" for t in ("customer", "supplier", "nation")}).read(_SETS)
+
+
+def _measure(product: str, name: str, definition: str, value: str) -> str:
+    return f"select '{product}' as product, '{name}' as reported_as, month as period_month, cast(v as double) as value, '{definition}' as definition from ({value})"
+
+
+def _in_window(rows: str, who: str, day: str, days: int) -> str:
+    return f"select month, count(distinct {who}) as v from months left join {rows} on {day} > last_day(month) - {days} and {day} <= last_day(month) group by month"
+
+
+def _in_month(rows: str, value: str, day: str) -> str:
+    return f"select month, coalesce({value}, 0) as v from months left join {rows} on date_trunc('month', {day}) = month group by month"
+
+
+def _alive(value: str) -> str:
+    return f"select month, coalesce({value}, 0) as v from months left join c on starts <= last_day(month) and (ends is null or ends >= last_day(month)) group by month"
+
+
+def _each(over: str, under: str) -> str:
+    return f"select o.month, case when u.v > 0 then cast(o.v as double) / u.v else 0 end as v from ({over}) o join ({under}) u on u.month = o.month"
+
+
+def _less(left: str, right: str) -> str:
+    return f"select l.month, l.v - r.v as v from ({left}) l join ({right}) r on r.month = l.month"
+
+
+def _lost(rows: str, who: str, day: str) -> str:
+    ever = f"select month, count(f) as v from months left join (select {who}, min({day}) as f from {rows} group by 1) on f <= last_day(month) group by month"
+    return _less(ever, _in_window(rows, who, day, 60))
+
+
+_OPENERS, _BOOKED, _MEMBERS = _in_window("o", "who", "day", 28), _in_window("b", "who", "made", 28), _alive("count(distinct who)")
+_MEASURES = [
+    ("A", "active_users", "opened the app in 30 days, UTC", _in_window("o", "who", "day", 30)),
+    ("A", "iap_revenue", "purchases with tax, UTC month", _in_month("p", "sum(amount)", "day")),
+    ("A", "workouts_per_user", "workouts in the month for each opener in 28 days", _each(_in_month("w", "count(who)", "day"), _OPENERS)),
+    ("B", "active_customers", "made a booking in 28 days", _BOOKED),
+    ("B", "booking_revenue", "price without tax of classes in the month, not cancelled", _in_month("(from b where not cancelled)", "sum(amount)", "held")),
+    ("B", "bookings_per_customer", "bookings made for each active customer", _each(_in_month("b", "count(who)", "made"), _BOOKED)),
+    ("B", "lost_customers", "customers without a booking in 60 days", _lost("b", "who", "made")),
+    ("C", "active_members", "a contract alive on the last day", _MEMBERS),
+    ("C", "monthly_revenue", "fees with tax of the contracts alive on the last day", _alive("sum(amount)")),
+    ("C", "churned_members", "contracts that end in the month", _in_month("c", "count(ends)", "ends")),
+    ("C", "avg_visits_per_member", "visits in the month for each active member", _each(_in_month("t", "count(who)", "day"), _MEMBERS)),
+    ("D", "billed_customers", "invoiced in the month", _in_month("i", "count(distinct who)", "day")),
+    ("D", "net_sales", "invoices less refunds, without tax", _less(_in_month("i", "sum(amount)", "day"), _in_month("r", "sum(amount)", "day"))),
+    ("D", "cancelled_customers", "invoiced once, not in 60 days", _lost("i", "who", "day")),
+    ("E", "seats_under_contract", "seats of accounts under contract", _in_month("e", "sum(coalesce(seats, 0))", "day")),
+    ("E", "mrr", "fees of accounts under contract", _in_month("e", "sum(coalesce(fee, 0))", "day")),
+]
+
+
+@query(f"""with months as (select cast(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as date) as month from orders
+  union select cast(unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), interval 1 month)) as date) from events),
+o as (select user_id as who, cast(ts as date) as day from events where event_type = 'view'), w as (select user_id as who, cast(ts as date) as day from events where event_type = 'click'),
+p as (select cast(round(value) as bigint) as amount, cast(ts as date) as day from events where event_type = 'purchase'),
+b as (select o_custkey as who, cast(o_orderdate + interval 9 hour as date) as made, cast(o_orderdate + interval 10 day + interval 9 hour as date) as held, o_orderstatus = 'F' as cancelled, cast(round(o_totalprice) as bigint) as amount from orders),
+c as (select o_custkey as who, cast(o_orderdate as date) as starts, case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) + cast(o_orderkey % 90 as int) end as ends, cast(round(o_totalprice) as bigint) as amount from orders where o_orderkey % 7 <> 0),
+t as (select l_suppkey as who, cast(l_shipdate + interval 9 hour as date) as day from lineitem), i as (select o_custkey as who, cast(o_orderdate as date) as day, cast(round(o_totalprice) as bigint) as amount from orders),
+r as (select cast(l_shipdate as date) as day, cast(round(l_extendedprice) as bigint) as amount from lineitem where l_returnflag = 'R'),
+e as (select l_suppkey, cast(date_trunc('month', l_shipdate) as date) as day, case when max(l_quantity) > 10 then cast(max(l_quantity) as bigint) end as seats, cast(sum(cast(round(l_extendedprice) as bigint)) as bigint) as fee from lineitem group by 1, 2 having max(l_returnflag) <> 'R')
+{' union all '.join(_measure(*m) for m in _MEASURES)}""")
+def products_own_measures(spark, d):
+    """The sixteen measures as the five products count them, from events, orders and lines that stand for their sources."""
+    events, orders, lines = (table(spark, d, n) for n in ("events", "orders", "lineitem"))
+    seen = events.select(F.col("user_id").alias("member_id"), F.col("ts").alias("occurred_at"), _cents("value").alias("amount_tax_incl"), "event_type")
+    price, day = _cents("o_totalprice"), F.to_date("o_orderdate")
+    booked = [F.lit("T").alias("tenant_id"), F.col("o_custkey").alias("member_no"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("interval 10 days")).alias("class_start_at"), F.when(F.col("o_orderstatus") == "F", "cancelled").otherwise("attended").alias("status"), price.alias("price_ex_tax")]
+    ends = F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, (F.col("o_orderkey") % 90).cast("int")))
+    accounts = lines.groupBy("l_suppkey", scalars.month_start("l_shipdate").alias("report_month")).agg(F.max("l_quantity").alias("most"), F.sum(_cents("l_extendedprice")).alias("monthly_fee_yen"), F.max("l_returnflag").alias("flag"))
+    sources = {
+        "a_app_opened": seen.filter("event_type = 'view'"),
+        "a_workout_completed": seen.filter("event_type = 'click'"),
+        "a_purchase_made": seen.filter("event_type = 'purchase'"),
+        "st_bookings": orders.select(*booked),
+        "st_contract_log": orders.select(F.when(F.col("o_orderkey") % 7 == 0, "D").otherwise("U").alias("op"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("lsn"), F.col("o_orderkey").alias("contract_id"), F.col("o_custkey").alias("member_id"), price.alias("monthly_fee_tax_incl"), day.alias("start_date"), ends.alias("end_date")),
+        "st_visits": lines.select(F.col("l_suppkey").alias("member_id"), F.col("l_shipdate").alias("checked_in_at")),
+        "d_invoices": orders.select(F.col("o_custkey").alias("member_key"), day.alias("invoice_date"), price.alias("amount_ex_tax")),
+        "d_refunds": lines.filter("l_returnflag = 'R'").select(F.to_date("l_shipdate").alias("refund_date"), _cents("l_extendedprice").alias("refund_amount_ex_tax")),
+        "e_accounts": accounts.select("report_month", F.when(F.col("most") > 10, F.col("most").cast("long")).alias("seats"), "monthly_fee_yen", F.when(F.col("flag") == "R", "解約").otherwise("契約中").alias("contract_status")),
+    }
+    spine = metrics.month_spine(orders, "o_orderdate").union(metrics.month_spine(events, "ts")).distinct()
+    return silver.reported(sources, spine)
