@@ -146,8 +146,8 @@ def _sql(rules: Iterable[Rule]) -> str:
     return rf"""
 with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
-g as (select row, unnest(range(1, len(words) - 1)) as i, words from w),
-k as (select row, i, count(*) over (partition by row, words[i], words[i + 1], words[i + 2]) as times from g),
+g as (select row, unnest(range(1, len(words) - 1)) as i, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) as gram from w),
+k as (select row, i, count(*) over (partition by row, gram) as times from g),
 c as (select row, least(3, coalesce(lead(i) over (partition by row order by i) - i, 3)) as step from k where times > 1),
 r as (select row, cast(sum(step) as bigint) as n_repeat_words from c group by row),
 m as (
