@@ -270,10 +270,14 @@ def test_the_data_layer_holds_alone(spark, lake, allowed):
     spark.createDataFrame([("x",)], "v string").createOrReplaceGlobalTempView("other_session")
     spark.createDataFrame([("x",)], "v string").createOrReplaceTempView("other_session")
     before = {t.name for t in spark.catalog.listTables()}
+    data, other = gateway.DataLayer(spark, {"dim_member": f"{folder}/dim_member"}), f"{lake[0]}/warehouse/roles/privacy_officer/dim_member"
     for sql in REFUSED:
         with pytest.raises(Exception):  # noqa: B017  a refusal of its own, or the engine's
-            gateway.execute_readonly(spark, folder, sql.format(out=out, other=f"{lake[0]}/warehouse/roles/privacy_officer/dim_member"))
+            data.read(sql.format(out=out, other=other)).collect()
         assert not out.exists(), sql
+    for sql in ("create table leaked using parquet location '{other}'", "select * from leaked", "select health_notes from dim_member"):
+        with pytest.raises(Exception):  # noqa: B017
+            gateway.execute_readonly(spark, folder, sql.format(other=other))
     assert {t.name for t in spark.catalog.listTables()} == before and spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
