@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("licenses", "repeats", "decontaminate", "toxicity", "sharding", "hmm", "knn", "pii", "near_dedup", "mixing", "rules", "alignment", "collocations")
+MODULES = ("licenses", "repeats", "decontaminate", "toxicity", "sharding", "hmm", "knn", "pii", "near_dedup", "mixing", "collocations", "rules", "alignment")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
