@@ -16,7 +16,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity.scored(docs, index)
-    return written(found.filter(quoted(found.columns[-1])["score"] < 0.5).select(*map(quoted, docs.columns)), "stage_toxicity")
+    return written(found.filter(quoted(found.columns[-1])["score"] < 0.5).select(*map(quoted, found.columns[:-1])).toDF(*docs.columns), "stage_toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     found = mixing.mixed(docs)
     times = quoted(found.columns[-1])["copies"]
-    own = list(map(quoted, docs.columns))
-    return found.filter(times > 0).select(*own, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(free_name(docs, "copy"))).select(*own)
+    own = list(map(quoted, found.columns[:-1]))
+    return found.filter(times > 0).select(*own, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(free_name(found, "copy"))).select(*own).toDF(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

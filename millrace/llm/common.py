@@ -74,6 +74,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def made_free(df: DataFrame, name: str) -> DataFrame:
+    """df with a column of this name, if it has one, called as free_name() says; places and values stay."""
+    return df.toDF(*[free_name(df, name) if c.lower() == name.lower() else c for c in df.columns])
+
+
 def quoted(name: str) -> Column:
     """The column of this very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

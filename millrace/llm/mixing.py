@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, dropped, free_name, numbered, small, table, written
+from .common import SPACE_WORD, dropped, made_free, numbered, small, table, written
 
 #: Bits that one level of the histogram resolves, and how many levels there are.
 BITS, LEVELS = 12, 4
@@ -28,11 +28,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     Size is the number of words (null text: 0). A null source is a source of its own, the last. The hash is of id and
     text (nulls count as empty), so only rows that are equal in both share one; where the budget runs out among such
     rows, as many of them are taken as come nearest to it, and since they are equal it does not matter which. A source
-    without words has target 0. An empty table gives an empty result. Columns of docs keep their names and values; where
-    one is called mix, the new one gets an underscore more and stands last. The join with the sources is a broadcast up
+    without words has target 0. An empty table gives an empty result. Columns of docs keep their places and values; the
+    new one is called mix and stands last, and one of docs that is called so gets an underscore more. The join with the sources is a broadcast up
     to BROADCAST_ROWS sources, and beyond that a shuffled join whose large partitions are split.
     """
-    names = [*docs.columns, free_name(docs, "mix")]
+    names = [*made_free(docs, "mix").columns, "mix"]
     docs, (id_col, text_col, source_col) = numbered(docs, id_col, text_col, source_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fold, free_name, table, written
+from .common import fold, made_free, table, written
 from .words import ALNUM, sequences
 
 #: Bound of the fitted model: labelled examples, those with the lowest hashes of their ids.
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
 
     Null and empty texts, and texts without a word of the examples, get the base rate. Whole texts are read. Repeated
     rows get equal scores; an empty table or no labels give no rows or the base rate 0.5. Ids have the type that they have in
-    the documents of fit(). Where docs has a column toxicity, the new one gets an underscore more and stands last. The index is broadcast; it is bounded by EXAMPLES and the lengths of their texts.
+    the documents of fit(). The new column stands last; where docs has a column toxicity, that one gets an underscore more. The index is broadcast; it is bounded by EXAMPLES and the lengths of their texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     evidence = pa.list_(to_arrow_type(index.id_type))
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
             found = [shared.value.score(h) for h in sequences(texts, ALNUM)]
             yield pa.array([{"score": s, "evidence": e} for s, e in found], pa.struct([("score", pa.float64()), ("evidence", evidence)]))
 
-    return docs.withColumn(free_name(docs, "toxicity"), F.arrow_udf(run, f"score double, evidence array<{index.id_type.simpleString()}>")("text"))
+    return made_free(docs, "toxicity").withColumn("toxicity", F.arrow_udf(run, f"score double, evidence array<{index.id_type.simpleString()}>")("text"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
