@@ -9,7 +9,7 @@ the examples' own votes with each example left out; the nearest are the evidence
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +34,60 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+class Bags:
+    """Distinct words and counts of many texts, in two flat arrays, since small ones would cost the driver several times as much."""
+
+    def __init__(self, texts: Iterable[pa.Array]):
+        hashes, counts, self.ends = bytearray(), bytearray(), [0]
+        for column in texts:
+            for h in sequences(column, ALNUM):
+                own, n = np.unique(h, return_counts=True)
+                hashes += own.tobytes()
+                counts += n.astype(np.int32).tobytes()
+                self.ends.append(self.ends[-1] + len(own))
+        flat, self.counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int32)
+        #: Sorted hashes of all words; terms are places among them.
+        self.words = np.unique(flat)
+        self.terms = np.searchsorted(self.words, flat).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, e in zip(self.ends, self.ends[1:], strict=False):
+            yield self.terms[a:e], self.counts[a:e]
+
+
 class BlockMaxIndex:
     """Examples as unit vectors over their words; search() gives the k nearest exactly."""
 
-    def __init__(self, ids: list, texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], words: np.ndarray, idf: np.ndarray):
+    def __init__(self, ids: list, texts: Bags, labels: list[int], words: np.ndarray, idf: np.ndarray):
         """texts: distinct words, as places in `words` (sorted hashes), with their counts."""
-        y = np.array(labels, float)
+        y, terms = np.array(labels, float), texts.terms
         self.words, self.base = words, (y.sum() + 1) / (len(y) + 2)
-        terms = np.concatenate([t for t, _ in texts] or [np.empty(0, int)])
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t, _ in texts])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(texts.ends))
         toxic = np.bincount(terms, y[owner], len(words)) if len(terms) else np.zeros(len(words))
-        clean = np.bincount(terms, 1 - y[owner], len(words)) if len(terms) else np.zeros(len(words))
+        clean = np.bincount(terms, minlength=len(words)) - toxic
         self.weight = idf * np.log2(2 + toxic / np.maximum(1, clean))
-        vectors = [self._unit(t, n) for t, n in texts]
         # Examples of one language and about one length stand together: that keeps the bounds of blocks tight.
-        common = [t[np.lexsort((idf[t], -n))[0]] if len(t) else -1 for t, n in texts]
-        order = sorted(range(len(texts)), key=lambda i: (common[i], len(texts[i][0]), i))
+        weight, common = np.empty(len(terms), np.float32), []
+        for (t, n), a, e in zip(texts, texts.ends, texts.ends[1:], strict=False):
+            weight[a:e] = self._unit(t, n)
+            common.append(t[np.lexsort((idf[t], -n))[0]] if len(t) else -1)
+        order = sorted(range(len(texts)), key=lambda i: (common[i], texts.ends[i + 1] - texts.ends[i], i))
         self.ids, self.y = [ids[i] for i in order], y[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
-        place = np.empty(len(order), int)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        weight = np.concatenate([*vectors, np.empty(0)])
-        by = np.lexsort((place[owner], terms)) if len(terms) else np.empty(0, int)
-        term, self.example, self.posting = terms[by], place[owner][by].astype(np.int32), weight[by].astype(np.float32)
+        example = place[owner]
+        by = np.lexsort((example, terms)) if len(terms) else np.empty(0, int)
+        term, self.example, self.posting = terms[by], example[by], weight[by]
         # An entry for each word and block: the largest weight and the postings.
         begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)]) if len(term) else np.empty(0, int)
-        self.start, self.end = begins, np.r_[begins[1:], len(term)].astype(int)[: len(begins)]
+        self.start, self.end = begins.astype(np.int32), np.r_[begins[1:], len(term)].astype(np.int32)[: len(begins)]
         self.block = self.example[begins] // BLOCK if len(term) else np.empty(0, int)
         self.most = np.maximum.reduceat(self.posting, begins) if len(term) else np.empty(0, np.float32)
-        self.first = np.searchsorted(term[begins] if len(term) else term, np.arange(len(words) + 1))
+        self.first = np.searchsorted(term[begins] if len(term) else term, np.arange(len(words) + 1, dtype=np.int32)).astype(np.int32)
         self.curve = (0.0, 1.0)
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -106,7 +131,7 @@ class BlockMaxIndex:
         share = (sims @ self.y[near] + PRIOR * self.base) / (sims.sum() + PRIOR)
         return float(np.log(share / (1 - share)))
 
-    def calibrate(self, texts: list[tuple[np.ndarray, np.ndarray]], ids: list) -> None:
+    def calibrate(self, texts: Bags, ids: list) -> None:
         """The logistic curve over the votes on the examples themselves, each left out of its own."""
         place = {i: p for p, i in enumerate(self.ids)}
         x = np.array([self.vote(*self.search(t, n, leave_out=place[i])) for i, (t, n) in zip(ids, texts, strict=True)])
@@ -152,10 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Bloc
     held = docs.filter("doc_id is not null").select("doc_id", "text")
     # EXAMPLES ids, so the broadcast and all that comes to the driver are bounded.
     chosen = marked.join(held.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-    rows = written(held.join(F.broadcast(written(chosen, "tox_chosen")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "tox_examples").orderBy("doc_id").collect()
-    hashed = [np.unique(h, return_counts=True) for h in sequences([r.text for r in rows], ALNUM)]
-    words = np.unique(np.concatenate([*[h for h, _ in hashed], np.empty(0, np.uint64)]))
-    texts = [(np.searchsorted(words, h), n) for h, n in hashed]
+    rows = written(held.join(F.broadcast(written(chosen, "tox_chosen")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "tox_examples").orderBy("doc_id").toArrow()
+    ids, marks, texts = rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist(), Bags(rows.column("text").chunks)
+    words = texts.words
+    del rows
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Bloc
     total, df = int(n[found == -1].sum()), np.zeros(len(words))
     df[found[found >= 0]] = n[found >= 0]
     idf = np.log((total + 1) / (df + 1)) + 1
-    index = BlockMaxIndex([r.doc_id for r in rows], texts, [r.toxic for r in rows], words, idf)
+    index = BlockMaxIndex(ids, texts, marks, words, idf)
     index.id_type = held.schema["doc_id"].dataType
-    if rows:
-        index.calibrate(texts, [r.doc_id for r in rows])
+    if ids:
+        index.calibrate(texts, ids)
     return index
 
 

@@ -1,6 +1,7 @@
 """The nearest examples against all cosines, calibrated scores, and odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -62,3 +63,17 @@ def test_odd_rows_and_clashing_names(spark):
     empty = {r.toxicity.score for r in got if not (r.text or "").strip()}
     assert empty == {index.base} and all(0 <= r.toxicity.score <= 1 for r in got)
     assert toxicity.scored(docs, toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).first().toxicity.score == 0.5
+
+
+def test_fit_holds_few_bytes_for_each_word_of_an_example(spark):
+    r, n = random.Random(4), 200
+    rows = [(i, " ".join(f"w{k}" for k in r.sample(range(4000), 2000))) for i in range(n)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        index = toxicity.fit(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.posting) == 2000 * n and most < 70 * len(index.posting)
